@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tierflow.llm import bpe
+from tierflow.llm import bpe, secrets, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -19,8 +19,36 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=False)
 
 
+#: Rules of the URL filter: host and start of the path, verdict.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that fits each page's URL, and its verdict."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULE_ROWS = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for rule, verdict in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filter": f"""
+        WITH rules(rule, r_host, r_path, verdict) AS (VALUES {_RULE_ROWS}),
+        rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        cut AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM rest),
+        parts AS (SELECT row_number() OVER () AS n, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM cut),
+        best AS (SELECT n, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM parts JOIN rules
+                 ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY n)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (n)""",
+}
