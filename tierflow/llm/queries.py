@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import bpe, decontaminate, secrets, sharding, urls
+from tierflow.llm import bpe, decontaminate, jaccard, secrets, sharding, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -40,6 +40,19 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, learnt from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.score_documents(docs, index, evidence=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of 0.8 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule that fits each page's URL, and its verdict."""
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
@@ -50,6 +63,8 @@ QUERIES = {
     "op4_shards": op4_shards,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
 }
 
