@@ -201,24 +201,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = components(links)
         named = rest.join(found, "id", "left").select("h", "id", "n_shingles", "last", F.coalesce("component", "id").alias("c"))
         split = named.groupBy("h").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("size")).where("_c <> _d").select("h", "size")
-        rest = stored(named.join(split, "h").where("id <> last"), "rest")  # the last pivot has met all members
+        rest = stored(named.join(split, "h").where("id <> last"), "rest")  # a first pivot has met all members
         if not rest.limit(1).count():
             break
-        # distance to the last pivot; unmeasured pairs are too different in size to be near
-        met = rest.join(measured.select(F.col("a").alias("id"), F.col("b").alias("last"), (1 - F.col("common") / F.col("total")).alias("d")), ["id", "last"], "left")
+        # distance to the last pivot; unknown where the sizes alone rule a link out or both were linked before
+        apart = measured.select(F.col("a").alias("id"), F.col("b").alias("last"), (1 - F.col("common") / F.col("total")).alias("d"))
+        met = rest.join(apart, ["id", "last"], "left")
         met = stored(met.select("h", "id", "n_shingles", "c", "d", "last", "size"), "met")
         one, two = met.where(f"size <= {leaf}"), met.where(f"size <= {leaf}").select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "c", "d")))
         direct = one.join(two, "h").where("c <> c_b and id > id_b")
+        # new pivots of a large region: an eighth of its members, the smallest id always
         large = met.where(f"size > {leaf}")
-        heads = large.groupBy("h").agg(F.min_by(F.struct(F.col("id").alias("id_b"), F.col("n_shingles").alias("n_shingles_b"), F.col("c").alias("c_b"), F.col("d").alias("d_b")), "id").alias("p")).select("h", "p.*")
-        headed = large.join(heads, "h")
+        first = large.groupBy("h").agg(F.min("id").alias("first"))
+        large = large.join(first, "h").withColumn("head", (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", "h"), F.lit(8)) == 0))
+        heads = large.where("head").select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "c", "d")))
+        headed = large.join(heads, "h").where("c <> c_b and (not head or id > id_b)")
         window = f"(d is null or d_b is null or abs(d - d_b) <= {(100 - percent) / 100} + 1e-9) and least(n_shingles, n_shingles_b) * 100 >= greatest(n_shingles, n_shingles_b) * {percent}"
-        pairs = direct.where(window).select(F.col("id").alias("a"), F.col("id_b").alias("b")).union(headed.where("c <> c_b").where(window).select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b"))).distinct()
+        columns = [F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")]
+        pairs = direct.where(window).select(*columns).union(headed.where(window).select(*columns)).distinct()
         fresh = stored(pairs.join(measured, ["a", "b"], "left_anti"), "pairs")
         more = stored(_distances(fresh, sets), "distances")
         measured = stored(measured.union(more), "distances")
         links = stored(links.union(more.where(_linked(percent)).select("a", "b")), "links")
-        rest = headed.select("h", "id", "n_shingles", F.col("id_b").alias("last"))
+        # pivots have met every member; the others go on with their distance to the first of them
+        rest = large.where("not head").select("h", "id", "n_shingles", F.col("first").alias("last"))
     return (
         described.join(found, "id", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
