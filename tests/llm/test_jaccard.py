@@ -59,7 +59,7 @@ def made(seed, groups=15):
     return rows
 
 
-@pytest.mark.parametrize("seed,leaf", [(1, 48), (2, 8)])
+@pytest.mark.parametrize("seed,leaf", [(1, 48), (2, 12)])
 def test_matches_brute_force(spark, seed, leaf):
     rows = made(seed)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string").repartition(5)

@@ -210,10 +210,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         met = stored(met.select("h", "id", "n_shingles", "c", "d", "last", "size"), "met")
         one, two = met.where(f"size <= {leaf}"), met.where(f"size <= {leaf}").select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "c", "d")))
         direct = one.join(two, "h").where("c <> c_b and id > id_b")
-        # new pivots of a large region: an eighth of its members, the smallest id always
+        # new pivots of a large region: half of its members, the smallest id always
         large = met.where(f"size > {leaf}")
         first = large.groupBy("h").agg(F.min("id").alias("first"))
-        large = large.join(first, "h").withColumn("head", (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", "h"), F.lit(8)) == 0))
+        large = large.join(first, "h").withColumn("head", (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", "h"), F.lit(2)) == 0))
         heads = large.where("head").select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "c", "d")))
         headed = large.join(heads, "h").where("c <> c_b and (not head or id > id_b)")
         window = f"(d is null or d_b is null or abs(d - d_b) <= {(100 - percent) / 100} + 1e-9) and least(n_shingles, n_shingles_b) * 100 >= greatest(n_shingles, n_shingles_b) * {percent}"
