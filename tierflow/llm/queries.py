@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import bpe, decontaminate, jaccard, secrets, sharding, toxicity, urls
+from tierflow.llm import bpe, decontaminate, jaccard, ngrams, secrets, sharding, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document; six sevenths of the ids are the training part."""
+    docs = table(spark, sf_dir, "documents")
+    learned = "crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"
+    scored = ngrams.score_documents(docs, docs.where(learned), learned)
+    return scored.select("doc_id", (~F.expr(learned)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, as it stands or re-parameterised."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,6 +67,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shards": op4_shards,
     "op5_byte_bpe": op5_byte_bpe,
