@@ -197,8 +197,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # what is left: regions whose members are in more than one component
     rest = members.select("h", "id", "n_shingles", F.col("pivot").alias("last"))
+    found, step = components(links), 0
     while True:
-        found = components(links)
+        step += 1
         named = rest.join(found, "id", "left").select("h", "id", "n_shingles", "last", F.coalesce("component", "id").alias("c"))
         split = named.groupBy("h").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("size")).where("_c <> _d").select("h", "size")
         rest = stored(named.join(split, "h").where("id <> last"), "rest")  # a first pivot has met all members
@@ -213,7 +214,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # new pivots of a large region: half of its members, the smallest id always
         large = met.where(f"size > {leaf}")
         first = large.groupBy("h").agg(F.min("id").alias("first"))
-        large = large.join(first, "h").withColumn("head", (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", "h"), F.lit(2)) == 0))
+        large = large.join(first, "h").withColumn("head", (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", "h", F.lit(step)), F.lit(2)) == 0))
         heads = large.where("head").select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "c", "d")))
         headed = large.join(heads, "h").where("c <> c_b and (not head or id > id_b)")
         window = f"(d is null or d_b is null or abs(d - d_b) <= {(100 - percent) / 100} + 1e-9) and least(n_shingles, n_shingles_b) * 100 >= greatest(n_shingles, n_shingles_b) * {percent}"
@@ -222,7 +223,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fresh = stored(pairs.join(measured, ["a", "b"], "left_anti"), "pairs")
         more = stored(_distances(fresh, sets), "distances")
         measured = stored(measured.union(more), "distances")
-        links = stored(links.union(more.where(_linked(percent)).select("a", "b")), "links")
+        new = more.where(_linked(percent)).select("a", "b")
+        if new.limit(1).count():
+            links = stored(links.union(new), "links")
+            found = components(links)
         # pivots have met every member; the others go on with their distance to the first of them
         rest = large.where("not head").select("h", "id", "n_shingles", F.col("first").alias("last"))
     return (
