@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import bpe, decontaminate, jaccard, ngrams, secrets, sharding, toxicity, urls
+from tierflow.llm import bpe, decontaminate, jaccard, ngrams, secrets, sharding, suffixes, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -66,6 +66,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that occur elsewhere."""
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op3_benchmark_leaks": op3_benchmark_leaks,
@@ -75,6 +80,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
+    "op10_repeated_bytes": op10_repeated_bytes,
 }
 
 _RULE_ROWS = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for rule, verdict in URL_RULES)
