@@ -30,10 +30,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Later plans start from the files, so a lost executor costs a re-read and
-    never a recomputation of the plan above.
+    never a recomputation of the plan above. The shuffle files behind them are not
+    needed any more; Spark removes those as soon as the driver collects its garbage,
+    which is asked for here so that they do not pile up over many steps.
     """
     path = f"{shared_folder(df.sparkSession)}/tierflow/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
