@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.llm.membership import filter_of, possible
 from tierflow.llm.words import mixed, shingles, words_of
 from tierflow.shared import dropped, stored
 
@@ -35,8 +36,6 @@ from tierflow.shared import dropped, stored
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch of shingle frequencies. Fixed: 4 MB are broadcast whatever the corpus.
 COUNTERS = 1 << 20
-#: Bits of the filter for documents whose sets are fetched again. Fixed: 1 MB.
-FILTER_BITS = 1 << 23
 #: Members of a region's remainder that are compared with each other; larger ones get new pivots.
 LEAF = 48
 _CHUNKS = 64
@@ -103,23 +102,14 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, set`` of some documents, the set as sorted 64-bit values. A filter of fixed size drops most others before the join."""
-    bit = F.xxhash64("id").bitwiseAND(FILTER_BITS - 1)
-    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast((xxhash64(id) & {FILTER_BITS - 1}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words:  # FILTER_BITS / 64 at most
-        bits[row.w] = row.b
-    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-            hit = (shared.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)
-            batch = batch.filter(pa.array(hit.astype(bool)))
             sets = [shingles(words_of(text), WORDS).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").withColumn("bit", bit)
-    sets = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    sets = possible(picked, "id", filter_of(ids, "id")).mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary")
     return sets.join(ids, "id", "left_semi")
 
 
@@ -184,30 +174,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = known.groupBy("set_id").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("set_id", "b")
     links = known.join(firsts, "set_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
-    entries = known.select(F.explode("prefix").alias("h"), "id", "n_shingles", "set_id")
-    pivots = entries.groupBy("h").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("n_shingles").alias("pn"), F.col("set_id").alias("ps")), "id").alias("p"), F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("h", "p.*")
-    members = stored(entries.join(pivots.hint("shuffle_hash"), "h"), "members")
+    # a region's pivot is the smallest id that has the shingle
+    entries = known.select(F.explode("prefix").alias("h"), "id")
+    pivots = stored(entries.groupBy("h").agg(F.min("id").alias("pivot"), F.max("id").alias("_top")).where("pivot < _top").select("h", "pivot"), "pivots")
+    # only shingles that may be in the filter are shuffled again
+    members = stored(possible(entries, "h", filter_of(pivots, "h")).join(pivots.hint("shuffle_hash"), "h"), "members")
+    sizes = known.select("id", "n_shingles", "set_id").dropDuplicates(["id"])
+    pivot_sizes = sizes.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("pn"), F.col("set_id").alias("ps"))
+    near = members.where("id <> pivot").select("id", "pivot").distinct().join(sizes, "id").join(pivot_sizes, "pivot")
     close = F.least("n_shingles", "pn") * 100 >= F.greatest("n_shingles", "pn") * percent
-    near = members.where((F.col("id") != F.col("pivot")) & (F.col("set_id") != F.col("ps")))
-    pairs = near.where(close).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = near.where((F.col("set_id") != F.col("ps")) & close).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     ids = stored(members.select("id").distinct(), "ids")
     sets = stored(_sets_of(docs, ids, id_col, text_col).dropDuplicates(["id"]), "sets")
     measured = stored(_distances(pairs, sets), "distances")
     links = stored(links.union(measured.where(_linked(percent)).select("a", "b")), "links")
 
     # what is left: regions whose members are in more than one component
-    rest = members.select("h", "id", "n_shingles", F.col("pivot").alias("last"))
+    rest = members.select("h", "id", F.col("pivot").alias("last"))
     found, step = components(links), 0
     while True:
         step += 1
-        named = rest.join(found, "id", "left").select("h", "id", "n_shingles", "last", F.coalesce("component", "id").alias("c"))
+        named = rest.join(found, "id", "left").select("h", "id", "last", F.coalesce("component", "id").alias("c"))
         split = named.groupBy("h").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("size")).where("_c <> _d").select("h", "size")
         rest = stored(named.join(split, "h").where("id <> last"), "rest")  # a first pivot has met all members
         if not rest.limit(1).count():
             break
         # distance to the last pivot; unknown where the sizes alone rule a link out or both were linked before
         apart = measured.select(F.col("a").alias("id"), F.col("b").alias("last"), (1 - F.col("common") / F.col("total")).alias("d"))
-        met = rest.join(apart, ["id", "last"], "left")
+        met = rest.join(apart, ["id", "last"], "left").join(sizes.select("id", "n_shingles"), "id")
         met = stored(met.select("h", "id", "n_shingles", "c", "d", "last", "size"), "met")
         one, two = met.where(f"size <= {leaf}"), met.where(f"size <= {leaf}").select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "c", "d")))
         direct = one.join(two, "h").where("c <> c_b and id > id_b")
@@ -228,7 +222,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             links = stored(links.union(new), "links")
             found = components(links)
         # pivots have met every member; the others go on with their distance to the first of them
-        rest = large.where("not head").select("h", "id", "n_shingles", F.col("first").alias("last"))
+        rest = large.where("not head").select("h", "id", F.col("first").alias("last"))
     return (
         described.join(found, "id", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))

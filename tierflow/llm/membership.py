@@ -9,18 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a filter. Fixed: 1 MB is broadcast whatever the tables.
-BITS = 1 << 23
+#: Bits of a filter, and the parts in which it is put together. Fixed: 4 MB are broadcast whatever the tables.
+BITS, PARTS = 1 << 25, 64
 
 
 def filter_of(keys: DataFrame, column: str) -> np.ndarray:
-    """One bit for each key's hash; at most ``BITS`` / 64 rows come to the driver."""
+    """One bit for each key's hash, as 64-bit words."""
+    size = BITS // PARTS
+
+    def fill(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[batch.column(1).to_numpy() & (size - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
     bit = F.xxhash64(column).bitwiseAND(BITS - 1)
-    rows = keys.select(bit.alias("_b")).select(F.shiftright("_b", 6).alias("w"), F.expr("shiftleft(1L, cast(_b & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    bits = np.zeros(BITS // 64, np.int64)
-    for row in rows:
-        bits[row.w] = row.b
-    return bits.view(np.uint64)
+    hashed = keys.select(bit.alias("bit")).select(F.expr(f"cast(bit div {size} as int)").alias("part"), "bit")
+    out = np.zeros((PARTS, size // 8), np.uint8)
+    for row in hashed.groupBy("part").applyInArrow(fill, "part int, bits binary").collect():  # PARTS rows of fixed size
+        out[row.part] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1).view(np.uint64)
+
+
+def contained(bits: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold keys with these hashes (modulo ``BITS``)."""
+    return ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def possible(rows: DataFrame, column: str, bits: np.ndarray, want: bool = True) -> DataFrame:
@@ -30,7 +43,6 @@ def possible(rows: DataFrame, column: str, bits: np.ndarray, want: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.uint64)
-            hit = ((shared.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
-            yield batch.filter(pa.array(hit == want)).select(range(batch.num_columns - 1))
+            yield batch.filter(pa.array(contained(shared.value, low) == want)).select(range(batch.num_columns - 1))
 
     return rows.withColumn("_bit", F.xxhash64(column).bitwiseAND(BITS - 1)).mapInArrow(run, rows.schema)
