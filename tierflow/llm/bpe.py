@@ -14,6 +14,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -276,16 +277,18 @@ class TextEncoder:
         """Ids of one text."""
         return self.encode_all([text])[0]
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of many texts, in groups of ``GROUP_CHARS`` characters or of one longer text."""
+    @staticmethod
+    def groups(texts: list[str]) -> Iterator[list[str]]:
+        """The texts in groups of ``GROUP_CHARS`` characters or of one longer text."""
         group, chars = [], 0
         for text in texts:
             if group and chars + len(text) > GROUP_CHARS:
-                yield from self.encode_all(group)
+                yield group
                 group, chars = [], 0
             group.append(text)
             chars += len(text)
-        yield from self.encode_all(group)
+        if group:
+            yield group
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
@@ -310,20 +313,20 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(ranks_path, pattern)
+        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
         for batch in batches:
-            counts, ids_hash, text_hash, lists = [], [], [], []
-            for ids in encoder.encode_batch([text or "" for text in batch.column(1).to_pylist()]):
-                counts.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+            at = 0
+            for group in encoder.groups([text or "" for text in batch.column(1).to_pylist()]):
+                found = encoder.encode_all(group)
+                columns = [batch.column(0).slice(at, len(group))]
+                columns.append(pa.array([len(ids) // 4 for ids in found], pa.int64()))
+                columns.append(pa.array([hashlib.sha256(ids).hexdigest() for ids in found], pa.string()))
+                columns.append(pa.array([hashlib.sha256(encoder.decode(ids)).hexdigest() for ids in found], pa.string()))
                 if with_ids:
-                    lists.append(memoryview(ids).cast("I").tolist())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    cuts = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in found])])
+                    columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"))))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     picked = docs.select(id_col, text_col)
     kind = picked.schema[id_col].dataType.simpleString()

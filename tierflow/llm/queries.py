@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import bpe, decontaminate, jaccard, ngrams, secrets, sharding, suffixes, toxicity, urls
+from tierflow.llm import bpe, decontaminate, jaccard, multiindex, ngrams, secrets, sharding, suffixes, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -23,6 +23,11 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.expr(learned)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors, by Hamming distance of their sign codes, of every vector whose id is divisible by 100."""
+    return multiindex.nearest_codes(table(spark, sf_dir, "embeddings"), 10, "id % 100 = 0")
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, as it stands or re-parameterised."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -73,6 +78,7 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
+    "op2_nearest_codes": op2_nearest_codes,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shards": op4_shards,
     "op5_byte_bpe": op5_byte_bpe,
@@ -86,6 +92,12 @@ QUERIES = {
 _RULE_ROWS = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for rule, verdict in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_nearest_codes": """
+        WITH codes AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, CAST(list_sum(list_transform(list_zip(q.code, c.code), p -> CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+                  FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank, neighbour_id, distance FROM pairs)
+        SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10""",
     "op9_url_filter": f"""
         WITH rules(rule, r_host, r_path, verdict) AS (VALUES {_RULE_ROWS}),
         rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
