@@ -109,7 +109,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sets = possible(picked, "id", filter_of(ids, "id")).mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary")
+    sets = possible(picked, "id", filter_of(ids, F.xxhash64("id"))).mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary")
     return sets.join(ids, "id", "left_semi")
 
 
@@ -178,7 +178,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = known.select(F.explode("prefix").alias("h"), "id")
     pivots = stored(entries.groupBy("h").agg(F.min("id").alias("pivot"), F.max("id").alias("_top")).where("pivot < _top").select("h", "pivot"), "pivots")
     # only shingles that may be in the filter are shuffled again
-    members = stored(possible(entries, "h", filter_of(pivots, "h")).join(pivots.hint("shuffle_hash"), "h"), "members")
+    members = stored(possible(entries, "h", filter_of(pivots, F.xxhash64("h"))).join(pivots.hint("shuffle_hash"), "h"), "members")
     sizes = known.select("id", "n_shingles", "set_id").dropDuplicates(["id"])
     pivot_sizes = sizes.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("pn"), F.col("set_id").alias("ps"))
     near = members.where("id <> pivot").select("id", "pivot").distinct().join(sizes, "id").join(pivot_sizes, "pivot")

@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a filter, and the parts in which it is put together. Fixed: 4 MB are broadcast whatever the tables.
 BITS, PARTS = 1 << 25, 64
 
 
-def filter_of(keys: DataFrame, column: str) -> np.ndarray:
-    """One bit for each key's hash, as 64-bit words."""
+def filter_of(keys: DataFrame, hashed: Column) -> np.ndarray:
+    """One bit for each hash of ``keys``, as 64-bit words."""
     size = BITS // PARTS
 
     def fill(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -23,10 +23,9 @@ def filter_of(keys: DataFrame, column: str) -> np.ndarray:
             bits[batch.column(1).to_numpy() & (size - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
-    bit = F.xxhash64(column).bitwiseAND(BITS - 1)
-    hashed = keys.select(bit.alias("bit")).select(F.expr(f"cast(bit div {size} as int)").alias("part"), "bit")
+    parts = keys.select(hashed.bitwiseAND(BITS - 1).alias("bit")).select(F.expr(f"cast(bit div {size} as int)").alias("part"), "bit")
     out = np.zeros((PARTS, size // 8), np.uint8)
-    for row in hashed.groupBy("part").applyInArrow(fill, "part int, bits binary").collect():  # PARTS rows of fixed size
+    for row in parts.groupBy("part").applyInArrow(fill, "part int, bits binary").collect():  # PARTS rows of fixed size
         out[row.part] = np.frombuffer(row.bits, np.uint8)
     return out.reshape(-1).view(np.uint64)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.llm.membership import filter_of, possible
+from tierflow.llm.membership import BITS, contained, filter_of, possible
 from tierflow.llm.words import mixed
 from tierflow.shared import stored
 
@@ -51,6 +51,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, span: int = SPAN) -> tuple[n
     return at[first], first, np.append(first[1:], n) - 1
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that few texts are unpacked at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8"), np.uint8)
 
@@ -133,31 +140,51 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     have equal keys and count once here, as all that they hold of that length is repeated anyway.
     """
     sure = length - span + 1
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[bytes, np.ndarray, np.ndarray]] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = _bytes(text)
-                at = anchors(data, length, span)[0]
-                view, raw = memoryview(data), xxhash.xxh64_intdigest
-                out.append((key, np.fromiter((raw(view[a : a + sure]) for a in at.tolist()), np.uint64, len(at)), at))
-            counts = [len(o[2]) for o in out]
-            index = np.repeat(np.arange(len(out)), counts)
-            names = pa.array([o[0] for o in out], pa.binary()).take(pa.array(index))
-            join = lambda k, t: np.concatenate([o[k] for o in out]).astype(t) if out else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(join(1, np.uint64).view(np.int64)), names, pa.array(join(2, np.int32))], names=["h", "key", "at"])
-
-    found = texts.select("key", "text").mapInArrow(find, "h long, key binary, at int")
-    place = F.struct("key", "at")
-    twice = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    met = found.join(twice.hint("shuffle_hash"), "h").select("key", "at").distinct()
-    wanted = stored(met.groupBy("key").agg(F.collect_list("at").alias("ats")), "anchors")  # the anchors of one text
+    spark = texts.sparkSession
+
+    def found(bits: np.ndarray | None) -> DataFrame:
+        """Anchors with the hashes of their sure bytes (``h``) and of all bytes of their strings (``w``); only those whose ``h`` may be in the filter."""
+        shared = spark.sparkContext.broadcast(bits) if bits is not None else None
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raw = xxhash.xxh64_intdigest
+            for batch in _slices(batches):
+                out: list[tuple] = []
+                keys = batch.column(0).to_pylist()
+                for text in batch.column(1).to_pylist():
+                    data = _bytes(text)
+                    at, first, last = anchors(data, length, span)
+                    view = memoryview(data)
+                    h = np.fromiter((raw(view[a : a + sure]) for a in at.tolist()), np.uint64, len(at))
+                    if shared is not None:
+                        keep = contained(shared.value, mixed(h) & np.uint64(BITS - 1))
+                        at, first, last, h = at[keep], first[keep], last[keep], h[keep]
+                    w = np.fromiter((raw(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), np.uint64, len(at))
+                    out.append((h, w, at << 16 | (at - first) << 8 | (at - last)))
+                names = pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), [len(o[0]) for o in out])))
+                h, w, spot = (np.concatenate([o[k] for o in out]).astype(t) if out else np.zeros(0, t) for k, t in enumerate((np.uint64, np.uint64, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array((mixed(h) & np.uint64(BITS - 1)).astype(np.int64)), names, pa.array(spot)], names=["h", "w", "bit", "key", "spot"])
+
+        return texts.select("key", "text").mapInArrow(find, "h long, w long, bit long, key binary, spot long")
+
+    # sure bytes that are in two places
+    twice = found(None).groupBy("h", "bit").agg(F.min(F.struct("key", "spot")).alias("a"), F.max(F.struct("key", "spot")).alias("b")).where("a <> b").select("h", "bit")
+    twice = stored(twice, "twice")
+    met = found(filter_of(twice, F.col("bit"))).drop("bit").join(twice.drop("bit").hint("shuffle_hash"), "h").distinct()
+    met = stored(met, "anchors")
+    # where even all bytes of the strings are in two places, every start occurs again
+    kinds = stored(met.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("key", "spot")).alias("one")), "kinds")
+    place = (F.shiftright("spot", 16).cast("int") - F.shiftright("spot", 8).bitwiseAND(255).cast("int")).alias("start"), (F.shiftright("spot", 16) - F.col("spot").bitwiseAND(255) + length).cast("int").alias("stop")
+    again = met.join(kinds.where("n > 1").select("h", "w"), ["h", "w"]).select("key", *place)
+    # the others are compared, with one of each kind that begins alike
+    open_ = kinds.where("n = 1").select("h").distinct()
+    ones = kinds.join(open_, "h", "left_semi").select("one.key", F.shiftright("one.spot", 16).cast("int").alias("at"))
+    wanted = stored(ones.groupBy("key").agg(F.collect_list("at").alias("ats")), "wanted")  # the anchors of one text
     chosen = texts.groupBy("key").agg(F.min("id").alias("id"))
     wanted = wanted.join(chosen, "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for key, text, ats in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = _bytes(text)
                 at, first, last = anchors(data, length, span)
@@ -169,7 +196,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
                 columns.append(pa.array([raw[max(0, a - span + 1) : a] for a in at.tolist()], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "first", "last", "suffix", "before"])
 
-    some = possible(texts.select("key", "id", "text"), "key", filter_of(wanted, "key"))
+    some = possible(texts.select("key", "id", "text"), "key", filter_of(wanted, F.xxhash64("key")))
     one_each = some.join(wanted.select(F.col("key").alias("k"), F.col("id").alias("i"), "ats"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
     suffixes = one_each.select("key", "text", "ats").mapInArrow(cut, "key binary, at int, first int, last int, suffix binary, before binary")
     suffixes = stored(suffixes.dropDuplicates(["key", "at"]), "suffixes")
@@ -187,7 +214,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     marks = stored(ranged.mapInArrow(sort, "digest binary, n int, key binary, start int, stop int"), "marks")
     # a bucket sends each string at its borders once, so a digest has no more rows than there are buckets
     across = marks.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("n"), F.collect_list(F.struct("key", "start", "stop")).alias("all")).where("n > 1")
-    return marks.where("digest is null").select("key", "start", "stop").union(across.select(F.explode("all").alias("m")).select("m.*"))
+    return again.union(marks.where("digest is null").select("key", "start", "stop")).union(across.select(F.explode("all").alias("m")).select("m.*"))
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN, with_kept: bool = True) -> DataFrame:
@@ -207,7 +234,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = stored(parts.unionByName(whole), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows: list[tuple] = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = _bytes(text)
@@ -223,9 +250,18 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns) + 1])
 
-    bits = filter_of(every, "key")
+    bits = filter_of(every, F.xxhash64("key"))
     marked = possible(texts, "key", bits).join(every, "key", "left").select("id", "text", "spans")
-    clean = possible(texts, "key", bits, want=False).select("id", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts whose key is not in the filter; they have no spans."""
+        yield from cut(
+            pa.RecordBatch.from_arrays([*part.columns[:2], pa.nulls(part.num_rows)], names=["id", "text", "spans"])
+            for part in (b.filter(pa.array(~contained(shared.value, b.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)))) for b in batches)
+        )
+
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return marked.mapInArrow(cut, schema).union(clean.mapInArrow(cut, schema))
+    clean = texts.select("id", "text", F.xxhash64("key").bitwiseAND(BITS - 1).alias("bit"))
+    return marked.mapInArrow(cut, schema).union(clean.mapInArrow(keep, schema))
