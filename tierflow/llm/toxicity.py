@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.shared import stored
+
 #: Labelled examples of each class at most; those with the smallest hash of their id.
 EXAMPLES = 4000
 #: Terms of the index at most: those that tell the classes apart best (chi-squared, and at least this much of it).
@@ -119,21 +121,15 @@ class Index:
         return score, at, similarity
 
 
-def _chosen_terms(counts: list[Counter], labels: list[int]) -> list[bytes]:
-    """The terms that tell the classes apart best."""
-    n = [labels.count(0), labels.count(1)]
-    df: list[Counter] = [Counter(), Counter()]
-    for terms, label in zip(counts, labels):
-        df[label].update(terms.keys())
-    ranked = []
-    for term in set(df[0]) | set(df[1]):
-        a, b = df[1][term], df[0][term]
-        c, d = n[1] - a, n[0] - b
-        if a + b >= 3 and n[0] and n[1] and c + d:
-            chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-            if chi2 >= LEAST_CHI2:
-                ranked.append((-chi2, term))
-    return [term for _, term in sorted(ranked)[:TERMS]]
+def _chosen_terms(examples: DataFrame, n: Counter) -> list[bytes]:
+    """The terms that tell the classes apart best; at most ``TERMS`` come to the driver."""
+    if not n[0] or not n[1]:
+        return []
+    df = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+    c, d = n[1] - F.col("a"), n[0] - F.col("b")
+    chi2 = (n[0] + n[1]) * F.pow(F.col("a") * d - F.col("b") * c, 2) / ((F.col("a") + F.col("b")) * (c + d) * n[1] * n[0])
+    ranked = df.where((F.col("a") + F.col("b") >= 3) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    return [bytes(r.term) for r in ranked.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
@@ -160,12 +156,22 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
                 names=["doc_id", "toxic", "terms", "counts"],
             )
 
-    picked = sorted(rows.mapInArrow(count, "doc_id long, toxic int, terms array<binary>, counts array<long>").collect(), key=lambda r: r.doc_id)
+    every = stored(rows.mapInArrow(count, "doc_id long, toxic int, terms array<binary>, counts array<long>"), "examples")
+    n = Counter({r.toxic: r.n for r in every.groupBy("toxic").agg(F.count("*").alias("n")).collect()})
+    terms = _chosen_terms(every, n)
+    wanted = spark.sparkContext.broadcast(frozenset(terms))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(t, c) for t, c in zip(ts, cs) if t in wanted.value] for ts, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            columns = [pa.array([[x[k] for x in f] for f in found], pa.list_(kind)) for k, kind in ((0, pa.binary()), (1, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=batch.schema.names)
+
+    # examples with the terms of the index only
+    picked = sorted(every.mapInArrow(choose, every.schema).collect(), key=lambda r: r.doc_id)
     counts = [Counter(dict(zip(map(bytes, r.terms), r.counts))) for r in picked]
-    terms = _chosen_terms(counts, [r.toxic for r in picked])
     df, total = _document_frequencies(docs, terms)
     idf = {t: float(np.log((1 + total) / (1 + df.get(t, 0)))) + 1 for t in terms}
-    n = Counter(r.toxic for r in picked)
     weights = tuple(totals.get(k, 0) / n[k] if n[k] else 1.0 for k in (0, 1))
     base = Index(idf, [], [], [], weights)
     vectors = [base.vector(c) for c in counts]
