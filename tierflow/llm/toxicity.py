@@ -22,8 +22,8 @@ from tierflow.shared import stored
 
 #: Labelled examples of each class at most; those with the smallest hash of their id.
 EXAMPLES = 4000
-#: Terms of the index at most: those that tell the classes apart best (chi-squared, and at least this much of it).
-TERMS, LEAST_CHI2 = 4096, 10.83
+#: Terms of the index at most: those that tell the classes apart best (chi-squared, at least this much of it), and this many times as frequent in one class as in the other.
+TERMS, LEAST_CHI2, LIFT = 4096, 30.0, 4.0
 #: Neighbours that vote, and examples of a block.
 NEIGHBOURS, BLOCK = 15, 64
 #: Documents with this score or more count as toxic.
@@ -129,6 +129,8 @@ def _chosen_terms(examples: DataFrame, n: Counter) -> list[bytes]:
     c, d = n[1] - F.col("a"), n[0] - F.col("b")
     chi2 = (n[0] + n[1]) * F.pow(F.col("a") * d - F.col("b") * c, 2) / ((F.col("a") + F.col("b")) * (c + d) * n[1] * n[0])
     ranked = df.where((F.col("a") + F.col("b") >= 3) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    rates = F.col("a") / n[1], F.col("b") / n[0]
+    ranked = ranked.where(F.greatest(*rates) >= LIFT * F.least(*rates))
     return [bytes(r.term) for r in ranked.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()]
 
 
