@@ -109,8 +109,18 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sets = possible(picked, "id", filter_of(ids, F.xxhash64("id"))).mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary")
-    return sets.join(ids, "id", "left_semi")
+    wanted = possible(picked, "id", filter_of(ids, F.xxhash64("id"))).join(ids, "id", "left_semi")
+    return wanted.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary").dropDuplicates(["id"])
+
+
+def _measured(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The written distances of pairs (a, b). Only the sets of their documents are made again, and deleted afterwards."""
+    pairs = stored(pairs, "pairs")
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sets = stored(_sets_of(docs, ids, id_col, text_col), "sets")
+    out = stored(_distances(pairs, sets), "distances")
+    dropped(sets)
+    return out
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,9 +194,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = members.where("id <> pivot").select("id", "pivot").distinct().join(sizes, "id").join(pivot_sizes, "pivot")
     close = F.least("n_shingles", "pn") * 100 >= F.greatest("n_shingles", "pn") * percent
     pairs = near.where((F.col("set_id") != F.col("ps")) & close).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    ids = stored(members.select("id").distinct(), "ids")
-    sets = stored(_sets_of(docs, ids, id_col, text_col).dropDuplicates(["id"]), "sets")
-    measured = stored(_distances(pairs, sets), "distances")
+    measured = _measured(docs, pairs, id_col, text_col)
     links = stored(links.union(measured.where(_linked(percent)).select("a", "b")), "links")
 
     # what is left: regions whose members are in more than one component
@@ -214,8 +222,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         window = f"(d is null or d_b is null or abs(d - d_b) <= {(100 - percent) / 100} + 1e-9) and least(n_shingles, n_shingles_b) * 100 >= greatest(n_shingles, n_shingles_b) * {percent}"
         columns = [F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")]
         pairs = direct.where(window).select(*columns).union(headed.where(window).select(*columns)).distinct()
-        fresh = stored(pairs.join(measured, ["a", "b"], "left_anti"), "pairs")
-        more = stored(_distances(fresh, sets), "distances")
+        more = _measured(docs, pairs.join(measured, ["a", "b"], "left_anti"), id_col, text_col)
         measured = stored(measured.union(more), "distances")
         new = more.where(_linked(percent)).select("a", "b")
         if new.limit(1).count():
