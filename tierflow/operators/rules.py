@@ -80,7 +80,8 @@ def public_api_violations(edges: DataFrame, rules: RuleSet) -> DataFrame:
     apis = {}
     for layer in rules.layers:
         if layer.public_api:
-            apis[layer.name] = [p if normal_text(p).startswith(normal_text(layer.path)) else f"{layer.path.rstrip('/')}/{p}" for p in layer.public_api]
+            folder = layer.path.replace("\\", "/").strip("/")
+            apis[layer.name] = [p if normal_text(p).startswith(normal_text(layer.path)) else f"{folder}/{p}" for p in layer.public_api]
     rows = annotated(edges, rules).where("src.layer <> dst.layer")
     open_ = reduce(lambda a, b: a | b, [(F.col("dst.layer") == n) & comparable(F.col("target")).isin(*(comparable_text(p) for p in ps)) for n, ps in apis.items()], F.lit(False))
     rows = rows.where(F.col("dst.layer").isin(*apis) & ~open_) if apis else rows.where("false")
