@@ -1,0 +1,39 @@
+import hashlib
+
+import corpus_pipeline
+import tiktoken
+from tierflow.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from tierflow.llm.queries import RANKS
+
+import public_tokenizers
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    """Each stage keeps what its operator, tested against brute force on its own, says, and all columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = {r.doc_id: r.text for r in out.collect()}
+        if name == "toxicity":
+            index = toxicity.fit(docs, toxicity.learnable(spark.read.parquet(f"{SF}/labels.parquet")))
+            want = {r.doc_id for r in toxicity.score_documents(docs, index).collect() if r.score < toxicity.TOXIC}
+        elif name == "near_copies":
+            want = {r.component_id for r in jaccard.jaccard_components(docs).collect()}
+        elif name == "decontamination":
+            want = set(kept) - {r.doc_id for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+        else:
+            want = set(kept)
+            spans = {r.doc_id: r.secrets for r in secrets.find_secrets(docs).collect()}
+            assert all((got[d] == kept[d]) == (not spans[d]) for d in kept) and any(spans.values())
+        assert set(got) == want
+        kept, docs = got, spark.createDataFrame(out.collect(), docs.schema)
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(RANKS)), special_tokens={})
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(rows) == len(kept)
+    for r in rows:
+        assert r.ids == encoder.encode_ordinary(kept[r.doc_id]) and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(kept[r.doc_id].encode()).hexdigest()
