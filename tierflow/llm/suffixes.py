@@ -204,17 +204,30 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         rows = list(_bucket(pa.Table.from_batches(held), length, span)) if held else []
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["digest", "n", "key", "start", "stop"])
+        out: list[tuple] = [(None, None, *row[2:]) for row in rows if row[0] is None]
+        parts: dict[int, list[bytes]] = {}
+        for digest, n, key, start, _ in rows:
+            if digest is not None:
+                parts.setdefault(int.from_bytes(digest[:4], "little") % buckets, []).append(digest + key + start.to_bytes(4, "little") + bytes([n]))
+        out += [(part, b"".join(strings), None, None, None) for part, strings in parts.items()]
+        columns = list(zip(*out)) or [()] * 5
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["part", "strings", "key", "start", "stop"])
+
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings at the borders that several buckets have; a bucket sends each once."""
+        strings = np.frombuffer(b"".join(v for b in batches for v in b.column(1).to_pylist()), [("digest", "V16"), ("key", "V16"), ("start", "<i4"), ("n", "u1")])
+        _, back = np.unique(strings["digest"], return_inverse=True)
+        hit = strings[np.bincount(back, strings["n"])[back] > 1]
+        stops = hit["start"] + length
+        yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in hit["key"]], pa.binary()), pa.array(hit["start"]), pa.array(stops, pa.int32())], names=["key", "start", "stop"])
 
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # splitters are sampled from the suffixes; key and place split groups of equal suffixes
     ranged = suffixes.repartitionByRange(buckets, "suffix", "key", "at")
-    marks = stored(ranged.mapInArrow(sort, "digest binary, n int, key binary, start int, stop int"), "marks")
-    # a bucket sends each string at its borders once, so a digest has no more rows than there are buckets
-    across = marks.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("n"), F.collect_list(F.struct("key", "start", "stop")).alias("all")).where("n > 1")
-    return again.union(marks.where("digest is null").select("key", "start", "stop")).union(across.select(F.explode("all").alias("m")).select("m.*"))
+    marks = stored(ranged.mapInArrow(sort, "part int, strings binary, key binary, start int, stop int"), "marks")
+    across = marks.where("part is not null").select("part", "strings").groupBy("part").applyInArrow(compare, "key binary, start int, stop int")
+    return again.union(marks.where("part is null").select("key", "start", "stop")).union(across)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN, with_kept: bool = True) -> DataFrame:
