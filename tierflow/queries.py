@@ -289,7 +289,6 @@ def layer_order(spark, sf_dir):
 
 
 _SUCCESSOR = "g AS (SELECT p_partkey AS s, (p_partkey * 3 + p_size) % (SELECT count(*) FROM part) + (SELECT min(p_partkey) FROM part) AS t FROM part)"
-_WALK = "walk(s, at, d) AS (SELECT s, t, 1 FROM g UNION ALL SELECT w.s, g.t, d + 1 FROM walk w JOIN g ON w.at = g.s WHERE d < (SELECT count(*) FROM part)), cyc AS (SELECT s, min(d) AS size FROM walk WHERE s = at GROUP BY s)"
 
 
 @query(f"WITH {_SUCCESSOR} SELECT s AS node FROM g WHERE s = t")
@@ -301,12 +300,12 @@ def self_loops(spark, sf_dir):
 _JUMPS = "j0 AS (SELECT s, t FROM g), " + ", ".join(f"j{k + 1} AS (SELECT a.s, b.t FROM j{k} a JOIN j{k} b ON a.t = b.s)" for k in range(15)) + ", cyc AS (SELECT DISTINCT t AS s FROM j15)"
 
 
-@query(f"WITH RECURSIVE {_SUCCESSOR}, {_JUMPS}, r(s, at) AS (SELECT s, s FROM cyc UNION SELECT r.s, g.t FROM r JOIN g ON r.at = g.s) SELECT s AS node, min(at) AS component FROM r GROUP BY s")
+@query(f"WITH RECURSIVE {_SUCCESSOR}, {_JUMPS}, r(s, pos) AS (SELECT s, s FROM cyc UNION SELECT r.s, g.t FROM r JOIN g ON r.pos = g.s) SELECT s AS node, min(pos) AS component FROM r GROUP BY s")
 def scc_components(spark, sf_dir):
     return graph.successor_cycles(successor_graph(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_SUCCESSOR}, {_JUMPS}, r(s, at) AS (SELECT s, s FROM cyc UNION SELECT r.s, g.t FROM r JOIN g ON r.at = g.s), c AS (SELECT s, min(at) AS c FROM r GROUP BY s) SELECT c AS component, count(*) AS size FROM c GROUP BY 1")
+@query(f"WITH RECURSIVE {_SUCCESSOR}, {_JUMPS}, r(s, pos) AS (SELECT s, s FROM cyc UNION SELECT r.s, g.t FROM r JOIN g ON r.pos = g.s), c AS (SELECT s, min(pos) AS c FROM r GROUP BY s) SELECT c AS component, count(*) AS size FROM c GROUP BY 1")
 def cycle_sizes(spark, sf_dir):
     return graph.successor_cycles(successor_graph(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
 
@@ -316,7 +315,7 @@ def has_any_cycle(spark, sf_dir):
     return graph.successor_cycles(successor_graph(spark, sf_dir)).agg((F.count("*") > 0).alias("cyclic"))
 
 
-@query(f"""WITH RECURSIVE {_SUCCESSOR}, {_JUMPS}, r(s, at) AS (SELECT s, s FROM cyc UNION SELECT r.s, g.t FROM r JOIN g ON r.at = g.s), size AS (SELECT s, count(*) AS n FROM r GROUP BY s),
+@query(f"""WITH RECURSIVE {_SUCCESSOR}, {_JUMPS}, r(s, pos) AS (SELECT s, s FROM cyc UNION SELECT r.s, g.t FROM r JOIN g ON r.pos = g.s), size AS (SELECT s, count(*) AS n FROM r GROUP BY s),
        d(s, n) AS (SELECT s, n FROM size UNION ALL SELECT g.s, d.n + 1 FROM d JOIN g ON g.t = d.s WHERE g.s NOT IN (SELECT s FROM cyc)) SELECT s AS node, n AS depth FROM d""")
 def import_depth(spark, sf_dir):
     return graph.successor_depth(successor_graph(spark, sf_dir))
@@ -328,8 +327,8 @@ def reachability(spark, sf_dir):
     return graph.reachable(successor_graph(spark, sf_dir), start, 6)
 
 
-@query(f"""{_BASE}, x AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'reexport'), o(barrel, at, n) AS (SELECT source, target, 1 FROM x UNION SELECT o.barrel, x.target, n + 1 FROM o JOIN x ON o.at = x.source WHERE n < 10)
-       SELECT DISTINCT barrel, at AS origin FROM o WHERE at NOT IN (SELECT source FROM x)""")
+@query(f"""{_BASE}, x AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'reexport'), o(barrel, pos, n) AS (SELECT source, target, 1 FROM x UNION SELECT o.barrel, x.target, n + 1 FROM o JOIN x ON o.pos = x.source WHERE n < 10)
+       SELECT DISTINCT barrel, pos AS origin FROM o WHERE pos NOT IN (SELECT source FROM x)""")
 def barrel_origins(spark, sf_dir):
     return graph.origins(edges(spark, sf_dir).where("kind = 'reexport'"))
 
