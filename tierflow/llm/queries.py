@@ -93,8 +93,8 @@ _RULE_ROWS = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partitio
 
 ORACLE_SQL: dict[str, str] = {
     "op2_nearest_codes": """
-        WITH codes AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-        pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, CAST(list_sum(list_transform(list_zip(q.code, c.code), p -> CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+        WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, CAST(list_sum(list_transform(list_zip(q.code, c.code), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
                   FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank, neighbour_id, distance FROM pairs)
         SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10""",
