@@ -147,12 +147,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
         shared = spark.sparkContext.broadcast(bits) if bits is not None else None
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            raw = xxhash.xxh64_intdigest
+            raw, seen = xxhash.xxh64_intdigest, set()
             for batch in _slices(batches):
                 out: list[tuple] = []
                 keys = batch.column(0).to_pylist()
-                for text in batch.column(1).to_pylist():
-                    data = _bytes(text)
+                for key, text in zip(keys, batch.column(1).to_pylist()):
+                    # copies of a text have the same anchors; one in a task is enough
+                    data = _bytes(None if key in seen else text)
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    seen.add(key)
                     at, first, last = anchors(data, length, span)
                     view = memoryview(data)
                     h = np.fromiter((raw(view[a : a + sure]) for a in at.tolist()), np.uint64, len(at))
