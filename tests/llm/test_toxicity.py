@@ -43,3 +43,14 @@ def test_edges(spark):
     some = T.fit(docs, spark.createDataFrame([(1, 1), (2, None), (3, 0), (9, 1)], "doc_id long, toxic int"))
     assert T.score_documents(docs, some, evidence=False).count() == 4
     assert T.score_documents(docs.limit(0), some).count() == 0
+
+
+def test_every_term_counts(spark):
+    """No term of an example is left out, however few the examples are."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = T.learnable(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    index = T.fit(docs, labels)
+    texts = [r.text for r in docs.join(labels.select("doc_id"), "doc_id").collect()]
+    assert texts and all(set(index.vector(T.terms_of(t))) == set(T.terms_of(t)) and min(index.vector(T.terms_of(t)).values(), default=1) > 0 for t in texts)
+    rows = T.score_documents(docs, index).collect()
+    assert len({r.score for r in rows}) > 10 and any(r.predicted for r in rows)

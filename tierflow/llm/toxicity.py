@@ -1,20 +1,20 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-The examples stand in an inverted index whose postings are cut into blocks of
-neighbouring examples with the largest weight of each block. A query bounds its
-score in every block from those maxima, visits blocks from the highest bound down
-and stops when no bound reaches the k-th best score, so the neighbours are exact.
-Votes are weighted by similarity and calibrated on the examples themselves, each
-scored without itself.
+The examples stand in an inverted index of all their terms, kept as flat arrays. A
+query adds up the postings of its terms over all examples at once, so the
+neighbours are exact. A term's inverse document frequency is multiplied by its
+association with the label; none is left out. Votes are weighted by similarity and calibrated on the
+examples themselves, each scored without itself.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +22,8 @@ from tierflow.shared import stored
 
 #: Labelled examples of each class at most; those with the smallest hash of their id.
 EXAMPLES = 4000
-#: Terms of the index at most: those that tell the classes apart best (chi-squared, at least this much of it), and this many times as frequent in one class as in the other.
-TERMS, LEAST_CHI2, LIFT = 4096, 30.0, 4.0
-#: Neighbours that vote, and examples of a block.
-NEIGHBOURS, BLOCK = 15, 64
+#: Neighbours that vote.
+NEIGHBOURS = 15
 #: Documents with this score or more count as toxic.
 TOXIC = 0.7
 _SPACES = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
@@ -37,68 +35,66 @@ def terms_of(text: str | None) -> Counter:
 
 
 class Index:
-    """Block-max inverted index of the examples."""
+    """Inverted index of the examples: for each term the positions and weights of those that have it."""
 
-    def __init__(self, idf: dict[bytes, float], vectors: list[dict[bytes, float]], labels: list[int], ids: list[int], weights: tuple[float, float]):
-        self.idf, self.ids = idf, np.array(ids, np.int64)
+    def __init__(self, idf: dict[bytes, float], vectors: Iterable[dict[bytes, float]], labels: list[int], ids: list[int], weights: tuple[float, float]):
+        self.at = {t: k for k, t in enumerate(sorted(idf))}
+        self.idf, self.ids = np.array([idf[t] for t in self.at], np.float64), np.array(ids, np.int64)
         self.labels = np.array(labels, np.float64)
         self.votes = np.where(self.labels > 0, weights[1], weights[0])
-        self.blocks = -(-len(vectors) // BLOCK)
-        postings: dict[bytes, tuple[list[int], list[float]]] = {}
-        for at, vector in enumerate(vectors):
-            for term, value in vector.items():
-                own = postings.setdefault(term, ([], []))
-                own[0].append(at)
-                own[1].append(value)
-        self.postings, self.top = {}, {}
-        for term, (at, value) in postings.items():
-            where, values = np.array(at, np.int64), np.array(value)
-            self.postings[term] = (where, values, np.searchsorted(where, np.arange(self.blocks + 1) * BLOCK))
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, where // BLOCK, values)
-            self.top[term] = top
+        terms, values, sizes = [np.zeros(0, np.int64)], [np.zeros(0)], []
+        for vector in vectors:
+            known = sorted((self.at[t], v) for t, v in vector.items() if t in self.at)
+            terms.append(np.array([t for t, _ in known], np.int64))
+            values.append(np.array([v for _, v in known], np.float64))
+            sizes.append(len(known))
+        every = np.concatenate(terms)
+        order = np.argsort(every, kind="stable")
+        self.where = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.values = np.concatenate(values)[order]
+        self.cuts = np.searchsorted(every[order], np.arange(len(self.at) + 1))
         self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
         self.alone = 0.5
 
+    def _weighed(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms in order, and their TF-IDF with length 1."""
+        found = sorted((self.at[t], n) for t, n in terms.items() if t in self.at)
+        at = np.array([t for t, _ in found], np.int64)
+        values = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.idf[at]
+        return at, values / np.sqrt((values * values).sum()) if len(at) else values
+
     def vector(self, terms: Counter) -> dict[bytes, float]:
         """TF-IDF of the index's terms with length 1."""
-        found = {t: (1 + np.log(n)) * self.idf[t] for t, n in terms.items() if t in self.idf}
-        length = sum(v * v for v in found.values()) ** 0.5
-        return {t: v / length for t, v in found.items()} if length else {}
+        known = sorted(t for t in terms if t in self.at)
+        return dict(zip(known, self._weighed(terms)[1].tolist()))
 
     def nearest(self, vector: dict[bytes, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a cosine over 0; ties go to the lower position."""
-        terms = [(t, v) for t, v in sorted(vector.items()) if t in self.postings]
-        if not terms:
+        known = sorted((self.at[t], v) for t, v in vector.items() if t in self.at)
+        return self._nearest(np.array([t for t, _ in known], np.int64), np.array([v for _, v in known], np.float64), k, without)
+
+    def _nearest(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        runs = [(a, b, v) for a, b, v in zip(self.cuts[terms].tolist(), self.cuts[terms + 1].tolist(), values.tolist()) if a < b]
+        if not runs:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = sum(self.top[t] * v for t, v in terms) * (1 + 1e-9)
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1]:
-                break
-            scores = np.zeros(BLOCK)
-            for term, value in terms:
-                where, values, cuts = self.postings[term]
-                a, b = cuts[block], cuts[block + 1]
-                scores[where[a:b] - block * BLOCK] += values[a:b] * value
-            hit = np.flatnonzero(scores)
-            at = hit + block * BLOCK
-            hit, at = hit[at != without], at[at != without]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, scores[hit]])
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        scores = np.bincount(np.concatenate([self.where[a:b] for a, b, _ in runs]), np.concatenate([self.values[a:b] * v for a, b, v in runs]), len(self.ids))
+        if without >= 0:
+            scores[without] = 0
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        at = np.flatnonzero((scores >= least) & (scores > 0))
+        at = at[np.lexsort((at, -scores[at]))[:k]]
+        return at, scores[at]
 
     def vote(self, at: np.ndarray, similarity: np.ndarray) -> float:
         """Share of the label 1 in the votes, weighted by similarity and by class."""
         weights = similarity * self.votes[at]
         return float((weights * self.labels[at]).sum() / weights.sum())
 
-    def calibrate(self, vectors: list[dict[bytes, float]]) -> None:
+    def calibrate(self, counts: Iterable[Counter]) -> None:
         """Fit the curve from votes to probabilities: rates of label 1 made monotone by pooling neighbours."""
         votes, alone = [], [1.0, 1.0]
-        for k, vector in enumerate(vectors):
-            at, similarity = self.nearest(vector, NEIGHBOURS, without=k)
+        for k, terms in enumerate(counts):
+            at, similarity = self._nearest(*self._weighed(terms), NEIGHBOURS, without=k)
             weight = float(self.votes[k])
             if len(at):
                 votes.append((self.vote(at, similarity), weight, weight * self.labels[k]))
@@ -116,22 +112,21 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
         """Probability of label 1 with the neighbours it rests on."""
-        at, similarity = self.nearest(self.vector(terms_of(text)), NEIGHBOURS)
+        at, similarity = self._nearest(*self._weighed(terms_of(text)), NEIGHBOURS)
         score = float(np.interp(self.vote(at, similarity), *self.curve)) if len(at) else self.alone
         return score, at, similarity
 
 
-def _chosen_terms(examples: DataFrame, n: Counter) -> list[bytes]:
-    """The terms that tell the classes apart best; at most ``TERMS`` come to the driver."""
-    if not n[0] or not n[1]:
-        return []
-    df = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    c, d = n[1] - F.col("a"), n[0] - F.col("b")
-    chi2 = (n[0] + n[1]) * F.pow(F.col("a") * d - F.col("b") * c, 2) / ((F.col("a") + F.col("b")) * (c + d) * n[1] * n[0])
-    ranked = df.where((F.col("a") + F.col("b") >= 3) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    rates = F.col("a") / n[1], F.col("b") / n[0]
-    ranked = ranked.where(F.greatest(*rates) >= LIFT * F.least(*rates))
-    return [bytes(r.term) for r in ranked.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()]
+def _association(ones: np.ndarray, zeros: np.ndarray, n_ones: int, n_zeros: int) -> np.ndarray:
+    """Phi coefficient of each term and the class, at least 1 / examples, so every term keeps a weight; 1 for all if there is one class only.
+
+    It has no bar and does not grow with the number of examples.
+    """
+    if not n_ones or not n_zeros:
+        return np.ones(len(ones))
+    both, n = ones + zeros, n_ones + n_zeros
+    spread = np.sqrt(both * np.maximum(n - both, 1) * float(n_ones) * n_zeros)
+    return np.maximum(np.abs(ones * float(n_zeros) - zeros * float(n_ones)) / spread, 1 / n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
@@ -160,45 +155,46 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
 
     every = stored(rows.mapInArrow(count, "doc_id long, toxic int, terms array<binary>, counts array<long>"), "examples")
     n = Counter({r.toxic: r.n for r in every.groupBy("toxic").agg(F.count("*").alias("n")).collect()})
-    terms = _chosen_terms(every, n)
-    wanted = spark.sparkContext.broadcast(frozenset(terms))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[(t, c) for t, c in zip(ts, cs) if t in wanted.value] for ts, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            columns = [pa.array([[x[k] for x in f] for f in found], pa.list_(kind)) for k, kind in ((0, pa.binary()), (1, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=batch.schema.names)
-
-    # examples with the terms of the index only
-    picked = sorted(every.mapInArrow(choose, every.schema).collect(), key=lambda r: r.doc_id)
-    counts = [Counter(dict(zip(map(bytes, r.terms), r.counts))) for r in picked]
+    # the examples' terms come as Arrow columns; their number is bounded by ``examples``
+    picked = every.toArrow().sort_by("doc_id").combine_chunks()
+    lists, toxic = picked.column("terms"), picked.column("toxic").to_numpy()
+    flat = pa.chunked_array([c.flatten() for c in lists.chunks], pa.binary()).combine_chunks().dictionary_encode()
+    terms, numbers = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+    of = np.repeat(toxic, pc.list_value_length(lists).to_numpy())
     df, total = _document_frequencies(docs, terms)
-    idf = {t: float(np.log((1 + total) / (1 + df.get(t, 0)))) + 1 for t in terms}
+    tell = _association(np.bincount(numbers[of == 1], minlength=len(terms)), np.bincount(numbers[of == 0], minlength=len(terms)), n[1], n[0])
+    idf = {t: (float(np.log((1 + total) / (1 + df.get(t, 0)))) + 1) * w for t, w in zip(terms, tell.tolist())}
     weights = tuple(totals.get(k, 0) / n[k] if n[k] else 1.0 for k in (0, 1))
     base = Index(idf, [], [], [], weights)
-    vectors = [base.vector(c) for c in counts]
-    index = Index(idf, vectors, [r.toxic for r in picked], [r.doc_id for r in picked], weights)
-    if picked:
-        index.calibrate(vectors)
+
+    def counts() -> Iterator[Counter]:
+        for ts, cs in zip(picked.column("terms"), picked.column("counts")):
+            yield Counter(dict(zip(ts.as_py(), cs.as_py())))
+
+    index = Index(idf, map(base.vector, counts()), picked.column("toxic").to_pylist(), picked.column("doc_id").to_pylist(), weights)
+    if picked.num_rows:
+        index.calibrate(counts())
     return index
 
 
 def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[dict[bytes, int], int]:
-    """In how many documents each term is, and how many documents there are; at most ``TERMS`` + 1 rows come back."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    """In how many documents each term is, and how many documents there are; a row for each term and one come back."""
+    wanted = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted.value
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found[None] += 1
                 if text:
-                    found.update(wanted.value.intersection(text.lower().encode("utf-8").translate(_SPACES).split()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+                    found.update(known.keys() & text.lower().encode("utf-8").translate(_SPACES).split())
+        yield pa.RecordBatch.from_arrays([pa.array([-1 if t is None else known[t] for t in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {bytes(r.term) if r.term is not None else None: r.n for r in rows}
-    return df, df.pop(None, 0)
+    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist()))
+    total = df.pop(-1, 0)
+    return {terms[k]: v for k, v in df.items()}, total
 
 
 def score_documents(docs: DataFrame, index: Index, evidence: bool = True) -> DataFrame:
@@ -207,7 +203,7 @@ def score_documents(docs: DataFrame, index: Index, evidence: bool = True) -> Dat
     Null and empty texts, and texts with none of the index's terms, have no
     neighbours and get the rate of label 1 among such examples. Repeated rows give
     repeated rows; only doc_id and text are read. The index that is broadcast is
-    bounded by the number of examples and terms.
+    bounded by the number of examples and their terms.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
