@@ -65,3 +65,13 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert D.find_leaks(docs.limit(0), items).count() == 0 and D.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_copies_with_other_parameters(spark):
+    """Each copy of an item is tested on its own: two renamed differently, and one beside a window filled otherwise."""
+    other = RENAMED.replace("Rome", "Bonn").replace("7", "5").replace("250", "300").replace("5 hours", "8 hours")
+    piece = "A train leaves Rome at 9 and travels 9 km to the coast"
+    docs = [(1, f"{RENAMED} {other}"), (2, f"{piece} or so. {RENAMED}"), (3, BROKEN), (4, RENAMED), (4, other)]
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert {(r.doc_id, r.n_found, r.renamed) for r in got.collect()} >= {(d, got.first().n_windows, True) for d in (1, 2, 4)}
+    assert {r.doc_id for r in got.collect()} - {3} == {1, 2, 4}

@@ -125,7 +125,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     ``n_found`` counts the item's windows in the document; windows whose placeholders
     are filled otherwise count only if the renaming between item and document is
-    one-to-one over all of them (then ``renamed`` is true). Rows with the same id
+    one-to-one over all of them or over those of one occurrence of the item in the
+    document (then ``renamed`` is true). Rows with the same id
     count as one document. Null and empty texts hold nothing, null items are in
     nothing; empty tables give no pairs; other columns are not read.
 
@@ -143,32 +144,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # positions of different texts of one id lie far apart
+                begin = xxhash.xxh64_intdigest((text or "").encode("utf-8")) >> 2
                 for size, found, at, slot, tokens in _windows(text, sizes):
                     low = found & np.uint64(FILTER_BITS - 1)
                     hit = np.flatnonzero((known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
-                    rows += [(h, doc, _slots(tokens, slot, k, size)) for h, k in zip(found[hit].view(np.int64).tolist(), at[hit].tolist())]
-            columns = list(zip(*rows)) or [()] * 3
-            kinds = [pa.int64(), batch.schema.field(0).type, pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["window", "doc_id", "doc_slots"])
+                    rows += [(h, doc, begin + k, _slots(tokens, slot, k, size)) for h, k in zip(found[hit].view(np.int64).tolist(), at[hit].tolist())]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["window", "doc_id", "doc_at", "doc_slots"])
 
     picked = docs.select(id_col, text_col)
-    hits = picked.mapInArrow(run, f"window long, doc_id {picked.schema[id_col].dataType.simpleString()}, doc_slots array<string>")
-    met = hits.join(items, "window").select("doc_id", "item_id", "at", "n", F.arrays_zip("slots", "doc_slots").alias("pairs"))
+    hits = picked.mapInArrow(run, f"window long, doc_id {picked.schema[id_col].dataType.simpleString()}, doc_at long, doc_slots array<string>")
+    met = hits.join(items, "window").select("doc_id", "item_id", "at", "n", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip("slots", "doc_slots").alias("pairs"))
     same = F.expr("forall(pairs, p -> p.slots = p.doc_slots)")
-    # a document and an item have as many rows as the item has windows, times its copies in the document
-    both = met.groupBy("doc_id", "item_id").agg(
-        F.max("n").alias("n_windows"),
-        F.count_distinct("at").alias("n_all"),
-        F.count_distinct(F.when(same, F.col("at"))).alias("n_same"),
+    # a shift is one occurrence of the item in the document; both have as many rows as the item has windows, times its copies
+    each = met.groupBy("doc_id", "item_id", "shift").agg(
+        F.max("n").alias("n"),
+        F.collect_set("at").alias("all"),
+        F.collect_set(F.when(same, F.col("at"))).alias("same"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.size("pairs") > 0, F.col("pairs"))))).alias("pairs"),
     )
     names = [F.size(F.array_distinct(F.col("pairs"))), F.size(F.expr("array_distinct(pairs.slots)")), F.size(F.expr("array_distinct(pairs.doc_slots)"))]
     one_to_one = (names[0] == names[1]) & (names[0] == names[2])
-    found = F.when(one_to_one, F.col("n_all")).otherwise(F.col("n_same"))
+    both = each.groupBy("doc_id", "item_id").agg(
+        F.max("n").alias("n_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("all")))).cast("long").alias("n_all"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("same")))).cast("long").alias("n_same"),
+        F.max(F.when(one_to_one, F.size("all")).otherwise(0)).cast("long").alias("n_best"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+    )
+    found = F.when(one_to_one, F.col("n_all")).otherwise(F.greatest("n_same", "n_best"))
     return (
         both.withColumn("n_found", found)
         .where(F.col("n_found") >= F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * SHARE)))
-        .select("doc_id", "item_id", "n_found", F.col("n_windows").cast("long").alias("n_windows"), (one_to_one & (F.col("n_all") > F.col("n_same"))).alias("renamed"))
+        .select("doc_id", "item_id", "n_found", F.col("n_windows").cast("long").alias("n_windows"), (F.col("n_found") > F.col("n_same")).alias("renamed"))
     )
 
 
