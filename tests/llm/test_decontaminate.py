@@ -75,3 +75,12 @@ def test_copies_with_other_parameters(spark):
     got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
     assert {(r.doc_id, r.n_found, r.renamed) for r in got.collect()} >= {(d, got.first().n_windows, True) for d in (1, 2, 4)}
     assert {r.doc_id for r in got.collect()} - {3} == {1, 2, 4}
+
+
+def test_literal_copies(spark):
+    """Items without enough words for a template: arithmetic, tables, capitals, few tokens, and a capital that follows other text."""
+    items = [(1, "1 2 3 4 5 6 7 8 9 10"), (2, "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG"), (3, "12 + 30 = 42"), (4, "two words"), (5, "Lakes freeze in winter"), (6, "Paris 3 km Rome 4 km Bonn 5 km Oslo 6 km")]
+    around = "some other text stands here and then comes"
+    docs = [(k, f"{around} {text} and more of it") for k, text in items] + [(7, around), (8, "12 13 14 15 16 17 18 19 20 21"), (9, "two other words")]
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k, _ in items}

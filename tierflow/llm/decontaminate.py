@@ -36,6 +36,7 @@ _NUMBER = re.compile(r"[+\-$€£]?\d[\d.,:/]*[a-z%°]*")
 _EDGE = "\"'()[]{}<>.,;:!?¡¿…“”‘’«»*#$%&"
 _CAPITAL, _NUM, _UNIT, _END = 1, 2, 3, 4
 _FLAGS = np.uint64(7)
+_LITERAL = np.uint64(0x6C69746572616C)
 _SLOTS = {_CAPITAL: np.uint64(8 * 0x51ED27), _NUM: np.uint64(8 * 0x2545F49), _UNIT: np.uint64(8 * 0x9E3779B)}
 _codes: dict[str, int] = {}
 
@@ -88,26 +89,37 @@ def _windows(text: str | None, sizes: list[int]) -> Iterator[tuple[int, np.ndarr
             yield size, found[at], at, slot, tokens
 
 
+def _literal_windows(tokens: list[str], sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size: hashes of all windows of lower-cased tokens as they stand, whatever their kinds."""
+    codes = np.fromiter(((_codes.get(t) or _code(t)) for t in tokens), np.uint64, len(tokens)) & ~_FLAGS
+    for size in sizes:
+        if len(tokens) >= size:
+            yield size, mixed(mixed(run_hashes(codes, size) + _LITERAL) + np.uint64(size))
+
+
 def _slots(tokens: list[str], slot: np.ndarray, at: int, size: int) -> list[str]:
     return [tokens[k].strip(_EDGE).lower() for k in range(at, at + size) if slot[k]]
 
 
 def _item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``window, item_id, at, n, slots, size``; items of fewer tokens than a window are one window, those of fewer than ``WORDS`` none."""
+    """``window, item_id, at, n, slots, size, literal``; items of fewer tokens than a window are one window, those of fewer than ``WORDS`` a literal one only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size = min(WINDOW, len((text or "").split()))
+                words = (text or "").split()
+                size = min(WINDOW, len(words))
                 for _, found, at, slot, tokens in _windows(text, [size] if size >= WORDS else []):
-                    rows += [(h, item, k, len(found), _slots(tokens, slot, k, size), size) for h, k in zip(found.view(np.int64).tolist(), at.tolist())]
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["window", "item_id", "at", "n", "slots", "size"])
+                    rows += [(h, item, k, len(found), _slots(tokens, slot, k, size), size, False) for h, k in zip(found.view(np.int64).tolist(), at.tolist())]
+                for _, found in _literal_windows(words, [size] if size else []):
+                    rows += [(h, item, k, len(found), [], size, True) for k, h in enumerate(found.view(np.int64).tolist())]
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["window", "item_id", "at", "n", "slots", "size", "literal"])
 
     picked = benchmark.select(id_col, text_col).distinct()
-    return picked.mapInArrow(run, f"window long, item_id {picked.schema[id_col].dataType.simpleString()}, at int, n int, slots array<string>, size int")
+    return picked.mapInArrow(run, f"window long, item_id {picked.schema[id_col].dataType.simpleString()}, at int, n int, slots array<string>, size int, literal boolean")
 
 
 def _filter_of(windows: DataFrame) -> np.ndarray:
@@ -126,7 +138,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ``n_found`` counts the item's windows in the document; windows whose placeholders
     are filled otherwise count only if the renaming between item and document is
     one-to-one over all of them or over those of one occurrence of the item in the
-    document (then ``renamed`` is true). Rows with the same id
+    document (then ``renamed`` is true). Literal windows of the lower-cased tokens, with
+    no least number of words, find copies that the templates leave out: tables,
+    arithmetic, titles in capitals and items of few tokens. Rows with the same id
     count as one document. Null and empty texts hold nothing, null items are in
     nothing; empty tables give no pairs; other columns are not read.
 
@@ -136,30 +150,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     items = _item_windows(benchmark, item_id_col, item_text_col).cache()
-    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # from WORDS to WINDOW at most
+    every = items.select("size", "literal").distinct().collect()  # sizes up to WINDOW at most
+    sizes, literal_sizes = (sorted(r.size for r in every if r.literal == kind) for kind in (False, True))
     bits = spark.sparkContext.broadcast(_filter_of(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
+
+        def known_of(found: np.ndarray) -> np.ndarray:
+            low = found & np.uint64(FILTER_BITS - 1)
+            return np.flatnonzero((known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
+
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = (text or "").split()
                 # positions of different texts of one id lie far apart
                 begin = xxhash.xxh64_intdigest((text or "").encode("utf-8")) >> 2
                 for size, found, at, slot, tokens in _windows(text, sizes):
-                    low = found & np.uint64(FILTER_BITS - 1)
-                    hit = np.flatnonzero((known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
+                    hit = known_of(found)
                     rows += [(h, doc, begin + k, _slots(tokens, slot, k, size)) for h, k in zip(found[hit].view(np.int64).tolist(), at[hit].tolist())]
+                for size, found in _literal_windows(words, literal_sizes):
+                    hit = known_of(found)
+                    rows += [(h, doc, begin + k, []) for h, k in zip(found[hit].view(np.int64).tolist(), hit.tolist())]
             columns = list(zip(*rows)) or [()] * 4
             kinds = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["window", "doc_id", "doc_at", "doc_slots"])
 
     picked = docs.select(id_col, text_col)
     hits = picked.mapInArrow(run, f"window long, doc_id {picked.schema[id_col].dataType.simpleString()}, doc_at long, doc_slots array<string>")
-    met = hits.join(items, "window").select("doc_id", "item_id", "at", "n", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip("slots", "doc_slots").alias("pairs"))
+    met = hits.join(items, "window").select("doc_id", "item_id", "literal", "at", "n", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip("slots", "doc_slots").alias("pairs"))
     same = F.expr("forall(pairs, p -> p.slots = p.doc_slots)")
     # a shift is one occurrence of the item in the document; both have as many rows as the item has windows, times its copies
-    each = met.groupBy("doc_id", "item_id", "shift").agg(
+    each = met.groupBy("doc_id", "item_id", "literal", "shift").agg(
         F.max("n").alias("n"),
         F.collect_set("at").alias("all"),
         F.collect_set(F.when(same, F.col("at"))).alias("same"),
@@ -167,7 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     )
     names = [F.size(F.array_distinct(F.col("pairs"))), F.size(F.expr("array_distinct(pairs.slots)")), F.size(F.expr("array_distinct(pairs.doc_slots)"))]
     one_to_one = (names[0] == names[1]) & (names[0] == names[2])
-    both = each.groupBy("doc_id", "item_id").agg(
+    both = each.groupBy("doc_id", "item_id", "literal").agg(
         F.max("n").alias("n_windows"),
         F.size(F.array_distinct(F.flatten(F.collect_list("all")))).cast("long").alias("n_all"),
         F.size(F.array_distinct(F.flatten(F.collect_list("same")))).cast("long").alias("n_same"),
@@ -175,11 +198,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
     )
     found = F.when(one_to_one, F.col("n_all")).otherwise(F.greatest("n_same", "n_best"))
-    return (
-        both.withColumn("n_found", found)
-        .where(F.col("n_found") >= F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * SHARE)))
-        .select("doc_id", "item_id", "n_found", F.col("n_windows").cast("long").alias("n_windows"), (F.col("n_found") > F.col("n_same")).alias("renamed"))
-    )
+    passed = both.withColumn("n_found", found).where(F.col("n_found") >= F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * SHARE)))
+    # templates go first; what only literal windows find is reported by those
+    kept = F.struct("literal", "n_found", F.col("n_windows").cast("long").alias("n_windows"), (F.col("n_found") > F.col("n_same")).alias("renamed"))
+    return passed.groupBy("doc_id", "item_id").agg(F.min(kept).alias("kept")).select("doc_id", "item_id", "kept.n_found", "kept.n_windows", "kept.renamed")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
