@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.llm.batches import bounded, slices
 from tierflow.llm.membership import BITS, contained, filter_of, possible
 from tierflow.llm.words import mixed
 from tierflow.shared import stored
@@ -51,13 +52,6 @@ def anchors(data: np.ndarray, length: int = LENGTH, span: int = SPAN) -> tuple[n
     return at[first], first, np.append(first[1:], n) - 1
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that few texts are unpacked at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8"), np.uint8)
 
@@ -143,12 +137,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     spark = texts.sparkSession
 
     def found(bits: np.ndarray | None) -> DataFrame:
-        """Anchors with the hashes of their sure bytes (``h``) and of all bytes of their strings (``w``); only those whose ``h`` may be in the filter."""
+        """Anchors with the 64-bit hash of their sure bytes (``h``) and the 128-bit one of all bytes of their strings (``w, v``); only those whose ``h`` may be in the filter."""
         shared = spark.sparkContext.broadcast(bits) if bits is not None else None
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, seen = xxhash.xxh64_intdigest, set()
-            for batch in _slices(batches):
+            for batch in slices(batches):
                 out: list[tuple] = []
                 keys = batch.column(0).to_pylist()
                 for key, text in zip(keys, batch.column(1).to_pylist()):
@@ -163,23 +157,25 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
                     if shared is not None:
                         keep = contained(shared.value, mixed(h) & np.uint64(BITS - 1))
                         at, first, last, h = at[keep], first[keep], last[keep], h[keep]
-                    w = np.fromiter((raw(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), np.uint64, len(at))
-                    out.append((h, w, at << 16 | (at - first) << 8 | (at - last)))
+                    w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), np.uint64).reshape(-1, 2)
+                    out.append((h, w[:, 0], w[:, 1], at << 16 | (at - first) << 8 | (at - last)))
                 names = pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), [len(o[0]) for o in out])))
-                h, w, spot = (np.concatenate([o[k] for o in out]).astype(t) if out else np.zeros(0, t) for k, t in enumerate((np.uint64, np.uint64, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array((mixed(h) & np.uint64(BITS - 1)).astype(np.int64)), names, pa.array(spot)], names=["h", "w", "bit", "key", "spot"])
+                h, w, v, spot = (np.concatenate([o[k] for o in out]).astype(t) if out else np.zeros(0, t) for k, t in enumerate((np.uint64, np.uint64, np.uint64, np.int64)))
+                bit = (mixed(h) & np.uint64(BITS - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (h, w, v)), pa.array(bit), names, pa.array(spot)], names=["h", "w", "v", "bit", "key", "spot"])
 
-        return texts.select("key", "text").mapInArrow(find, "h long, w long, bit long, key binary, spot long")
+        return texts.select("key", "text").mapInArrow(find, "h long, w long, v long, bit long, key binary, spot long")
 
     # sure bytes that are in two places
     twice = found(None).groupBy("h", "bit").agg(F.min(F.struct("key", "spot")).alias("a"), F.max(F.struct("key", "spot")).alias("b")).where("a <> b").select("h", "bit")
     twice = stored(twice, "twice")
-    met = found(filter_of(twice, F.col("bit"))).drop("bit").join(twice.drop("bit").hint("shuffle_hash"), "h").distinct()
+    # distinct comes first, so that nothing after the join needs its keys together and Spark may split a frequent one
+    met = found(filter_of(twice, F.col("bit"))).drop("bit").distinct().join(twice.select("h"), "h")
     met = stored(met, "anchors")
     # where even all bytes of the strings are in two places, every start occurs again
-    kinds = stored(met.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("key", "spot")).alias("one")), "kinds")
+    kinds = stored(met.groupBy("h", "w", "v").agg(F.count("*").alias("n"), F.min(F.struct("key", "spot")).alias("one")), "kinds")
     place = (F.shiftright("spot", 16).cast("int") - F.shiftright("spot", 8).bitwiseAND(255).cast("int")).alias("start"), (F.shiftright("spot", 16) - F.col("spot").bitwiseAND(255) + length).cast("int").alias("stop")
-    again = met.join(kinds.where("n > 1").select("h", "w"), ["h", "w"]).select("key", *place)
+    again = met.join(kinds.where("n > 1").select("h", "w", "v"), ["h", "w", "v"]).select("key", *place)
     # the others are compared, with one of each kind that begins alike
     open_ = kinds.where("n = 1").select("h").distinct()
     ones = kinds.join(open_, "h", "left_semi").select("one.key", F.shiftright("one.spot", 16).cast("int").alias("at"))
@@ -188,7 +184,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     wanted = wanted.join(chosen, "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for key, text, ats in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = _bytes(text)
                 at, first, last = anchors(data, length, span)
@@ -242,6 +238,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have nothing to remove; a row that is repeated makes its
     text repeated; only the two named columns are read.
     """
+    bounded(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))).select("key", "id", "text")
     spans = repeated_spans(texts.where(F.octet_length("text") >= length), length, span)
@@ -251,7 +248,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = stored(parts.unionByName(whole), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             rows: list[tuple] = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = _bytes(text)
