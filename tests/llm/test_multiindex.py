@@ -28,3 +28,21 @@ def test_few_rows(spark):
     vectors = spark.createDataFrame([(0, [1.0, -1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in M.nearest_codes(vectors, 5, "id % 10 = 0").collect()] == [(0, 1, 1, 1)]
     assert M.nearest_codes(vectors.limit(0), 5, "true").count() == 0
+
+
+def test_repeated_rows_and_lengths(spark):
+    """Rows of one id are one; vectors of another length are searched among themselves."""
+    rows = [(0, [1.0, 1.0, 1.0])] * 12 + [(1, [1.0, 1.0, -1.0]), (2, [1.0, -1.0, -1.0]), (3, [-1.0, -1.0, -1.0])]
+    rows += [(10, [1.0, 1.0]), (11, [-1.0, 1.0]), (11, [1.0, 1.0]), (None, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in M.nearest_codes(vectors, 2, "id % 10 = 0").collect())
+    assert got == [(0, 1, 1, 1), (0, 2, 2, 2), (10, 1, 11, 1)]
+
+
+def test_common_vector_and_clashing_columns(spark):
+    """A vector of a third of the rows; other columns with the names that the search uses."""
+    pick = random.Random(3)
+    rows = [(k, [1.0] * 16 if k % 3 == 0 else [pick.gauss(0, 1) for _ in range(16)]) for k in range(900)]
+    vectors = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<float>, id int, q int, chunk int")
+    got = sorted(tuple(r) for r in M.nearest_codes(vectors, 4, "id % 10 = 0").collect())
+    assert got == brute(rows, 4)
