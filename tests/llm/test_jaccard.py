@@ -59,11 +59,11 @@ def made(seed, groups=15):
     return rows
 
 
-@pytest.mark.parametrize("seed,leaf", [(1, 48), (2, 12)])
-def test_matches_brute_force(spark, seed, leaf):
+@pytest.mark.parametrize("seed,cell", [(1, 256), (2, 20)])
+def test_matches_brute_force(spark, seed, cell):
     rows = made(seed)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, leaf=leaf).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, cell=cell).collect()}
     assert got == brute(rows)
 
 
@@ -97,3 +97,52 @@ def test_components(spark):
         parent[y] = x
     got = {r.id: r.component for r in J.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
+
+
+def passages(seed, n):
+    """Texts of 7 of 14 common passages, some with an edit: many members of a region, few of them linked."""
+    pick = random.Random(seed)
+    parts = [" ".join("p%d" % pick.randint(0, 5000) for _ in range(30)) for _ in range(14)]
+    rows = []
+    for k in range(n):
+        words = " ".join(parts[p] for p in sorted(pick.sample(range(14), 7))).split()
+        for _ in range(pick.randint(0, 3)):
+            words[pick.randrange(len(words))] = "e%d" % pick.randint(0, 99)
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_cells_in_memory():
+    """Pivots and windows find the components that all pairs have."""
+    rows = passages(4, 250)
+    sets = [J.shingles(J.words_of(text), J.WORDS) for _, text in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    cells = J.Cells(sets, list(range(len(rows))), J.PERCENT)
+    for a, b in cells.links():
+        both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        assert 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    want = brute(rows)
+    assert {k: root(k) for k in range(len(rows))} == {k: c for k, (_, c) in want.items()}
+    assert len(cells.known) < len(rows)
+
+
+def test_common_passages(spark):
+    """Regions larger than a task's share are divided by Spark."""
+    rows = passages(5, 220)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, cell=30).collect()} == brute(rows)
+
+
+def test_clashing_columns(spark):
+    """Columns with the names that the join and its filter use stay as they are."""
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, 8, "x"), (2, "a b c d e f", 9, 8, "y"), (3, "q", 1, 1, None)], "doc_id long, text string, bit int, h int, id string")
+    got = sorted(map(tuple, J.without_near_copies(docs).collect()))
+    assert got == [(1, "a b c d e f", 7, 8, "x"), (3, "q", 1, 1, None)]

@@ -25,3 +25,12 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
         rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, or the first of ``name1, name2 ..`` that is no column, in either case of letters."""
+    taken, k, own = {c.lower() for c in columns}, 0, name
+    while own.lower() in taken:
+        k += 1
+        own = f"{name}{k}"
+    return own

@@ -1,21 +1,21 @@
 """Exact Jaccard join of documents' word shingles in the metric space of Jaccard distance.
 
-Pivots are documents. Each stands for a region: the documents that share one of
-its rare shingles, where linked documents must meet (prefix condition: of two sets
-with similarity 0.8 or more, the rarest fifths share a shingle). Documents whose
-shingles lie in several regions are replicated to each of them. Every document's
-exact distance to the pivots of its regions is computed. Documents within the
-radius are linked to the pivot and so to each other. What is left of a region,
-documents that are not yet in one component, is joined again: pairs whose
-distances to a common pivot differ by more than the radius cannot be linked
-(triangle inequality) and drop out, large remains get new pivots, small ones are
-compared directly.
-
-A region's near copies meet its pivot only, so a group of n of them costs n
-comparisons instead of n * n / 2. Unrelated documents all have distance 1 from
-each other, which is why regions of whole-space Voronoi cells would separate
-nothing; restricting cells to documents that share a rare shingle keeps the join
-exact and near linear.
+Unrelated documents all have distance 1 from each other, so cells of the whole space
+would separate nothing. Regions are therefore first drawn where links are possible
+at all: documents that have one of each other's rare shingles (prefix condition: of
+two sets with similarity 0.8 or more, the rarest fifths share a shingle). Documents
+with rare shingles of several regions are replicated to each of them, equal sets
+and regions with the same members count once.
+
+A region's first pivot meets all members. Documents within the radius are linked to
+it and so to each other, so a group of n near copies costs n comparisons. A region
+whose members are then in more than one component is divided: some members become
+pivots, the exact distances of all members to them are computed, every member goes
+to the Voronoi cell of its nearest pivot, and with it those of other cells that the
+triangle inequality lets be linked over the border: d(x, p) <= d(x, own pivot) + twice
+the radius, and d(x, p) <= the cell's reach + the radius. Cells are joined in the same
+way until their members are in one component or few enough to meet each other.
+Regions of up to ``CELL`` documents recurse inside a task, larger ones in Spark.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierflow.llm.batches import bounded, slices
 from tierflow.llm.membership import filter_of, possible
 from tierflow.llm.words import mixed, shingles, words_of
 from tierflow.shared import dropped, stored
@@ -36,8 +37,10 @@ from tierflow.shared import dropped, stored
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch of shingle frequencies. Fixed: 4 MB are broadcast whatever the corpus.
 COUNTERS = 1 << 20
-#: Members of a region's remainder that are compared with each other; larger ones get new pivots.
-LEAF = 48
+#: Members and shingles of a region that one task joins at most; larger ones are divided by Spark.
+CELL, WEIGHT = 256, 1 << 21
+#: Pivots of a division at first, and members of a cell that are compared with each other.
+PIVOTS, LEAF = 16, 16
 _CHUNKS = 64
 
 
@@ -47,7 +50,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(counts, (shingles(words_of(text), WORDS) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
         kind = np.uint8 if counts.max() < 256 else np.uint32
@@ -80,7 +83,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = counts.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, sets, prefixes = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(words_of(text), WORDS)
@@ -104,13 +107,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     """``id, set`` of some documents, the set as sorted 64-bit values. A filter of fixed size drops most others before the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(words_of(text), WORDS).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            digests = [xxhash.xxh3_128_digest(s) if s else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_id", "set"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     wanted = possible(picked, "id", filter_of(ids, F.xxhash64("id"))).join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary").dropDuplicates(["id"])
+    made = wanted.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set_id binary, set binary").where("set_id is not null")
+    return made.groupBy("id").agg(F.min(F.struct("set_id", "set")).alias("s")).select("id", "s.set")
 
 
 def _measured(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +132,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, common, total`` of each pair: sizes of intersection and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             common, total = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -170,66 +175,187 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+def _dropped_single(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """``h, id, n, m, c, size, weight`` of the regions of ``rest`` (h, id, n, m) whose members are in more than one component."""
+    named = rest.join(found, "id", "left").select("h", "id", "n", "m", F.coalesce("component", "id").alias("c"))
+    many = named.groupBy("h").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("_c <> _d").select("h", "size", "weight")
+    return stored(named.join(many, "h"), "regions")
+
+
+def _within(regions: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each of these regions, which are small enough for a task."""
+    kind = regions.schema["id"].dataType.simpleString()
+    sets = stored(_sets_of(docs, regions.select("id").distinct(), id_col, text_col), "sets")
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, held = [], [], []
+        for batch in batches:
+            ids += batch.column(1).to_pylist()
+            names += batch.column(2).to_pylist()
+            held += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
+        links = list(Cells(held, names, percent).links())
+        yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in links], batch.schema.field(1).type), pa.array([ids[y] for _, y in links], batch.schema.field(1).type)], names=["a", "b"])
+
+    rows = regions.select("h", "id", "c").join(sets, "id").select("h", "id", "c", "set")
+    links = stored(rows.groupBy("h").applyInArrow(join, f"a {kind}, b {kind}").distinct(), "links")
+    dropped(sets)
+    return links
+
+
+class Cells:
+    """Exact join of one region in memory: pivots, cells of the nearest pivot, windows, recursion."""
+
+    def __init__(self, sets: list[np.ndarray], components: list, percent: int):
+        values, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sizes = np.array([len(s) for s in sets])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.mark = np.zeros(len(values), np.int32)
+        self.percent, self.radius = percent, (100 - percent) / 100 + 1e-9
+        self.of = np.unique(np.array(components), return_inverse=True)[1]
+        self.known: dict[int, np.ndarray] = {}
+        self.found: list[tuple[int, int]] = []
+
+    def distances(self, pivot: int) -> np.ndarray:
+        """Distance of every member to ``pivot``; whoever is within the radius is linked to it."""
+        if pivot not in self.known:
+            own = self.codes[self.starts[pivot] : self.starts[pivot] + self.sizes[pivot]]
+            self.mark[own] = 1
+            common = np.add.reduceat(self.mark[self.codes], self.starts)
+            self.mark[own] = 0
+            total = self.sizes + self.sizes[pivot] - common
+            self.known[pivot] = 1 - common / total
+            for other in np.flatnonzero(common * 100 >= total * self.percent):
+                if self.of[other] != self.of[pivot]:
+                    self.of[self.of == self.of[other]] = self.of[pivot]
+                    self.found.append((pivot, int(other)))
+        return self.known[pivot]
+
+    def compare(self, members: np.ndarray) -> None:
+        """Members meet the others, but for those that a known pivot's window or a common component rules out."""
+        rows = np.stack([self.known[p] for p in self.known], 1) if self.known else np.zeros((len(self.of), 1))
+        for x in members:
+            left = members[self.of[members] != self.of[x]]
+            if x not in self.known and (np.abs(rows[left] - rows[x]).max(1, initial=0) <= self.radius).any():
+                self.distances(int(x))
+
+    def split(self, members: np.ndarray) -> None:
+        if len(np.unique(self.of[members])) < 2:
+            return
+        if len(members) <= LEAF:
+            return self.compare(members)
+        # pivots as far from each other as can be
+        pivots, least = [int(members[0])], self.distances(int(members[0]))[members]
+        while len(pivots) < PIVOTS and least.max() > 0:
+            pivots.append(int(members[least.argmax()]))
+            least = np.minimum(least, self.distances(pivots[-1])[members])
+        each = np.stack([self.known[p][members] for p in pivots], 1)
+        home = each.argmin(1)
+        for k in range(len(pivots)):
+            if not (home == k).any():
+                continue
+            reach = each[home == k, k].max()
+            inside = (home == k) | ((each[:, k] - least <= 2 * self.radius) & (each[:, k] <= reach + self.radius))
+            # a cell that is hardly smaller than its region is compared as it is
+            (self.split if inside.sum() <= 0.75 * len(members) else self.compare)(members[inside])
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links between members of different components, as many as it takes to join those that are linked at all."""
+        self.split(np.arange(len(self.of)))
+        return self.found
+
+
+def _divided(large: DataFrame, measured: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """One round of large regions: the new cells (h, id, n, m) and the distances of all members to the pivots.
+
+    Pivots are taken from outside the region's largest component first. A member
+    goes to the cell of its nearest pivot and, where the triangle inequality allows a
+    link over the border, to others. A region that this would blow up stays whole
+    and gets twice the pivots next time. Pivots have met all and leave.
+    """
+    main = large.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("main")).select("h", F.col("main.c").alias("main"))
+    ranked = large.join(main, "h").withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy(F.col("c") == F.col("main"), F.xxhash64("id", F.lit(step)), "id")))
+    pivots = stored(ranked.where((F.col("_n") <= PIVOTS << (step - 1)) & (F.col("_n") <= F.col("m"))).select("h", F.col("id").alias("pivot")), "pivots")
+    met = stored(large.select("h", "id", "n", "m", "size").join(pivots, "h"), "met")
+    pairs = met.where("id <> pivot").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+    more = _measured(docs, pairs.join(measured, ["a", "b"], "left_anti"), id_col, text_col)
+    every = measured.unionByName(more).select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
+    near = met.select("*", F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).join(every, ["a", "b"], "left")
+    near = stored(near.select("h", "id", "n", "m", "size", "pivot", F.coalesce("d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(1.0)).alias("d")), "near")
+    homes = near.groupBy("h", "id").agg(F.min(F.struct("d", "pivot")).alias("home"))
+    reach = homes.groupBy("h", F.col("home.pivot").alias("pivot")).agg(F.max("home.d").alias("reach"))
+    radius = (100 - percent) / 100 + 1e-9
+    placed = near.join(homes, ["h", "id"]).join(reach, ["h", "pivot"])
+    inside = (F.col("pivot") == F.col("home.pivot")) | ((F.col("d") - F.col("home.d") <= 2 * radius) & (F.col("d") <= F.col("reach") + radius))
+    placed = stored(placed.where(inside).select("h", "id", "n", "m", "size", "pivot"), "cells")
+    whole = placed.groupBy("h", "size").count().where("count > 2 * size").select("h")
+    rest = placed.join(pivots.select("h", F.col("pivot").alias("id")), ["h", "id"], "left_anti")
+    cells = rest.join(whole, "h", "left_anti").select(F.xxhash64("h", "pivot").alias("h"), "id", "n", F.lit(PIVOTS).alias("m")).distinct()
+    kept = rest.join(whole, "h", "left_semi").select("h", "id", "n", (F.col("m") * 2).alias("m")).distinct()
+    out = stored(cells.unionByName(kept), "rest")
+    for table in (met, near, placed):
+        dropped(table)
+    return out, more
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """The component of each document: ``id_col, n_shingles, component_id``.
 
     Null texts and texts without words have no shingles and stand alone. Rows with
-    the same id are one document for links, but each is returned. Rows with a null
+    the same id are one document for links, by the set with the smallest digest if
+    their texts differ, but each is returned. Rows with a null
     id link with nothing and have a null component. Only the two named columns are
     read; an empty table gives no rows.
     """
+    bounded(docs.sparkSession)
     described = stored(_described(docs, id_col, text_col), "described")
     known = described.where("id is not null and n_shingles > 0")
     # equal sets: one link to the smallest id
     firsts = known.groupBy("set_id").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("set_id", "b")
     links = known.join(firsts, "set_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
-    # a region's pivot is the smallest id that has the shingle
+    # regions: documents of different sets that have the shingle among their rarest
     entries = known.select(F.explode("prefix").alias("h"), "id")
-    pivots = stored(entries.groupBy("h").agg(F.min("id").alias("pivot"), F.max("id").alias("_top")).where("pivot < _top").select("h", "pivot"), "pivots")
+    shared = stored(entries.groupBy("h").agg(F.min("id").alias("_low"), F.max("id").alias("_top")).where("_low < _top").select("h"), "shared")
     # only shingles that may be in the filter are shuffled again
-    members = stored(possible(entries, "h", filter_of(pivots, F.xxhash64("h"))).join(pivots.hint("shuffle_hash"), "h"), "members")
-    sizes = known.select("id", "n_shingles", "set_id").dropDuplicates(["id"])
-    pivot_sizes = sizes.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("pn"), F.col("set_id").alias("ps"))
-    near = members.where("id <> pivot").select("id", "pivot").distinct().join(sizes, "id").join(pivot_sizes, "pivot")
-    close = F.least("n_shingles", "pn") * 100 >= F.greatest("n_shingles", "pn") * percent
-    pairs = near.where((F.col("set_id") != F.col("ps")) & close).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    several = possible(entries, "h", filter_of(shared, F.xxhash64("h"))).join(shared, "h")
+    sets = known.groupBy("id").agg(F.min(F.struct("set_id", F.col("n_shingles").alias("n"))).alias("s"))
+    members = stored(several.join(sets, "id").groupBy("h", "s").agg(F.min("id").alias("id")).select("h", "id", "s.n"), "members")
+    dropped(shared)
+    # of regions with the same members one is enough
+    signed = members.groupBy("h").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one = signed.where("size > 1").groupBy("size", "x", "y").agg(F.min(F.struct("h", "pivot")).alias("r")).select("r.h", "r.pivot")
+    regions = stored(members.join(one, "h"), "first")
+    dropped(members)
+
+    # the first pivot of a region, its smallest id, meets all members but those whose size alone rules a link out
+    own = regions.where("id = pivot").select("h", F.col("n").alias("pn"))
+    close = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
+    pairs = regions.where("id <> pivot").join(own, "h").where(close).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     measured = _measured(docs, pairs, id_col, text_col)
     links = stored(links.union(measured.where(_linked(percent)).select("a", "b")), "links")
+    found = components(links)
 
-    # what is left: regions whose members are in more than one component
-    rest = members.select("h", "id", F.col("pivot").alias("last"))
-    found, step = components(links), 0
+    # what is left: regions whose members are in more than one component, without their pivots
+    rest, step = regions.where("id <> pivot").select("h", "id", "n", F.lit(PIVOTS).alias("m")), 0
     while True:
         step += 1
-        named = rest.join(found, "id", "left").select("h", "id", "last", F.coalesce("component", "id").alias("c"))
-        split = named.groupBy("h").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("size")).where("_c <> _d").select("h", "size")
-        rest = stored(named.join(split, "h").where("id <> last"), "rest")  # a first pivot has met all members
+        rest = _dropped_single(rest, found)
         if not rest.limit(1).count():
             break
-        # distance to the last pivot; unknown where the sizes alone rule a link out or both were linked before
-        apart = measured.select(F.col("a").alias("id"), F.col("b").alias("last"), (1 - F.col("common") / F.col("total")).alias("d"))
-        met = rest.join(apart, ["id", "last"], "left").join(sizes.select("id", "n_shingles"), "id")
-        met = stored(met.select("h", "id", "n_shingles", "c", "d", "last", "size"), "met")
-        one, two = met.where(f"size <= {leaf}"), met.where(f"size <= {leaf}").select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "c", "d")))
-        direct = one.join(two, "h").where("c <> c_b and id > id_b")
-        # new pivots of a large region: half of its members, the smallest id always
-        large = met.where(f"size > {leaf}")
-        first = large.groupBy("h").agg(F.min("id").alias("first"))
-        large = large.join(first, "h").withColumn("head", (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", "h", F.lit(step)), F.lit(2)) == 0))
-        heads = large.where("head").select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "c", "d")))
-        headed = large.join(heads, "h").where("c <> c_b and (not head or id > id_b)")
-        window = f"(d is null or d_b is null or abs(d - d_b) <= {(100 - percent) / 100} + 1e-9) and least(n_shingles, n_shingles_b) * 100 >= greatest(n_shingles, n_shingles_b) * {percent}"
-        columns = [F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")]
-        pairs = direct.where(window).select(*columns).union(headed.where(window).select(*columns)).distinct()
-        more = _measured(docs, pairs.join(measured, ["a", "b"], "left_anti"), id_col, text_col)
-        measured = stored(measured.union(more), "distances")
-        new = more.where(_linked(percent)).select("a", "b")
+        small = (F.col("size") <= cell) & (F.col("weight") <= WEIGHT)
+        new = _within(rest.where(small), docs, id_col, text_col, percent)
+        large = rest.where(~small)
+        if large.limit(1).count():
+            rest, more = _divided(large, measured, docs, id_col, text_col, percent, step)
+            measured = measured.unionByName(more)
+            new = new.union(more.where(_linked(percent)).select("a", "b"))
+        else:
+            rest = None
         if new.limit(1).count():
             links = stored(links.union(new), "links")
             found = components(links)
-        # pivots have met every member; the others go on with their distance to the first of them
-        rest = large.where("not head").select("h", "id", F.col("first").alias("last"))
+        if rest is None:
+            break
     return (
         described.join(found, "id", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -237,6 +363,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. All columns stay; so do rows with a null id."""
-    others = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each component: the one with the smallest id. All columns stay; so do rows with a null id.
+
+    Rows that a filter of fixed size finds to be no others' copies are not shuffled.
+    """
+    others = stored(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    bits = filter_of(others, F.xxhash64("doc_id"))
+    return possible(docs, "doc_id", bits, want=False).union(possible(docs, "doc_id", bits).join(others, "doc_id", "left_anti").select(docs.columns))

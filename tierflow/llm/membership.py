@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.llm.batches import fresh
+
 #: Bits of a filter, and the parts in which it is put together. Fixed: 4 MB are broadcast whatever the tables.
 BITS, PARTS = 1 << 25, 64
 
@@ -44,4 +46,4 @@ def possible(rows: DataFrame, column: str, bits: np.ndarray, want: bool = True)
             low = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.uint64)
             yield batch.filter(pa.array(contained(shared.value, low) == want)).select(range(batch.num_columns - 1))
 
-    return rows.withColumn("_bit", F.xxhash64(column).bitwiseAND(BITS - 1)).mapInArrow(run, rows.schema)
+    return rows.withColumn(fresh("bit", rows.columns), F.xxhash64(column).bitwiseAND(BITS - 1)).mapInArrow(run, rows.schema)
