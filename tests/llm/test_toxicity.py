@@ -1,26 +1,91 @@
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tierflow.llm import toxicity as T
 
 
+def made(counts, weight, labels, ids):
+    """An index of examples given as counts of terms, by id."""
+    terms = sorted({t for c in counts for t in c})
+    at = {t: k for k, t in enumerate(terms)}
+    number = np.array([at[t] for c in counts for t in c], np.int64)
+    count = np.array([n for c in counts for n in c.values()], np.int64)
+    return T.Index(terms, np.array([weight[t] for t in terms]), number, count, np.array([len(c) for c in counts], np.int64), np.array(labels), pa.array(ids), (1.0, 1.0))
+
+
+def unit(counts, weight):
+    values = {t: (1 + math.log(n)) * weight[t] for t, n in counts.items() if t in weight}
+    length = math.sqrt(sum(v * v for v in values.values()))
+    return {t: v / length for t, v in values.items()}
+
+
 def test_nearest_is_exact():
     pick = random.Random(2)
-    terms = [f"t{k}".encode() for k in range(40)]
-    idf = {t: pick.uniform(0.5, 3) for t in terms}
-    base = T.Index(idf, [], [], [], (1.0, 1.0))
-    vectors = [base.vector(Counter(pick.choices(terms, k=pick.randint(0, 12)))) for _ in range(700)]
-    index = T.Index(idf, vectors, [k % 2 for k in range(700)], list(range(700)), (1.0, 1.0))
-    for _ in range(60):
-        query = base.vector(Counter(pick.choices(terms, k=pick.randint(0, 6))))
-        every = sorted(((-round(sum(v * w.get(t, 0.0) for t, v in query.items()), 12), k) for k, w in enumerate(vectors)))
+    terms = [f"t{k}".encode() for k in range(60)]
+    weight = {t: pick.choice([0.1, 1, 2, 30]) for t in terms}
+    counts = [Counter(pick.choices(terms[k % 3 * 20 : k % 3 * 20 + 25], k=pick.randint(0, 12))) for k in range(900)]
+    index = made(counts, weight, [k % 2 for k in range(900)], list(range(900)))
+    vectors = [unit(c, weight) for c in counts]
+    for _ in range(80):
+        query = Counter(pick.choices(terms + [b"new"], k=pick.randint(0, 8)))
+        vector = unit(query, weight)
+        every = sorted(((-round(sum(v * w.get(t, 0.0) for t, v in vector.items()), 12), k) for k, w in enumerate(vectors)))
         want = [(-s, k) for s, k in every if s < 0][: T.NEIGHBOURS]
-        at, similarity = index.nearest(query, T.NEIGHBOURS)
+        at, similarity = index.nearest([index.weighed(query)])[0]
         assert np.allclose(similarity, [s for s, _ in want])
-        assert len(at) == len(want) and (not want or set(at[similarity > want[-1][0] + 1e-9]) == {k for s, k in want if s > want[-1][0] + 1e-9})
+        ids = index.ids.take(pa.array(at)).to_pylist()
+        assert not want or {k for k, s in zip(ids, similarity) if s > want[-1][0] + 1e-9} == {k for s, k in want if s > want[-1][0] + 1e-9}
+
+
+def test_matches_brute_force(spark):
+    """Weights, neighbours, votes, curve and scores of the whole table against plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = {r.doc_id: T.terms_of(r.text) for r in docs.collect()}
+    said = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    same = {}
+    for r in docs.collect():
+        if r.doc_id in said:
+            same.setdefault(r.text, []).append(r.doc_id)
+    known = {min(ids): int(sum(said[d] for d in ids) / len(ids) >= 0.5) for ids in same.values()}
+    df = Counter(t for c in texts.values() for t in c)
+    n = Counter(known.values())
+    have = {k: Counter(t for d in known if known[d] == k for t in texts[d]) for k in (0, 1)}
+    weight = {}
+    for t in {t for d in known for t in texts[d]}:
+        a, b = have[1][t], have[0][t]
+        phi = max(0, abs(a * n[0] - b * n[1]) - (n[0] + n[1]) / 2) / math.sqrt((a + b) * max(n[0] + n[1] - a - b, 1) * n[0] * n[1])
+        weight[t] = (math.log((1 + len(texts)) / (1 + df[t])) + 1) * (1 + T.BOOST * phi**2)
+    vectors = {d: unit(texts[d], weight) for d in known}
+
+    def vote(counts):
+        vector = unit(counts, weight) if any(t in weight for t in counts) else {}
+        near = sorted(((-sum(v * w.get(t, 0.0) for t, v in vector.items()), d) for d, w in vectors.items()))
+        near = [(-s, d) for s, d in near[: T.NEIGHBOURS] if -T.SAME < s < 0]
+        shares = [(1 / (T.NEAR + 2 - 2 * s), known[d]) for s, d in near]
+        return sum(w for w, one in shares if one) / sum(w for w, _ in shares) if shares else None
+
+    votes = sorted((v, known[d]) for d in known if (v := vote(texts[d])) is not None)
+    blocks = []
+    for v, one in votes:
+        blocks.append([v, 1, one])
+        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], last)]
+    curve = [b[0] / b[1] for b in blocks], [(b[2] + 0.01) / (b[1] + 0.02) for b in blocks]
+    index = T.fit(docs, T.learnable(labels))
+    assert np.allclose(index.curve[0], curve[0]) and np.allclose(index.curve[1], curve[1])
+    rows = T.score_documents(docs, index).collect()
+    for r in rows[::5]:
+        v = vote(texts[r.doc_id])
+        assert math.isclose(r.score, index.alone if v is None else float(np.interp(v, *curve)), abs_tol=1e-9)
+        assert r.predicted == (r.score >= T.TOXIC) and all(known[e.doc_id] == e.toxic for e in r.evidence)
+    assert len({r.score for r in rows}) > 50
 
 
 def test_held_out_accuracy(spark):
@@ -43,6 +108,8 @@ def test_edges(spark):
     some = T.fit(docs, spark.createDataFrame([(1, 1), (2, None), (3, 0), (9, 1)], "doc_id long, toxic int"))
     assert T.score_documents(docs, some, evidence=False).count() == 4
     assert T.score_documents(docs.limit(0), some).count() == 0
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    assert T.score_documents(named, T.fit(named, spark.createDataFrame([("1", 1), ("3", 0)], "doc_id string, toxic int"))).count() == 4
 
 
 def test_every_term_counts(spark):
@@ -51,6 +118,6 @@ def test_every_term_counts(spark):
     labels = T.learnable(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
     index = T.fit(docs, labels)
     texts = [r.text for r in docs.join(labels.select("doc_id"), "doc_id").collect()]
-    assert texts and all(set(index.vector(T.terms_of(t))) == set(T.terms_of(t)) and min(index.vector(T.terms_of(t)).values(), default=1) > 0 for t in texts)
+    assert texts and all(set(T.terms_of(t)) <= set(index.at) for t in texts) and index.weight.min() >= 1 and len(index.where) == sum(len(set(T.terms_of(t))) for t in set(texts))
     rows = T.score_documents(docs, index).collect()
     assert len({r.score for r in rows}) > 10 and any(r.predicted for r in rows)

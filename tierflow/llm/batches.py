@@ -19,12 +19,12 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(SETTING, BATCH_BYTES)
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most about ``size`` bytes."""
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes."""
     for batch in batches:
-        rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def fresh(name: str, columns: list[str]) -> str:

@@ -54,11 +54,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity scores of every document, learnt from two thirds of the labels."""
+    """Toxicity scores of every document with the examples they rest on, learnt from two thirds of the labels."""
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    return toxicity.score_documents(docs, index, evidence=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return toxicity.score_documents(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

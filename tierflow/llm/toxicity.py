@@ -1,16 +1,27 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
-
-The examples stand in an inverted index of all their terms, kept as flat arrays. A
-query adds up the postings of its terms over all examples at once, so the
-neighbours are exact. A term's inverse document frequency is multiplied by its
-association with the label; none is left out. Votes are weighted by similarity and calibrated on the
-examples themselves, each scored without itself.
+"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max indexes.
+
+The examples stand in an inverted index of all their terms and in blocks of alike
+ones. The commonest terms, which have most of all postings, are kept by block: a dense
+tile of the block's values and, for each term, the largest of them. Queries come in
+batches. A query adds up the postings of its other terms; the maxima tell how much the
+common terms can add in each block. Its most promising blocks are completed with their
+tiles and give a floor, and only blocks whose bound reaches the floor are completed
+too, so the neighbours are exact.
+
+Neighbours vote by their distance, votes are calibrated on the examples themselves,
+and the neighbours are returned as evidence. An example with the very terms of the
+query stands among them but has no vote: labels have errors, and a text's own label
+is not to be its score.
+
+Weights are TF-IDF, raised for terms that go with the label: by ``1 + BOOST * phi ** 2``, with
+phi the association of term and label over the examples. Every term keeps at least
+its TF-IDF weight. Without the raise the few words that matter drown in the others.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +29,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.llm.batches import bounded, slices
 from tierflow.shared import stored
 
 #: Labelled examples of each class at most; those with the smallest hash of their id.
 EXAMPLES = 4000
-#: Neighbours that vote.
-NEIGHBOURS = 15
+#: Neighbours that vote, and what is added to a neighbour's squared distance before its vote is divided by it.
+NEIGHBOURS, NEAR = 15, 0.1
+#: A larger cosine is that of the text itself.
+SAME = 1 - 1e-9
+#: Raise of the weight of a term that goes with the label entirely.
+BOOST = 200.0
+#: Examples of a block; a term is common in more than one example of ``COMMON``, and so are ``TILE`` terms at most.
+BLOCK, COMMON, TILE = 64, 32, 1024
+#: Queries of a batch.
+QUERIES = 128
 #: Documents with this score or more count as toxic.
 TOXIC = 0.7
 _SPACES = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
@@ -34,99 +54,142 @@ def terms_of(text: str | None) -> Counter:
     return Counter(text.lower().encode("utf-8").translate(_SPACES).split()) if text else Counter()
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    size = end - begin
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(begin - before, size)
+
+
+def association(ones: np.ndarray, zeros: np.ndarray, n_ones: int, n_zeros: int) -> np.ndarray:
+    """Squared phi coefficient of each term and the label, with Yates' correction; 0 if there is one class only.
+
+    The correction leaves almost nothing to a term of one or two examples, so
+    that examples are not drawn together by rare words they have by chance.
+    """
+    if not n_ones or not n_zeros:
+        return np.zeros(len(ones))
+    both, n = ones + zeros, n_ones + n_zeros
+    apart = np.maximum(0.0, np.abs(ones * float(n_zeros) - zeros * float(n_ones)) - n / 2)
+    return apart * apart / (both * np.maximum(n - both, 1) * float(n_ones) * n_zeros)
+
+
 class Index:
-    """Inverted index of the examples: for each term the positions and weights of those that have it."""
-
-    def __init__(self, idf: dict[bytes, float], vectors: Iterable[dict[bytes, float]], labels: list[int], ids: list[int], weights: tuple[float, float]):
-        self.at = {t: k for k, t in enumerate(sorted(idf))}
-        self.idf, self.ids = np.array([idf[t] for t in self.at], np.float64), np.array(ids, np.int64)
-        self.labels = np.array(labels, np.float64)
-        self.votes = np.where(self.labels > 0, weights[1], weights[0])
-        terms, values, sizes = [np.zeros(0, np.int64)], [np.zeros(0)], []
-        for vector in vectors:
-            known = sorted((self.at[t], v) for t, v in vector.items() if t in self.at)
-            terms.append(np.array([t for t, _ in known], np.int64))
-            values.append(np.array([v for _, v in known], np.float64))
-            sizes.append(len(known))
-        every = np.concatenate(terms)
-        order = np.argsort(every, kind="stable")
-        self.where = np.repeat(np.arange(len(sizes)), sizes)[order]
-        self.values = np.concatenate(values)[order]
-        self.cuts = np.searchsorted(every[order], np.arange(len(self.at) + 1))
+    """Block-max inverted index of the examples.
+
+    ``terms`` are numbered by their place, ``number`` and ``count`` list the terms of
+    all examples, one example after the other with ``sizes`` terms each.
+    """
+
+    def __init__(self, terms: list[bytes], weight: np.ndarray, number: np.ndarray, count: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: pa.Array, class_weights: tuple[float, float]):
+        self.at, self.weight = {t: k for k, t in enumerate(terms)}, weight
+        n = len(sizes)
+        of = np.repeat(np.arange(n), sizes)
+        value = (1 + np.log(np.maximum(count, 1))) * weight[number]
+        value /= np.sqrt(np.bincount(of, value * value, n))[of]
+        # alike examples side by side: same label, same commonest term, about as many terms
+        by_count = np.lexsort((number, -count, of))
+        some = np.minimum(np.cumsum(sizes) - sizes, max(0, len(number) - 1))
+        commonest = number[by_count[some]] if len(number) else np.zeros(n)
+        order = np.lexsort((np.arange(n), sizes, commonest, labels))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.labels = ids.take(pa.array(order)), labels[order].astype(np.float64)
+        self.votes = np.where(self.labels > 0, class_weights[1], class_weights[0])
+        #: Rank of each place by id, for ties.
+        self.rank = order
+        # postings by term and place
+        where = place[of]
+        posting = np.lexsort((where, number))
+        self.where, self.value = where[posting].astype(np.int32), value[posting]
+        self.cuts = np.searchsorted(number[posting], np.arange(len(terms) + 1))
+        self.blocks = max(1, -(-n // BLOCK))
+        # tiles of the common terms, and their maxima
+        often = np.diff(self.cuts)
+        common = np.argsort(-often, kind="stable")[:TILE]
+        common = np.sort(common[often[common] * COMMON > n])
+        self.column = np.full(len(terms), -1)
+        self.column[common] = np.arange(len(common))
+        self.tiles = np.zeros((self.blocks * BLOCK, len(common)))
+        inside = self.column[number] >= 0
+        self.tiles[where[inside], self.column[number[inside]]] = value[inside]
+        self.tiles = self.tiles.reshape(self.blocks, BLOCK, len(common))
+        self.most = self.tiles.max(1)
         self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
         self.alone = 0.5
 
-    def _weighed(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the known terms in order, and their TF-IDF with length 1."""
-        found = sorted((self.at[t], n) for t, n in terms.items() if t in self.at)
-        at = np.array([t for t, _ in found], np.int64)
-        values = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.idf[at]
+    def weighed(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms in order, and their weights with length 1."""
+        at = np.array([self.at.get(t, -1) for t in terms], np.int64)
+        order = np.argsort(at)[int((at < 0).sum()) :]
+        at = at[order]
+        values = (1 + np.log(np.array(list(terms.values()), np.float64)[order])) * self.weight[at]
         return at, values / np.sqrt((values * values).sum()) if len(at) else values
 
-    def vector(self, terms: Counter) -> dict[bytes, float]:
-        """TF-IDF of the index's terms with length 1."""
-        known = sorted(t for t in terms if t in self.at)
-        return dict(zip(known, self._weighed(terms)[1].tolist()))
-
-    def nearest(self, vector: dict[bytes, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples with a cosine over 0; ties go to the lower position."""
-        known = sorted((self.at[t], v) for t, v in vector.items() if t in self.at)
-        return self._nearest(np.array([t for t, _ in known], np.int64), np.array([v for _, v in known], np.float64), k, without)
-
-    def _nearest(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        runs = [(a, b, v) for a, b, v in zip(self.cuts[terms].tolist(), self.cuts[terms + 1].tolist(), values.tolist()) if a < b]
-        if not runs:
-            return np.zeros(0, np.int64), np.zeros(0)
-        scores = np.bincount(np.concatenate([self.where[a:b] for a, b, _ in runs]), np.concatenate([self.values[a:b] * v for a, b, v in runs]), len(self.ids))
-        if without >= 0:
-            scores[without] = 0
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        at = np.flatnonzero((scores >= least) & (scores > 0))
-        at = at[np.lexsort((at, -scores[at]))[:k]]
-        return at, scores[at]
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and cosines of the k nearest examples with a cosine over 0; ties go to the smaller id."""
+        n = len(self.rank)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        scores, asked = np.zeros((len(queries), self.blocks * BLOCK)), np.zeros((len(queries), self.most.shape[1]))
+        for q, (terms, values) in enumerate(queries):
+            column = self.column[terms]
+            asked[q, column[column >= 0]] = values[column >= 0]
+            terms, values = terms[column < 0], values[column < 0]
+            begin, end = self.cuts[terms], self.cuts[terms + 1]
+            posting = _ranges(begin, end)
+            scores[q] = np.bincount(self.where[posting], self.value[posting] * np.repeat(values, end - begin), scores.shape[1])
+        # no cosine in a block is larger than this
+        bound = (scores.reshape(len(queries), self.blocks, BLOCK).max(2) + asked @ self.most.T) * (1 + 1e-9)
+        few = min(self.blocks, -(-k // BLOCK) + 1)
+        live = bound >= np.partition(bound, self.blocks - few, 1)[:, self.blocks - few, None]
+        done = np.zeros(bound.shape, bool)
+        for _ in range(2):
+            for b in np.flatnonzero(live.any(0)):
+                some = np.flatnonzero(live[:, b])
+                scores[some, b * BLOCK : (b + 1) * BLOCK] += asked[some] @ self.tiles[b].T
+            done |= live
+            sure = np.where(np.repeat(done, BLOCK, 1), scores, 0)
+            floor = np.partition(sure, sure.shape[1] - k, 1)[:, sure.shape[1] - k]
+            live = ~done & (bound > 0) & (bound >= floor[:, None])
+        out = []
+        for row, least in zip(sure[:, :n], floor):
+            at = np.flatnonzero((row >= least) & (row > 0))
+            at = at[np.lexsort((self.rank[at], -row[at]))[:k]]
+            out.append((at, row[at]))
+        return out
 
     def vote(self, at: np.ndarray, similarity: np.ndarray) -> float:
-        """Share of the label 1 in the votes, weighted by similarity and by class."""
-        weights = similarity * self.votes[at]
-        return float((weights * self.labels[at]).sum() / weights.sum())
-
-    def calibrate(self, counts: Iterable[Counter]) -> None:
-        """Fit the curve from votes to probabilities: rates of label 1 made monotone by pooling neighbours."""
-        votes, alone = [], [1.0, 1.0]
-        for k, terms in enumerate(counts):
-            at, similarity = self._nearest(*self._weighed(terms), NEIGHBOURS, without=k)
-            weight = float(self.votes[k])
-            if len(at):
-                votes.append((self.vote(at, similarity), weight, weight * self.labels[k]))
-            else:
-                alone[int(self.labels[k])] += weight
+        """Share of the label 1 in the votes, each divided by the squared distance of the unit vectors and weighed by class; NaN without voters.
+
+        An example with the very terms of the query has no vote, so that a text's own
+        label does not come back as its score.
+        """
+        others = similarity < SAME
+        at, similarity = at[others], similarity[others]
+        weights = self.votes[at] / (NEAR + 2 - 2 * similarity)
+        return float((weights * self.labels[at]).sum() / weights.sum()) if len(at) else float("nan")
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        """Fit the curve from votes (NaN: no neighbour) to probabilities: rates of label 1 made monotone by pooling neighbours."""
+        lone = np.isnan(votes)
+        alone = [1.0 + float(weights[lone & (labels == k)].sum()) for k in (0, 1)]
         self.alone = alone[1] / sum(alone)
         pooled: list[list[float]] = []  # sum of vote * weight, weight, weight of label 1
-        for vote, weight, ones in sorted(votes):
-            pooled.append([vote * weight, weight, ones])
+        for vote, weight, one in sorted(zip(votes[~lone].tolist(), weights[~lone].tolist(), (weights * labels)[~lone].tolist())):
+            pooled.append([vote * weight, weight, one])
             while len(pooled) > 1 and pooled[-2][2] / pooled[-2][1] >= pooled[-1][2] / pooled[-1][1]:
                 last = pooled.pop()
                 pooled[-1] = [a + b for a, b in zip(pooled[-1], last)]
         if pooled:
             self.curve = ([p[0] / p[1] for p in pooled], [(p[2] + 0.01) / (p[1] + 0.02) for p in pooled])
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Probability of label 1 with the neighbours it rests on."""
-        at, similarity = self._nearest(*self._weighed(terms_of(text)), NEIGHBOURS)
-        score = float(np.interp(self.vote(at, similarity), *self.curve)) if len(at) else self.alone
-        return score, at, similarity
-
-
-def _association(ones: np.ndarray, zeros: np.ndarray, n_ones: int, n_zeros: int) -> np.ndarray:
-    """Phi coefficient of each term and the class, at least 1 / examples, so every term keeps a weight; 1 for all if there is one class only.
-
-    It has no bar and does not grow with the number of examples.
-    """
-    if not n_ones or not n_zeros:
-        return np.ones(len(ones))
-    both, n = ones + zeros, n_ones + n_zeros
-    spread = np.sqrt(both * np.maximum(n - both, 1) * float(n_ones) * n_zeros)
-    return np.maximum(np.abs(ones * float(n_zeros) - zeros * float(n_ones)) / spread, 1 / n)
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Probability of label 1 of each text with the neighbours it rests on."""
+        for first in range(0, len(texts), QUERIES):
+            for at, similarity in self.nearest([self.weighed(terms_of(text)) for text in texts[first : first + QUERIES]]):
+                vote = self.vote(at, similarity)
+                yield self.alone if np.isnan(vote) else float(np.interp(vote, *self.curve)), at, similarity
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
@@ -135,56 +198,55 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     At most ``examples`` documents of each class are examples; the classes' votes
     are weighted by how many labels each has, and document frequencies are counted
     over all documents. Null labels are left out; of several labels of a document
-    the largest counts. Without labels every score is 0.5.
+    the largest counts, of several texts the first in order. Without labels every score is 0.5.
     """
-    spark = docs.sparkSession
+    bounded(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("toxic = 1").orderBy(*order).limit(examples).union(known.where("toxic = 0").orderBy(*order).limit(examples))
-    # the texts of at most twice ``examples`` ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    # the texts of at most twice ``examples`` ids; equal texts are one example with the commoner label
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.round(F.avg("toxic")).cast("int").alias("toxic")).select("doc_id", "text", "toxic")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [terms_of(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array([list(c.keys()) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2), pa.array([list(c.keys()) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
                 names=["doc_id", "toxic", "terms", "counts"],
             )
 
-    every = stored(rows.mapInArrow(count, "doc_id long, toxic int, terms array<binary>, counts array<long>"), "examples")
-    n = Counter({r.toxic: r.n for r in every.groupBy("toxic").agg(F.count("*").alias("n")).collect()})
+    every = stored(rows.mapInArrow(count, f"doc_id {kind}, toxic int, terms array<binary>, counts array<long>"), "examples")
     # the examples' terms come as Arrow columns; their number is bounded by ``examples``
     picked = every.toArrow().sort_by("doc_id").combine_chunks()
-    lists, toxic = picked.column("terms"), picked.column("toxic").to_numpy()
-    flat = pa.chunked_array([c.flatten() for c in lists.chunks], pa.binary()).combine_chunks().dictionary_encode()
-    terms, numbers = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-    of = np.repeat(toxic, pc.list_value_length(lists).to_numpy())
+    toxic, sizes = picked.column("toxic").to_numpy(), pc.list_value_length(picked.column("terms")).to_numpy().astype(np.int64)
+    flat = pa.chunked_array([c.flatten() for c in picked.column("terms").chunks], pa.binary()).combine_chunks().dictionary_encode()
+    terms, number = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+    count_of = pa.chunked_array([c.flatten() for c in picked.column("counts").chunks], pa.int64()).to_numpy()
+    of = np.repeat(toxic, sizes)
     df, total = _document_frequencies(docs, terms)
-    tell = _association(np.bincount(numbers[of == 1], minlength=len(terms)), np.bincount(numbers[of == 0], minlength=len(terms)), n[1], n[0])
-    idf = {t: (float(np.log((1 + total) / (1 + df.get(t, 0)))) + 1) * w for t, w in zip(terms, tell.tolist())}
+    n = [int((toxic == k).sum()) for k in (0, 1)]
+    tell = association(np.bincount(number[of == 1], minlength=len(terms)), np.bincount(number[of == 0], minlength=len(terms)), n[1], n[0])
+    weight = (np.log((1 + total) / (1 + df)) + 1) * (1 + BOOST * tell)
     weights = tuple(totals.get(k, 0) / n[k] if n[k] else 1.0 for k in (0, 1))
-    base = Index(idf, [], [], [], weights)
-
-    def counts() -> Iterator[Counter]:
-        for ts, cs in zip(picked.column("terms"), picked.column("counts")):
-            yield Counter(dict(zip(ts.as_py(), cs.as_py())))
-
-    index = Index(idf, map(base.vector, counts()), picked.column("toxic").to_pylist(), picked.column("doc_id").to_pylist(), weights)
+    ids_of = picked.column("doc_id").combine_chunks()
+    index = Index(terms, weight, number, count_of, sizes, toxic, ids_of if isinstance(ids_of, pa.Array) else ids_of.chunk(0), weights)
     if picked.num_rows:
-        index.calibrate(counts())
+        votes = _votes(every, index, kind)
+        index.calibrate(votes, toxic, np.where(toxic > 0, weights[1], weights[0]))
     return index
 
 
-def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[dict[bytes, int], int]:
+def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
     """In how many documents each term is, and how many documents there are; a row for each term and one come back."""
     wanted = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted.value
         found: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found[None] += 1
                 if text:
@@ -192,9 +254,29 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[dict[byt
         yield pa.RecordBatch.from_arrays([pa.array([-1 if t is None else known[t] for t in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
     rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist()))
-    total = df.pop(-1, 0)
-    return {terms[k]: v for k, v in df.items()}, total
+    at, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
+    df = np.zeros(len(terms), np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    return df, int(n[at < 0].sum())
+
+
+def _votes(every: DataFrame, index: Index, kind: str) -> np.ndarray:
+    """The vote on each example, by rank of its id; NaN where it has no neighbour."""
+    shared = every.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        rank = dict(zip(own.ids.to_pylist(), own.rank.tolist()))
+        for batch in slices(batches, rows=QUERIES):
+            docs, terms, counts = (c.to_pylist() for c in batch.columns)
+            near = own.nearest([own.weighed(Counter(dict(zip(*one)))) for one in zip(terms, counts)])
+            ranks, votes = [rank[doc] for doc in docs], [own.vote(*one) for one in near]
+            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(votes, pa.float64())], names=["rank", "vote"])
+
+    rows = every.select("doc_id", "terms", "counts").mapInArrow(run, "rank long, vote double").toArrow()
+    out = np.full(len(index.rank), np.nan)
+    out[rows.column("rank").to_numpy()] = rows.column("vote").to_numpy()
+    return out
 
 
 def score_documents(docs: DataFrame, index: Index, evidence: bool = True) -> DataFrame:
@@ -202,27 +284,29 @@ def score_documents(docs: DataFrame, index: Index, evidence: bool = True) -> Dat
 
     Null and empty texts, and texts with none of the index's terms, have no
     neighbours and get the rate of label 1 among such examples. Repeated rows give
-    repeated rows; only doc_id and text are read. The index that is broadcast is
-    bounded by the number of examples and their terms.
+    repeated rows; only doc_id and text are read; ids of any type will do. The index
+    that is broadcast is bounded by the number of examples and their terms.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    picked = docs.select("doc_id", "text")
+    kind = picked.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            scores, lists = [], []
-            for text in batch.column(1).to_pylist():
-                score, at, similarity = own.score(text)
-                scores.append(score)
-                if evidence:
-                    lists.append([{"doc_id": int(own.ids[a]), "similarity": float(s), "toxic": int(own.labels[a])} for a, s in zip(at, similarity)])
-            columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= TOXIC) for s in scores], pa.int32())]
+        for batch in slices(batches):
+            found = list(own.score(batch.column(1).to_pylist()))
+            scores = np.array([f[0] for f in found])
+            columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= TOXIC).astype(np.int32))]
             if evidence:
-                columns.append(pa.array(lists, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))))
+                at = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+                similar = np.concatenate([f[2] for f in found]) if found else np.zeros(0)
+                parts = [own.ids.take(pa.array(at)), pa.array(similar), pa.array(own.labels[at].astype(np.int32))]
+                ends = np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["doc_id", "similarity", "toxic"])))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "evidence"][: len(columns)])
 
-    picked = docs.select("doc_id", "text")
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double, predicted int" + ", evidence array<struct<doc_id:long,similarity:double,toxic:int>>" * evidence)
+    return picked.mapInArrow(run, f"doc_id {kind}, score double, predicted int" + f", evidence array<struct<doc_id:{kind},similarity:double,toxic:int>>" * evidence)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -232,11 +316,12 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, index: Index) -> DataFrame:
     """``docs`` without the rows whose text scores ``TOXIC`` or more; all columns stay."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([shared.value.score(text)[0] < TOXIC for text in texts], pa.bool_()))
+            yield batch.filter(pa.array([score < TOXIC for score, _, _ in shared.value.score(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
