@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     n = [int((toxic == k).sum()) for k in (0, 1)]
     tell = association(np.bincount(number[of == 1], minlength=len(terms)), np.bincount(number[of == 0], minlength=len(terms)), n[1], n[0])
     weight = (np.log((1 + total) / (1 + df)) + 1) * (1 + BOOST * tell)
-    weights = tuple(totals.get(k, 0) / n[k] if n[k] else 1.0 for k in (0, 1))
+    weights = tuple(max(1.0, totals.get(k, 0) / examples) for k in (0, 1))
     ids_of = picked.column("doc_id").combine_chunks()
     index = Index(terms, weight, number, count_of, sizes, toxic, ids_of if isinstance(ids_of, pa.Array) else ids_of.chunk(0), weights)
     if picked.num_rows:
