@@ -20,6 +20,7 @@ Regions of up to ``CELL`` documents recurse inside a task, larger ones in Spark.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ COUNTERS = 1 << 20
 CELL, WEIGHT = 256, 1 << 21
 #: Pivots of a division at first, and members of a cell that are compared with each other.
 PIVOTS, LEAF = 16, 16
+#: Bands to the width of the radius, when regions are cut at gaps.
+BANDS = 4
 _CHUNKS = 64
 
 
@@ -178,10 +181,33 @@ def components(links: DataFrame) -> DataFrame:
 def _dropped_single(rest: DataFrame, found: DataFrame) -> DataFrame:
     """``h, id, n, m, c, size, weight`` of the regions of ``rest`` (h, id, n, m) whose members are in more than one component."""
     named = rest.join(found, "id", "left").select("h", "id", "n", "m", F.coalesce("component", "id").alias("c"))
-    many = named.groupBy("h").agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("_c <> _d").select("h", "size", "weight")
+    measures = F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("size"), F.sum("n").alias("weight"), *_signature()
+    many = named.groupBy("h").agg(*measures).where("_c <> _d").groupBy("size", "weight", "x", "y").agg(F.min("h").alias("h")).select("h", "size", "weight")
     return stored(named.join(many, "h"), "regions")
 
 
+def _signature() -> list[Column]:
+    """128 bits of the members of a region."""
+    return [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """``h`` of one of all regions (h, id) that have the same members, two or more."""
+    signed = rows.groupBy("h").agg(F.count("*").alias("size"), *_signature()).where("size > 1")
+    return signed.groupBy("size", "x", "y").agg(F.min("h").alias("h")).select("h")
+
+
+def _apart(rows: DataFrame, band: Column) -> DataFrame:
+    """``rows`` with the regions ``h`` cut wherever more than ``BANDS`` bands in a row are empty; members on both sides cannot be linked.
+
+    A region has a bounded number of bands, so what is gathered of it is small.
+    """
+    rows = rows.withColumn("band", band)
+    bands = rows.groupBy("h").agg(F.sort_array(F.collect_set("band")).alias("bands")).where(f"exists(sequence(1, greatest(1, size(bands) - 1)), i -> get(bands, i) - get(bands, i - 1) > {BANDS + 1})")
+    begins = F.expr(f"array_max(filter(bands, (x, i) -> x <= band and (i = 0 or x - bands[i - 1] > {BANDS + 1})))")
+    return rows.join(bands, "h", "left").withColumn("h", F.when(F.col("bands").isNull(), F.col("h")).otherwise(F.xxhash64("h", begins))).drop("band", "bands")
+
+
 def _within(regions: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Links (a, b) between the components of each of these regions, which are small enough for a task."""
     kind = regions.schema["id"].dataType.simpleString()
@@ -313,30 +339,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = known.groupBy("set_id").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("set_id", "b")
     links = known.join(firsts, "set_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
-    # regions: documents of different sets that have the shingle among their rarest
+    # regions: documents that have the shingle among their rarest; of regions with the same members one is enough
     entries = known.select(F.explode("prefix").alias("h"), "id")
     shared = stored(entries.groupBy("h").agg(F.min("id").alias("_low"), F.max("id").alias("_top")).where("_low < _top").select("h"), "shared")
     # only shingles that may be in the filter are shuffled again
-    several = possible(entries, "h", filter_of(shared, F.xxhash64("h"))).join(shared, "h")
-    sets = known.groupBy("id").agg(F.min(F.struct("set_id", F.col("n_shingles").alias("n"))).alias("s"))
-    members = stored(several.join(sets, "id").groupBy("h", "s").agg(F.min("id").alias("id")).select("h", "id", "s.n"), "members")
+    several = _one_of_each(possible(entries, "h", filter_of(shared, F.xxhash64("h"))))
+    several = stored(several, "several")
     dropped(shared)
-    # of regions with the same members one is enough
-    signed = members.groupBy("h").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    one = signed.where("size > 1").groupBy("size", "x", "y").agg(F.min(F.struct("h", "pivot")).alias("r")).select("r.h", "r.pivot")
-    regions = stored(members.join(one, "h"), "first")
+    chosen = possible(entries, "h", filter_of(several, F.xxhash64("h"))).join(several, "h")
+    sets = known.groupBy("id").agg(F.min(F.struct("set_id", F.col("n_shingles").alias("n"))).alias("s"))
+    # equal sets are one member; where sizes leave a gap that no link spans, a region falls apart
+    members = stored(chosen.join(sets, "id").groupBy("h", "s").agg(F.min("id").alias("id")).select("h", "id", "s.n"), "members")
+    dropped(several)
+    sized = _apart(members, F.floor(F.log("n") / math.log(100 / percent) * BANDS).cast("int"))
+    first = sized.join(_one_of_each(sized), "h").join(sized.groupBy("h").agg(F.min("id").alias("pivot")), "h")
+    regions = stored(first.select("h", "id", "n", "pivot"), "first")
     dropped(members)
 
-    # the first pivot of a region, its smallest id, meets all members but those whose size alone rules a link out
-    own = regions.where("id = pivot").select("h", F.col("n").alias("pn"))
-    close = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-    pairs = regions.where("id <> pivot").join(own, "h").where(close).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    # the first pivot of a region, its smallest id, meets all members
+    pairs = regions.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     measured = _measured(docs, pairs, id_col, text_col)
     links = stored(links.union(measured.where(_linked(percent)).select("a", "b")), "links")
     found = components(links)
 
-    # what is left: regions whose members are in more than one component, without their pivots
-    rest, step = regions.where("id <> pivot").select("h", "id", "n", F.lit(PIVOTS).alias("m")), 0
+    # what is left: regions whose members are in more than one component, without their pivots. The distance to the
+    # pivot divides them once more: where it leaves a gap wider than the radius, no link spans it
+    away = measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
+    met = stored(regions.where("id <> pivot").join(away, ["id", "pivot"]).select("h", "id", "n", "d"), "met")
+    rest = _apart(met, F.floor(F.col("d") * (100 * BANDS / (100 - percent))).cast("int")).select("h", "id", "n", F.lit(PIVOTS).alias("m"))
+    step = 0
     while True:
         step += 1
         rest = _dropped_single(rest, found)
