@@ -104,19 +104,29 @@ class Index:
         self.where, self.value = where[posting].astype(np.int32), value[posting]
         self.cuts = np.searchsorted(number[posting], np.arange(len(terms) + 1))
         self.blocks = max(1, -(-n // BLOCK))
-        # tiles of the common terms, and their maxima
+        # the common terms, which stand in tiles
         often = np.diff(self.cuts)
         common = np.argsort(-often, kind="stable")[:TILE]
         common = np.sort(common[often[common] * COMMON > n])
         self.column = np.full(len(terms), -1)
         self.column[common] = np.arange(len(common))
+        self.tiles: np.ndarray | None = None
+        self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
+        self.alone = 0.5
+
+    def __getstate__(self) -> dict:
+        """Without the tiles, which are large and made again where they are needed."""
+        return self.__dict__ | {"tiles": None, "most": None}
+
+    def _build_tiles(self) -> None:
+        """Tiles of the common terms' values, and their maxima."""
+        common = np.flatnonzero(self.column >= 0)
         self.tiles = np.zeros((self.blocks * BLOCK, len(common)))
-        inside = self.column[number] >= 0
-        self.tiles[where[inside], self.column[number[inside]]] = value[inside]
+        for k, t in enumerate(common.tolist()):
+            part = slice(self.cuts[t], self.cuts[t + 1])
+            self.tiles[self.where[part], k] = self.value[part]
         self.tiles = self.tiles.reshape(self.blocks, BLOCK, len(common))
         self.most = self.tiles.max(1)
-        self.curve: tuple[list[float], list[float]] = ([0.0, 1.0], [0.0, 1.0])
-        self.alone = 0.5
 
     def weighed(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms in order, and their weights with length 1."""
@@ -131,6 +141,8 @@ class Index:
         n = len(self.rank)
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        if self.tiles is None:
+            self._build_tiles()
         scores, asked = np.zeros((len(queries), self.blocks * BLOCK)), np.zeros((len(queries), self.most.shape[1]))
         for q, (terms, values) in enumerate(queries):
             column = self.column[terms]
@@ -254,6 +266,7 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([-1 if t is None else known[t] for t in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
     rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    wanted.destroy()
     at, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
     df = np.zeros(len(terms), np.int64)
     df[at[at >= 0]] = n[at >= 0]
@@ -274,6 +287,7 @@ def _votes(every: DataFrame, index: Index, kind: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(votes, pa.float64())], names=["rank", "vote"])
 
     rows = every.select("doc_id", "terms", "counts").mapInArrow(run, "rank long, vote double").toArrow()
+    shared.destroy()
     out = np.full(len(index.rank), np.nan)
     out[rows.column("rank").to_numpy()] = rows.column("vote").to_numpy()
     return out
