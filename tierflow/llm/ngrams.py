@@ -1,36 +1,42 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and of pairs of words are gathered over the whole training part,
-quantised to logarithmic classes and put into a Bloom filter of fixed size: an
-n-gram of class q is inserted with 1, 2 .. q. A reader probes 1, 2 .. until a
-probe fails, and so learns the class. Probabilities mix the pair's and the word's:
+quantised to logarithmic classes and put into Bloom filters: an n-gram of class q
+is inserted with 1, 2 .. q. A reader probes 1, 2 .. until a probe fails, and so
+learns the class. Probabilities mix the pair's and the word's:
 
     P(w | v) = m * c(v w) / c(v) + (1 - m) * (c(w) + 1) / (N + V + 1)
 
 with m chosen for each range of c(v) so that training texts, each scored as if it
 were not counted, are most likely.
+
+Filters have as many bits as all n-grams need; none is left out. That of the pairs
+is cut into parts of bounded size, which are broadcast and probed one after another:
+a pair is in one part, and what the parts say of a text is added up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.llm.batches import bounded, slices
 from tierflow.llm.words import mixed, word_hashes, words_of
 from tierflow.shared import stored
 
-#: Bytes of the filter. Fixed: this is what every worker gets, whatever the corpus.
+#: Bytes of a part of the pairs' filter: what every worker gets at once, whatever the corpus.
 FILTER_BYTES = 1 << 26
-#: Bits for each insertion at least, and bits that an insertion sets. Where the corpus has more n-grams, the rarest are cut off.
+#: Bits for each insertion, and bits that an insertion sets.
 BITS_EACH, PROBES = 8, 4
-#: Base of the classes, and pairs seen less often than this are never kept.
-BASE, LEAST_PAIR = 1.5, 2
+#: Base of the classes.
+BASE = 1.5
 #: Tokens that are more than one in this many are counted exactly on every worker; there can be no more of them than this.
 FREQUENT = 4096
 #: Upper ends of the ranges of c(v), and the values that m may take.
@@ -79,7 +85,7 @@ def _counted(docs: DataFrame, segments: int) -> DataFrame:
 
     Tasks add up what they read and ship one run for each segment and flush; a
     segment holds an equal share of all hashes, and a frequent n-gram is one entry
-    of a run. Words are all kept, pairs from ``LEAST_PAIR`` on.
+    of a run.
     """
     names, schema = ["segment", "words", "word_counts", "pairs", "pair_counts"], "segment int, words binary, word_counts binary, pairs binary, pair_counts binary"
 
@@ -99,7 +105,7 @@ def _counted(docs: DataFrame, segments: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 tokens = _tokens(text)
                 held[0].append(tokens)
@@ -119,8 +125,6 @@ def _counted(docs: DataFrame, segments: int) -> DataFrame:
         out: list = []
         for k in (0, 2):
             keys, counts = _summed(np.concatenate(runs[k]), np.concatenate(runs[k + 1]).astype(np.int64))
-            if k:
-                keys, counts = keys[counts >= LEAST_PAIR], counts[counts >= LEAST_PAIR]
             out += [keys.tobytes(), counts.astype("<i8").tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([v], pa.binary()) for v in out)], names=names)
 
@@ -146,34 +150,32 @@ def _described(counts: DataFrame, segments: int) -> tuple[int, int, dict[tuple[i
     return sum(t for (n, _), (_, t) in table.items() if n == 1), sum(e for (n, _), (e, _) in table.items() if n == 1), table
 
 
-def _least_classes(table: dict[tuple[int, int], tuple[int, int]], room: int) -> dict[int, int]:
-    """The smallest class of each order that is kept, so that all insertions have room."""
-    least = {1: 1, 2: 1}
-    need = {key: entries * key[1] for key, (entries, _) in table.items()}
-    while sum(v for (n, q), v in need.items() if q >= least[n]) > room:
-        # pairs go first, then both together
-        n = 2 if least[2] <= least[1] + 1 else 1
-        least[n] += 1
-    return least
-
-
 class Model:
-    """The filter with what is needed to turn classes into probabilities."""
+    """The filters with what is needed to turn classes into probabilities.
+
+    ``bits`` has for each order a row of bytes for each segment from ``first`` on; the
+    words' are all there, the pairs' are one part.
+    """
 
-    def __init__(self, segments: int, bits: np.ndarray, tokens: int, distinct: int, means: dict[int, np.ndarray], frequent: tuple[np.ndarray, np.ndarray], texts: int):
-        self.segments, self.bits, self.tokens, self.distinct, self.means, self.texts = segments, bits, tokens, distinct, means, texts
+    def __init__(self, segments: int, bits: dict[int, np.ndarray], first: dict[int, int], tokens: int, distinct: int, means: dict[int, np.ndarray], frequent: tuple[np.ndarray, np.ndarray], texts: int):
+        self.segments, self.bits, self.first, self.tokens, self.distinct, self.means, self.texts = segments, bits, first, tokens, distinct, means, texts
         self.frequent, self.frequent_counts = frequent
 
+    def here(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """Whether each n-gram belongs to a segment that is there."""
+        at = _segment_of(keys, self.segments) - self.first[order]
+        return (at >= 0) & (at < len(self.bits[order]))
+
     def classes(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Class of each n-gram by repeated probes, 0 if it is not in the filter."""
         keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
-        base = _segment_of(keys, self.segments)
+        left, bits = np.arange(len(keys)), self.bits[order]
+        base = _segment_of(keys, self.segments) - self.first[order]
         for q in range(1, len(self.means[order])):
             hit = np.ones(len(left), bool)
-            for at in _places(keys[left], q, order, self.bits.shape[1] * 8):
-                hit &= (self.bits[base[left], at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
+            for at in _places(keys[left], q, order, bits.shape[1] * 8):
+                hit &= (bits[base[left], at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
             left = left[hit]
             if not len(left):
                 break
@@ -187,12 +189,13 @@ class Model:
         at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
         return np.where(self.frequent[at] == tokens, self.frequent_counts[at], -1)
 
-    def parts(self, tokens: np.ndarray, pairs: np.ndarray, starts: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of each word, of the word before it and of their pair, as the model knows them."""
+    def parts(self, tokens: np.ndarray, pairs: np.ndarray, starts: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which pairs are there, and for those the counts of the word, of the word before it and of both, as the model knows them."""
         word = np.where(exact >= 0, exact, self.means[1][self.classes(tokens, 1)]).astype(np.float64)
         before = np.concatenate([[0.0], word[:-1]])
         before[starts] = self.texts
-        return word, before, self.means[2][self.classes(pairs, 2)]
+        here = np.flatnonzero(self.here(pairs, 2))
+        return here, word[here], before[here], self.means[2][self.classes(pairs[here], 2)]
 
     def mixtures(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 P for each mix, and the range of the word before."""
@@ -209,70 +212,65 @@ def _places(keys: np.ndarray, q: int, order: int, size: int) -> Iterator[np.ndar
         yield ((base + np.uint64(k) * step) >> np.uint64(16)) % np.uint64(size)
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all texts of ``docs`` and the written table of exact word counts by segment."""
+def fit(docs: DataFrame) -> tuple[list[Callable[[], Model]], DataFrame]:
+    """The model of all texts of ``docs``, once for each part of the pairs' filter, and the written table of exact word counts by segment.
+
+    Models are made when they are asked for, so that one part at a time is in the driver's memory.
+    """
     spark = docs.sparkSession
     segments = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = stored(_counted(docs, segments), "ngrams")
     tokens, distinct, table = _described(counts, segments)
-    least = _least_classes(table, FILTER_BYTES * 8 // BITS_EACH)
     limit = tokens // FREQUENT
-    size = FILTER_BYTES // segments
+    size = {n: 8 + sum(entries * q for (m, q), (entries, _) in table.items() if m == n) * BITS_EACH // 8 // segments for n in (1, 2)}
+    step = max(1, FILTER_BYTES // size[2])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
             for segment, *values in zip(*(c.to_pylist() for c in batch.columns)):
-                bits = np.zeros(size * 8, bool)
+                rows: list[tuple] = []
                 for order, (keys, found) in ((1, values[:2]), (2, values[2:])):
+                    bits = np.zeros(size[order] * 8, bool)
                     keys, found = np.frombuffer(keys, "<u8"), np.frombuffer(found, "<i8")
                     kinds = _classes(found)
                     if order == 1:
-                        rows += [(segment, None, int(k), int(c)) for k, c in zip(keys[found > limit].view(np.int64), found[found > limit])]
-                    keys, kinds = keys[kinds >= least[order]], kinds[kinds >= least[order]]
+                        rows += [(segment, 0, None, int(k), int(c)) for k, c in zip(keys[found > limit].view(np.int64), found[found > limit])]
                     for q in range(1, int(kinds.max(initial=0)) + 1):
                         keys, kinds = keys[kinds >= q], kinds[kinds >= q]
-                        for at in _places(keys, q, order, size * 8):
+                        for at in _places(keys, q, order, size[order] * 8):
                             bits[at.astype(np.int64)] = True
-                rows.append((segment, np.packbits(bits, bitorder="little").tobytes(), None, None))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["segment", "bits", "word", "n"])
-
-    bits, frequent = np.zeros((segments, size), np.uint8), []
-    # the filter, of fixed size, and at most FREQUENT words
-    for row in counts.mapInArrow(build, "segment int, bits binary, word long, n long").toLocalIterator():
-        if row.bits is not None:
-            bits[row.segment] = np.frombuffer(row.bits, np.uint8)
-        else:
-            frequent.append((row.word, row.n))
-    words = np.array([w for w, _ in frequent], np.int64).view(np.uint64)
+                    rows.append((segment, order, np.packbits(bits, bitorder="little").tobytes(), None, None))
+                columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["segment", "kind", "bits", "word", "n"])
+
+    filters = stored(counts.mapInArrow(build, "segment int, kind int, bits binary, word long, n long"), "filters")
+
+    def bits_of(order: int, first: int, last: int) -> np.ndarray:
+        """Rows of bits of these segments; those without n-grams have none set."""
+        out = np.zeros((last - first, size[order]), np.uint8)
+        for row in filters.where((F.col("kind") == order) & F.col("segment").between(first, last - 1)).select("segment", "bits").toLocalIterator():
+            out[row.segment - first] = np.frombuffer(row.bits, np.uint8)
+        return out
+
+    frequent = filters.where("kind = 0").select("word", "n").collect()  # at most FREQUENT words
+    words = np.array([r.word for r in frequent], np.int64).view(np.uint64)
     order = np.argsort(words)
+    often = words[order], np.array([r.n for r in frequent], np.int64)[order]
     means = {}
     for n in (1, 2):
         top = max([q for m, q in table if m == n], default=0)
         means[n] = np.array([0.0] + [table.get((n, q), (1, 0))[1] / table.get((n, q), (1, 0))[0] for q in range(1, top + 1)])
-    ends = int(docs.count())
-    model = Model(segments, bits, tokens, distinct, means, (words[order], np.array([c for _, c in frequent], np.int64)[order]), ends)
-    return model, counts
+    ends, single = int(docs.count()), bits_of(1, 0, segments)
 
+    def model(first: int) -> Model:
+        bits = {1: single, 2: bits_of(2, first, min(segments, first + step))}
+        return Model(segments, bits, {1: 0, 2: first}, tokens, distinct, means, often, ends)
 
-def score_documents(docs: DataFrame, train: DataFrame, learn_from: str) -> DataFrame:
-    """Scores of every text under the model of ``train``.
+    return [partial(model, first) for first in range(0, segments, step)], counts
 
-    Returns ``doc_id, n_tokens, n_known, train_tokens, base_score, score``. ``n_known`` and
-    ``base_score`` (add-one word probabilities) rest on exact counts, ``score`` on the
-    filter. ``learn_from`` is a condition on ``docs`` that holds for the rows of ``train``:
-    those fix the mixes, scored without themselves. Null and empty texts have one
-    token, the end. Repeated rows are scored each; other columns are not read. An
-    empty ``train`` gives every token the same probability.
 
-    Frequent tokens are counted on the worker; postings of the others go to the
-    segments of the exact counts, which have no hot key then.
-    """
-    spark = docs.sparkSession
-    model, counts = fit(train)
-    shared, segments = spark.sparkContext.broadcast(model), model.segments
-    kinds = len(RANGES) + 1
+def _scored(texts: DataFrame, shared: Broadcast, kinds: int, first: bool) -> DataFrame:
+    """What one part of the filter says of each text (kind 0), of all texts that learn (2) and, with ``first``, postings of rare words (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, done = shared.value, TaskContext.get().partitionId() << 40, 0
@@ -286,28 +284,27 @@ def score_documents(docs: DataFrame, train: DataFrame, learn_from: str) -> DataF
             tokens, pairs = np.concatenate(lists), np.concatenate([_pairs(t) for t in lists])
             of = np.repeat(np.arange(len(ids)), sizes)
             exact = own.exact(tokens)
-            word, before, pair = own.parts(tokens, pairs, starts, exact)
+            here, word, before, pair = own.parts(tokens, pairs, starts, exact)
             logs, ranges = own.mixtures(word, before, pair)
-            cell = of * kinds + ranges
+            cell = of[here] * kinds + ranges
             sums = np.stack([np.bincount(cell, logs[:, m], len(ids) * kinds) for m in range(len(MIXES))], 1).reshape(len(ids), -1)
-            learns = np.array(learning, bool)[of]
-            less = np.where(pair - 1 >= LEAST_PAIR, pair - 1, 0.0)
-            loo, loo_ranges = own.mixtures(np.maximum(word[learns] - 1, 0), np.maximum(before[learns] - 1, 0), less[learns])
+            learns = np.array(learning, bool)[of[here]]
+            loo, loo_ranges = own.mixtures(*(np.maximum(x[learns] - 1, 0) for x in (word, before, pair)))
             total = np.stack([np.bincount(loo_ranges, loo[:, m], kinds) for m in range(len(MIXES))], 1).reshape(-1)
             often = exact >= 0
             base = np.bincount(of[often], np.log10(exact[often] + 1.0), len(ids))
             known = np.bincount(of[often], minlength=len(ids))
             out: list[tuple] = [(0, None, done + k, i, int(n), int(c), float(b), s, None, None, None) for k, (i, n, c, b, s) in enumerate(zip(ids, sizes, known, base, sums))]
             out.append((2, None, None, None, None, None, None, total, None, None, None))
-            # postings of the rest: word, row, how often
-            key = tokens[~often]
-            row = of[~often]
+            # postings of the rest, once: word, row, how often
+            key = tokens[~often] if first else tokens[:0]
+            row = of[~often] if first else of[:0]
             order = np.lexsort((row, key))
             key, row = key[order], row[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(key)))
-            key, row = key[first], row[first]
-            cut = _cuts(key, segments)
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.append(begin, len(key)))
+            key, row = key[begin], row[begin]
+            cut = _cuts(key, own.segments)
             for s, (a, b) in enumerate(zip(cut, cut[1:])):
                 if a < b:
                     out.append((1, s, done, None, None, None, None, None, key[a:b].tobytes(), row[a:b].astype("<u4").tobytes(), times[a:b].astype("<u4").tobytes()))
@@ -319,7 +316,7 @@ def score_documents(docs: DataFrame, train: DataFrame, learn_from: str) -> DataF
 
         held: tuple[list, list, list] = ([], [], [])
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for values, value in zip(held, row):
                     values.append(value)
@@ -331,13 +328,47 @@ def score_documents(docs: DataFrame, train: DataFrame, learn_from: str) -> DataF
             yield flush(*held)
 
     schema = "kind int, segment int, row long, doc_id long, n_tokens long, n_known long, base double, sums array<double>, words binary, rows binary, times binary"
-    passed = stored(docs.select("doc_id", "text", F.expr(learn_from).alias("learning")).mapInArrow(run, schema), "scored")
-    totals = passed.where("kind = 2").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    return texts.mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, train: DataFrame, learn_from: str) -> DataFrame:
+    """Scores of every text under the model of ``train``.
+
+    Returns ``doc_id, n_tokens, n_known, train_tokens, base_score, score``. ``n_known`` and
+    ``base_score`` (add-one word probabilities) rest on exact counts, ``score`` on the
+    filter. ``learn_from`` is a condition on ``docs`` that holds for the rows of ``train``:
+    those fix the mixes, scored without themselves. Null and empty texts have one
+    token, the end. Repeated rows are scored each; other columns are not read. An
+    empty ``train`` gives every token the same probability.
+
+    The texts are read once for each part of the pairs' filter, and written once more
+    if there are several. Frequent tokens are counted on the worker; postings of the others go to the
+    segments of the exact counts, which have no hot key then.
+    """
+    spark = docs.sparkSession
+    bounded(spark)
+    models, counts = fit(train)
+    kinds = len(RANGES) + 1
+    texts = docs.select("doc_id", "text", F.expr(learn_from).alias("learning"))
+    if len(models) > 1:  # every pass has to meet the same rows in the same tasks
+        texts = stored(texts, "texts")
+    passes = []
+    for make in models:
+        model = make()
+        shared = spark.sparkContext.broadcast(model)
+        passes.append(stored(_scored(texts, shared, kinds, not passes), "scored"))
+        shared.destroy()
+    passed, segments = passes[0], model.segments
+    every = passed.where("kind in (0, 2)").select("kind", "row", "sums")
+    for more in passes[1:]:
+        every = every.unionByName(more.select("kind", "row", "sums"))
+    totals = every.where("kind = 2").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
     table = np.zeros(kinds * len(MIXES))
     for r in totals:
         table[r.k] = r.v
     best = table.reshape(kinds, -1).argmax(1)
     score = sum((F.element_at("sums", k * len(MIXES) + int(m) + 1) for k, m in enumerate(best)), F.lit(0.0))
+    scores = None if len(passes) == 1 else every.where("kind = 0").select("row", score.alias("score")).groupBy("row").agg(F.sum("score").alias("score"))
 
     def look_up(postings: pa.Table, exact: pa.Table) -> pa.Table:
         keys, found, out = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
@@ -373,14 +404,16 @@ def score_documents(docs: DataFrame, train: DataFrame, learn_from: str) -> DataF
     # what the segments know of a flush's rows is added up in one place; a flush has a bounded size
     rare = rare.groupBy("first").applyInArrow(total, "row long, n_rare long, base_rare double")
     smooth = F.lit(float(np.log10(model.tokens + model.distinct + 1)))
+    known = passed.where("kind = 0")
+    known = known.withColumn("score", score) if scores is None else known.join(scores, "row")
     return (
-        passed.where("kind = 0").join(rare, "row", "left")
+        known.join(rare, "row", "left")
         .select(
             "doc_id",
             "n_tokens",
             (F.col("n_known") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"),
             F.lit(model.tokens).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * smooth).alias("base_score"),
-            score.alias("score"),
+            "score",
         )
     )
