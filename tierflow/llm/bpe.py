@@ -19,12 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tierflow.llm.batches import bounded, slices
+
 #: Entries that a worker's cache of encoded chunks may hold before it is emptied.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
 #: Longer chunks are not kept in the cache.
 CACHE_CHUNK = 64
 #: Characters of the texts whose new pre-tokens are encoded together.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 _NEVER = 1 << 60
 _FIRST = "\ud800"  # no valid text holds it
 
@@ -99,7 +101,7 @@ class Vocabulary:
         known = self._fits.get(key)
         if known is None:
             known = self._fits_now(a, b)
-            if len(self._fits) >= 4 * CACHE_ENTRIES:
+            if len(self._fits) >= 2 * CACHE_ENTRIES:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -120,7 +122,7 @@ class Vocabulary:
         while to is None and state:
             state = self._fallback[state]
             to = child.get(state * 256 + byte)
-        if len(self._steps) >= 4 * CACHE_ENTRIES:
+        if len(self._steps) >= 2 * CACHE_ENTRIES:
             self._steps.clear()
         self._steps[key] = to = to or 0
         return to
@@ -314,7 +316,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(ranks_path, pattern)
         names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-        for batch in batches:
+        for batch in slices(batches, GROUP_CHARS):
             at = 0
             for group in encoder.groups([text or "" for text in batch.column(1).to_pylist()]):
                 found = encoder.encode_all(group)
@@ -328,6 +330,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 at += len(group)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    bounded(docs.sparkSession)
     picked = docs.select(id_col, text_col)
     kind = picked.schema[id_col].dataType.simpleString()
     return picked.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

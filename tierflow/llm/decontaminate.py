@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.llm.batches import bounded, slices
 from tierflow.llm.words import mixed, run_hashes
+from tierflow.shared import stored
 
 #: Tokens of a window, and how many of them have to be words.
 WINDOW, WORDS = 8, 4
@@ -31,7 +33,7 @@ UNITS = frozenset(
     "percent degrees degree dollars dollar cents euros euro pounds pound meters metres meter metre kilometers kilometres miles feet inches "
     "grams kilograms litres liters seconds minutes hours days weeks months years usd eur gbp mph kph".split()
 )
-_CACHE = 300_000
+_CACHE = 120_000
 _NUMBER = re.compile(r"[+\-$€£]?\d[\d.,:/]*[a-z%°]*")
 _EDGE = "\"'()[]{}<>.,;:!?¡¿…“”‘’«»*#$%&"
 _CAPITAL, _NUM, _UNIT, _END = 1, 2, 3, 4
@@ -145,11 +147,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     nothing; empty tables give no pairs; other columns are not read.
 
     Windows go through a filter of fixed size before they are shuffled, so only
-    those that items have (and a few others) leave a task. The join by hash is
-    split by document where one passage is in many documents.
+    those that items have (and a few others) leave a task. Nothing after the join by
+    hash needs its keys together, so Spark may split a window that is in many documents.
     """
     spark = docs.sparkSession
-    items = _item_windows(benchmark, item_id_col, item_text_col).cache()
+    bounded(spark)
+    items = stored(_item_windows(benchmark, item_id_col, item_text_col), "items")
     every = items.select("size", "literal").distinct().collect()  # sizes up to WINDOW at most
     sizes, literal_sizes = (sorted(r.size for r in every if r.literal == kind) for kind in (False, True))
     bits = spark.sparkContext.broadcast(_filter_of(items))
@@ -161,7 +164,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             low = found & np.uint64(FILTER_BITS - 1)
             return np.flatnonzero((known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
 
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").split()
