@@ -107,25 +107,24 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, set`` of some documents, the set as sorted 64-bit values. A filter of fixed size drops most others before the join."""
+    """``id, set`` of some documents (id, set_id), the set as sorted 64-bit values; a repeated row gives a repeated row. A filter of fixed size drops most others before the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(words_of(text), WORDS).tobytes() for text in batch.column(1).to_pylist()]
-            digests = [xxhash.xxh3_128_digest(s) if s else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_id", "set"])
+            keep = pa.array([bool(s) and xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(2).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"]).filter(keep)
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    wanted = possible(picked, "id", filter_of(ids, F.xxhash64("id"))).join(ids, "id", "left_semi")
-    made = wanted.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set_id binary, set binary").where("set_id is not null")
-    return made.groupBy("id").agg(F.min(F.struct("set_id", "set")).alias("s")).select("id", "s.set")
+    wanted = possible(picked, "id", filter_of(ids, F.xxhash64("id"))).join(ids, "id").select("id", "text", "set_id")
+    return wanted.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary")
 
 
-def _measured(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The written distances of pairs (a, b). Only the sets of their documents are made again, and deleted afterwards."""
+def _measured(docs: DataFrame, pairs: DataFrame, own: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The written distances of pairs (a, b). Only the sets of their documents, which ``own`` (id, set_id) names, are made again, and deleted afterwards."""
     pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = stored(_sets_of(docs, ids, id_col, text_col), "sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = stored(_sets_of(docs, stored(ids.join(own, "id"), "ids"), id_col, text_col), "sets")
     out = stored(_distances(pairs, sets), "distances")
     dropped(sets)
     return out
@@ -146,7 +145,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}, common long, total long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}, common long, total long").distinct()
 
 
 def _linked(percent: int) -> Column:
@@ -179,8 +178,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _dropped_single(rest: DataFrame, found: DataFrame) -> DataFrame:
-    """``h, id, n, m, c, size, weight`` of the regions of ``rest`` (h, id, n, m) whose members are in more than one component."""
-    named = rest.join(found, "id", "left").select("h", "id", "n", "m", F.coalesce("component", "id").alias("c"))
+    """``h, id, n, m, d, c, size, weight`` of the regions of ``rest`` (h, id, n, m, d) whose members are in more than one component."""
+    named = rest.join(found, "id", "left").select("h", "id", "n", "m", "d", F.coalesce("component", "id").alias("c"))
     measures = F.min("c").alias("_c"), F.max("c").alias("_d"), F.count("*").alias("size"), F.sum("n").alias("weight"), *_signature()
     many = named.groupBy("h").agg(*measures).where("_c <> _d").groupBy("size", "weight", "x", "y").agg(F.min("h").alias("h")).select("h", "size", "weight")
     return stored(named.join(many, "h"), "regions")
@@ -208,10 +207,18 @@ def _apart(rows: DataFrame, band: Column) -> DataFrame:
     return rows.join(bands, "h", "left").withColumn("h", F.when(F.col("bands").isNull(), F.col("h")).otherwise(F.xxhash64("h", begins))).drop("band", "bands")
 
 
-def _within(regions: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _pairs(regions: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members of regions of up to ``LEAF`` that sizes, distances to the last pivot and components leave open."""
+    other = regions.select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "c", "d")))
+    sizes = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
+    window = F.coalesce(F.abs(F.col("d") - F.col("d_b")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    return regions.join(other, "h").where("id > id_b and c <> c_b").where(sizes & window).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _within(regions: DataFrame, docs: DataFrame, own: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Links (a, b) between the components of each of these regions, which are small enough for a task."""
     kind = regions.schema["id"].dataType.simpleString()
-    sets = stored(_sets_of(docs, regions.select("id").distinct(), id_col, text_col), "sets")
+    sets = stored(_sets_of(docs, stored(regions.select("id").distinct().join(own, "id"), "ids"), id_col, text_col), "sets")
 
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names, held = [], [], []
@@ -290,8 +297,8 @@ class Cells:
         return self.found
 
 
-def _divided(large: DataFrame, measured: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """One round of large regions: the new cells (h, id, n, m) and the distances of all members to the pivots.
+def _divided(large: DataFrame, measured: DataFrame, docs: DataFrame, own: DataFrame, id_col: str, text_col: str, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """One round of large regions: the new cells (h, id, n, m, d) and the distances of all members to the pivots.
 
     Pivots are taken from outside the region's largest component first. A member
     goes to the cell of its nearest pivot and, where the triangle inequality allows a
@@ -303,7 +310,7 @@ def _divided(large: DataFrame, measured: DataFrame, docs: DataFrame, id_col: str
     pivots = stored(ranked.where((F.col("_n") <= PIVOTS << (step - 1)) & (F.col("_n") <= F.col("m"))).select("h", F.col("id").alias("pivot")), "pivots")
     met = stored(large.select("h", "id", "n", "m", "size").join(pivots, "h"), "met")
     pairs = met.where("id <> pivot").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-    more = _measured(docs, pairs.join(measured, ["a", "b"], "left_anti"), id_col, text_col)
+    more = _measured(docs, pairs.join(measured, ["a", "b"], "left_anti"), own, id_col, text_col)
     every = measured.unionByName(more).select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
     near = met.select("*", F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).join(every, ["a", "b"], "left")
     near = stored(near.select("h", "id", "n", "m", "size", "pivot", F.coalesce("d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(1.0)).alias("d")), "near")
@@ -317,7 +324,7 @@ def _divided(large: DataFrame, measured: DataFrame, docs: DataFrame, id_col: str
     rest = placed.join(pivots.select("h", F.col("pivot").alias("id")), ["h", "id"], "left_anti")
     cells = rest.join(whole, "h", "left_anti").select(F.xxhash64("h", "pivot").alias("h"), "id", "n", F.lit(PIVOTS).alias("m")).distinct()
     kept = rest.join(whole, "h", "left_semi").select("h", "id", "n", (F.col("m") * 2).alias("m")).distinct()
-    out = stored(cells.unionByName(kept), "rest")
+    out = stored(cells.unionByName(kept).withColumn("d", F.lit(None).cast("double")), "rest")
     for table in (met, near, placed):
         dropped(table)
     return out, more
@@ -348,17 +355,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dropped(shared)
     chosen = possible(entries, "h", filter_of(several, F.xxhash64("h"))).join(several, "h")
     sets = known.groupBy("id").agg(F.min(F.struct("set_id", F.col("n_shingles").alias("n"))).alias("s"))
+    own = sets.select("id", "s.set_id")
     # equal sets are one member; where sizes leave a gap that no link spans, a region falls apart
     members = stored(chosen.join(sets, "id").groupBy("h", "s").agg(F.min("id").alias("id")).select("h", "id", "s.n"), "members")
     dropped(several)
     sized = _apart(members, F.floor(F.log("n") / math.log(100 / percent) * BANDS).cast("int"))
-    first = sized.join(_one_of_each(sized), "h").join(sized.groupBy("h").agg(F.min("id").alias("pivot")), "h")
-    regions = stored(first.select("h", "id", "n", "pivot"), "first")
+    # the smallest id of a region is its first pivot, and regions with the same pivot become one
+    pivots = sized.groupBy("h").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("h", "pivot")
+    regions = stored(sized.join(pivots, "h").select(F.xxhash64("pivot").alias("h"), "id", "n", "pivot").distinct(), "first")
     dropped(members)
 
-    # the first pivot of a region, its smallest id, meets all members
+    # it meets all members
     pairs = regions.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    measured = _measured(docs, pairs, id_col, text_col)
+    measured = _measured(docs, pairs, own, id_col, text_col)
     links = stored(links.union(measured.where(_linked(percent)).select("a", "b")), "links")
     found = components(links)
 
@@ -366,18 +375,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # pivot divides them once more: where it leaves a gap wider than the radius, no link spans it
     away = measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
     met = stored(regions.where("id <> pivot").join(away, ["id", "pivot"]).select("h", "id", "n", "d"), "met")
-    rest = _apart(met, F.floor(F.col("d") * (100 * BANDS / (100 - percent))).cast("int")).select("h", "id", "n", F.lit(PIVOTS).alias("m"))
+    rest = _apart(met, F.floor(F.col("d") * (100 * BANDS / (100 - percent))).cast("int")).select("h", "id", "n", "d", F.lit(PIVOTS).alias("m"))
     step = 0
     while True:
         step += 1
         rest = _dropped_single(rest, found)
         if not rest.limit(1).count():
             break
-        small = (F.col("size") <= cell) & (F.col("weight") <= WEIGHT)
-        new = _within(rest.where(small), docs, id_col, text_col, percent)
-        large = rest.where(~small)
+        more = _measured(docs, _pairs(rest.where(F.col("size") <= LEAF), percent).join(measured, ["a", "b"], "left_anti"), own, id_col, text_col)
+        new = more.where(_linked(percent)).select("a", "b")
+        some, fits = rest.where(F.col("size") > LEAF), (F.col("size") <= cell) & (F.col("weight") <= WEIGHT)
+        if some.where(fits).limit(1).count():
+            new = new.union(_within(some.where(fits), docs, own, id_col, text_col, percent))
+        large = some.where(~fits)
         if large.limit(1).count():
-            rest, more = _divided(large, measured, docs, id_col, text_col, percent, step)
+            rest, more = _divided(large, measured, docs, own, id_col, text_col, percent, step)
             measured = measured.unionByName(more)
             new = new.union(more.where(_linked(percent)).select("a", "b"))
         else:
