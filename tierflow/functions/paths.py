@@ -62,9 +62,13 @@ def matches(path: Column, patterns: list[str]) -> Column:
     return any_of(found)
 
 
+#: Files that nothing needs to import (fixed values): indexes, mains, the app file, configs, tests.
+ENTRY_POINT = r"^(src/)?(index|main)\.[jt]sx?$|^src/app\.[jt]sx?$|\.config\.[jt]s$|\.(test|spec)\.[jt]sx?$"
+
+
 def is_entry_point(path: Column) -> Column:
-    """Files that nothing needs to import: indexes and mains, app folders, configs, tests."""
-    return path.rlike(r"^(src/)?(index|main)\.[jt]sx?$|^src/app/|\.config\.[jt]s$|\.(test|spec)\.[jt]sx?$")
+    """Whether a file is started by something else than an import."""
+    return path.rlike(ENTRY_POINT)
 
 
 def comparable(path: Column) -> Column:

@@ -79,15 +79,15 @@ def successor_depth(graph: DataFrame) -> DataFrame:
     return entry.select(F.col("s").alias("node"), (F.col("d") + 1 + F.col("size")).alias("depth")).union(on.select("node", F.col("size").cast("long")))
 
 
-def strong_components(graph: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strong_components(graph: DataFrame) -> DataFrame:
     """``node, component`` of all nodes on cycles of any graph (s, t).
 
     Nodes without a way in or out are trimmed; then the smallest node that reaches
     each node colours it, and what reaches the smallest node backwards within its
-    colour is its component. Repeated on the rest.
+    colour is its component. Repeated on the rest until no edge is left.
     """
     left, found = stored(graph.select("s", "t").distinct(), "graph"), None
-    for _ in range(max_rounds):
+    while True:
         while True:
             n = left.count()
             left = stored(left.join(left.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(left.select(F.col("s").alias("t")).distinct(), "t", "left_semi"), "graph")
@@ -118,11 +118,12 @@ def strong_components(graph: DataFrame, max_rounds: int = 200) -> DataFrame:
     return found if found is not None else graph.select(F.col("s").alias("node"), F.col("s").alias("component")).limit(0)
 
 
-def reachable(graph: DataFrame, start: DataFrame, max_rounds: int) -> DataFrame:
-    """``node, hops``: what ``start`` (node) reaches in at most ``max_rounds`` steps, with the fewest steps."""
+def reachable(graph: DataFrame, start: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """``node, hops``: what ``start`` (node) reaches, with the fewest steps; at most ``max_rounds`` steps if given."""
     seen = stored(start.select("node", F.lit(0).alias("hops")).distinct(), "reach")
-    front = seen
-    for hop in range(1, max_rounds + 1):
+    front, hop = seen, 0
+    while max_rounds is None or hop < max_rounds:
+        hop += 1
         front = stored(front.join(graph, front.node == graph.s).select(F.col("t").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops")), "front")
         if not front.limit(1).count():
             break
@@ -130,6 +131,58 @@ def reachable(graph: DataFrame, start: DataFrame, max_rounds: int) -> DataFrame:
     return seen
 
 
+def cycle_paths(graph: DataFrame, components: DataFrame) -> DataFrame:
+    """``component, path``: a shortest cycle through the smallest node of each component (node, component), from that node back to it.
+
+    Of several, the first in order. All components are searched at once, level by level.
+    """
+    inner = graph.join(components.select(F.col("node").alias("s"), "component"), "s").join(components.select(F.col("node").alias("t"), F.col("component").alias("_c")), "t")
+    inner = stored(inner.where("component = _c").select("component", "s", "t").distinct(), "inner")
+    front = components.select("component").distinct().select("component", F.col("component").alias("at"), F.array("component").alias("path"))
+    seen, done = front.select("component", "at"), None
+    while True:
+        step = front.withColumnRenamed("at", "s").join(inner, ["component", "s"]).select("component", F.col("t").alias("at"), F.concat("path", F.array("t")).alias("path"))
+        step = stored(step.groupBy("component", "at").agg(F.min("path").alias("path")), "step")
+        closed = step.where("at = component").select("component", "path")
+        done = closed if done is None else done.union(closed)
+        front = stored(step.join(closed, "component", "left_anti").join(seen, ["component", "at"], "left_anti"), "front")
+        if not front.limit(1).count():
+            return done
+        seen = seen.union(front.select("component", "at"))
+
+
+def chain_lengths(graph: DataFrame) -> DataFrame:
+    """``node, depth``: edges of the longest chain from each node of any graph (s, t); on a cyclic component a chain goes round once.
+
+    Components become nodes of a graph without cycles, which is worked off from its
+    ends; a round settles all nodes whose successors are settled. Longest simple
+    paths inside a component are not searched; it counts as many edges as it has nodes.
+    """
+    every = graph.select("s", "t").distinct()
+    found = stored(strong_components(every), "components")
+    weight = found.groupBy("component").agg(F.count("*").alias("w"))
+    nodes = every.select(F.col("s").alias("node")).union(every.select("t")).distinct().join(found, "node", "left")
+    nodes = stored(nodes.select("node", F.coalesce("component", "node").alias("c")), "nodes")
+    left = every.join(nodes.select(F.col("node").alias("s"), F.col("c").alias("a")), "s").join(nodes.select(F.col("node").alias("t"), F.col("c").alias("b")), "t").where("a <> b").select("a", "b").distinct()
+    left = stored(left, "dag")
+    # best so far of each component: its own weight, later the longest way over settled successors
+    best = stored(nodes.select("c").distinct().join(weight.withColumnRenamed("component", "c"), "c", "left").select("c", F.coalesce("w", F.lit(0)).cast("long").alias("w"), F.coalesce("w", F.lit(0)).cast("long").alias("d"), F.lit(False).alias("done")), "best")
+    while True:
+        open_ = left.select(F.col("a").alias("c")).distinct()
+        now = stored(best.where("not done").join(open_, "c", "left_anti").select("c", "d"), "settled")
+        if not now.limit(1).count():
+            return nodes.join(best.select("c", "d"), "c").select("node", F.col("d").alias("depth"))
+        more = left.join(now.select(F.col("c").alias("b"), "d"), "b").groupBy(F.col("a").alias("c")).agg(F.max(F.col("d") + 1).alias("via"))
+        best = best.join(more, "c", "left").join(now.select("c", F.lit(True).alias("is_now")), "c", "left")
+        best = stored(best.select("c", "w", F.greatest("d", F.coalesce(F.col("w") + F.col("via"), F.col("d"))).alias("d"), (F.col("done") | F.coalesce("is_now", F.lit(False))).alias("done")), "best")
+        left = stored(left.join(now.select(F.col("c").alias("b")), "b", "left_anti"), "dag")
+
+
+def has_dependency(edges: DataFrame, source: str, target: str) -> bool:
+    """Whether ``source`` imports ``target`` directly."""
+    return bool(edges_between(edges, source, target).limit(1).count())
+
+
 def origins(reexports: DataFrame, max_depth: int = 10) -> DataFrame:
     """``barrel, origin``: files behind re-exports (source, target), through other barrels, at most ``max_depth`` deep."""
     links = reexports.select("source", "target").distinct()

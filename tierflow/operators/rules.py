@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from tierflow.functions.frameworks import implicitly_used
 from tierflow.functions.paths import comparable, glob_regex, is_entry_point, normal_text
-from tierflow.operators.mapping import annotated, first_by, placed
+from tierflow.operators.graph import chain_lengths, cycle_paths, strong_components
+from tierflow.operators.mapping import annotated, placed
 from tierflow.plans.ruleset import SEVERITY, RuleSet
+from tierflow.shared import stored
 
 #: The violations table.
 COLUMNS = (
     "type string, severity string, source_file string, target_file string, source_layer string, source_sublayer string, source_feature string, "
     "target_layer string, target_sublayer string, target_feature string, import_specifier string, line int, message string, max_allowed int, actual int, dependent_layers array<string>"
 )
-_ORDER = ["source", "line", "target", "specifier", "kind"]
 
 
-def violations(rows: DataFrame, kind: str, severity: str | None = None, **columns: Column) -> DataFrame:
-    """``rows`` as violations of one type; columns that are not given are null."""
-    given = {"type": F.lit(kind), "severity": F.lit(severity or SEVERITY[kind]), **columns}
+def violations(rows: DataFrame, kind: str | Column, severity: str | Column | None = None, **columns: Column) -> DataFrame:
+    """``rows`` as violations of one type, or of the type in a column; columns that are not given are null."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    given = {"type": as_column(kind), "severity": as_column(SEVERITY[kind] if severity is None else severity), **columns}
     fields = [field.strip().split(" ") for field in COLUMNS.split(",")]
     return rows.select(*(given.get(name, F.lit(None)).cast(of).alias(name) for name, of in fields))
 
@@ -55,34 +57,43 @@ def judged(edges: DataFrame, rules: RuleSet, **switches: bool) -> DataFrame:
 
 def edge_violations(edges: DataFrame, rules: RuleSet, apply_exceptions: bool = False) -> DataFrame:
     """Flow, isolation and unlayered violations of each edge, and one unmapped violation for each source outside all layers."""
-    rows = judged(edges, rules).where("outcome <> 'ok'")
+    return _of_edges(judged(edges, rules), rules, apply_exceptions)
+
+
+def _of_edges(rows: DataFrame, rules: RuleSet, apply_exceptions: bool = False) -> DataFrame:
+    rows = rows.where("outcome <> 'ok'")
     if apply_exceptions:
         for a, b in rules.exceptions:
             rows = rows.where(~(F.col("source").rlike(glob_regex(a)) & F.col("target").rlike(glob_regex(b))))
-    unmapped = first_by(rows.where("outcome = 'unmapped'"), ["source"], _ORDER)
     src, dst = F.col("src"), F.col("dst")
     where = dict(
         source_file=F.col("source"), target_file=F.col("target"), source_layer=src.layer, source_sublayer=src.sublayer, source_feature=src.feature,
         target_layer=dst.layer, target_sublayer=dst.sublayer, target_feature=dst.feature, import_specifier=F.col("specifier"), line=F.col("line"),
     )
     name = lambda end: F.concat_ws("/", end.layer, F.when(src.layer == dst.layer, end.sublayer))
-    parts = [
-        violations(rows.where("outcome = 'flow'"), "flow", message=F.concat(name(src), F.lit(" may not import "), name(dst)), **where),
-        violations(rows.where("outcome = 'isolation'"), "isolation", message=F.concat(F.lit("feature "), src.feature, F.lit(" may not import feature "), dst.feature), **where),
-        violations(rows.where("outcome = 'unlayered'"), "unlayered", rules.unlayered, message=F.concat(F.col("target"), F.lit(" is in no layer")), **where),
-        violations(unmapped, "unmapped", message=F.concat(F.col("source"), F.lit(" is in no layer")), source_file=F.col("source")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    said = (
+        F.when(F.col("outcome") == "flow", F.concat(name(src), F.lit(" may not import "), name(dst)))
+        .when(F.col("outcome") == "isolation", F.concat(F.lit("feature "), src.feature, F.lit(" may not import feature "), dst.feature))
+        .otherwise(F.concat(F.col("target"), F.lit(" is in no layer")))
+    )
+    level = F.when(F.col("outcome") == "unlayered", F.lit(rules.unlayered)).otherwise(F.lit(SEVERITY["flow"]))
+    of_edges = violations(rows.where("outcome <> 'unmapped'"), F.col("outcome"), level, message=said, **where)
+    unmapped = rows.where("outcome = 'unmapped'").select("source").distinct()
+    return of_edges.unionByName(violations(unmapped, "unmapped", message=F.concat(F.col("source"), F.lit(" is in no layer")), source_file=F.col("source")))
 
 
 def public_api_violations(edges: DataFrame, rules: RuleSet) -> DataFrame:
     """Edges from other layers to files outside the target layer's public API."""
+    return _of_apis(annotated(edges, rules), rules)
+
+
+def _of_apis(rows: DataFrame, rules: RuleSet) -> DataFrame:
     apis = {}
     for layer in rules.layers:
         if layer.public_api:
             folder = layer.path.replace("\\", "/").strip("/")
             apis[layer.name] = [p if normal_text(p).startswith(normal_text(layer.path)) else f"{folder}/{p}" for p in layer.public_api]
-    rows = annotated(edges, rules).where("src.layer <> dst.layer")
+    rows = rows.where("src.layer <> dst.layer")
     open_ = reduce(lambda a, b: a | b, [(F.col("dst.layer") == n) & comparable(F.col("target")).isin(*(comparable_text(p) for p in ps)) for n, ps in apis.items()], F.lit(False))
     rows = rows.where(F.col("dst.layer").isin(*apis) & ~open_) if apis else rows.where("false")
     return violations(
@@ -103,16 +114,24 @@ def comparable_text(path: str) -> str:
 
 def dependents(edges: DataFrame, rules: RuleSet) -> DataFrame:
     """``layer, n, layers``: the other layers that import each layer. One partial aggregation over the edges."""
-    rows = annotated(edges, rules).where("src.layer <> dst.layer")
+    return _dependents(annotated(edges, rules))
+
+
+def _dependents(rows: DataFrame) -> DataFrame:
+    rows = rows.where("src.layer <> dst.layer")
     pairs = rows.select(F.col("dst.layer").alias("layer"), F.col("src.layer").alias("by")).distinct()
     return pairs.groupBy("layer").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("by")).alias("layers"))
 
 
 def budget_violations(edges: DataFrame, rules: RuleSet) -> DataFrame:
     """Layers that more layers import than they allow."""
+    return _over_budget(dependents(edges, rules), rules)
+
+
+def _over_budget(found: DataFrame, rules: RuleSet) -> DataFrame:
     limits = [(x.name, x.max_dependents) for x in rules.layers if x.max_dependents is not None]
     limit = F.coalesce(*(F.when(F.col("layer") == n, F.lit(m)) for n, m in limits), F.lit(None).cast("int"))
-    rows = dependents(edges, rules).withColumn("most", limit).where("n > most")
+    rows = found.withColumn("most", limit).where("n > most")
     return violations(rows, "dependentBudget", source_file=F.lit(""), target_layer=F.col("layer"), max_allowed=F.col("most"), actual=F.col("n"), dependent_layers=F.col("layers"), message=F.concat(F.col("layer"), F.lit(" has too many dependent layers")))
 
 
@@ -129,13 +148,37 @@ def orphan_violations(files: DataFrame, edges: DataFrame, rules: RuleSet, framew
     return violations(rows, "orphan", source_file=F.col("path"), source_layer=placed(F.col("path"), rules).layer, message=F.concat(F.col("path"), F.lit(" is imported by nothing")))
 
 
-def check(files: DataFrame, edges: DataFrame, rules: RuleSet, orphans: bool = True, framework: str | None = None, with_type_only: bool = True, apply_exceptions: bool = False) -> DataFrame:
-    """All violations of a graph (cycles and depth: ``operators.graph``)."""
+def circular_violations(edges: DataFrame, severity: str | None = None) -> DataFrame:
+    """One violation for each cyclic component of the imports: a shortest cycle through its first file is the message, the number of its files ``actual``."""
+    ends = edges.select(F.col("source").alias("s"), F.col("target").alias("t")).distinct()
+    found = stored(strong_components(ends), "components")
+    size = found.groupBy("component").agg(F.count("*").alias("n"))
+    rows = cycle_paths(ends, found).join(size, "component")
+    return violations(rows, "circular", severity, source_file=F.col("component"), actual=F.col("n"), message=F.array_join("path", " -> "))
+
+
+def depth_violations(edges: DataFrame, most: int) -> DataFrame:
+    """Files whose longest chain of imports has more than ``most`` edges."""
+    rows = chain_lengths(edges.select(F.col("source").alias("s"), F.col("target").alias("t"))).where(F.col("depth") > most)
+    return violations(rows, "depth", source_file=F.col("node"), max_allowed=F.lit(most), actual=F.col("depth"), message=F.lit("chain of imports is too long"))
+
+
+def check(files: DataFrame, edges: DataFrame, rules: RuleSet, orphans: bool = True, framework: str | None = None, with_type_only: bool = True, apply_exceptions: bool = False, circular: bool = False) -> DataFrame:
+    """All violations of a graph, of ten types.
+
+    Edges are judged once and written; every rule reads the columns it needs of that
+    table. ``circular`` adds cycles and ``rules.max_depth`` chains, which take rounds of joins.
+    """
     if not with_type_only:
         edges = edges.where(~F.col("is_type_only"))
-    parts = [edge_violations(edges, rules, apply_exceptions), public_api_violations(edges, rules), budget_violations(edges, rules)]
+    rows = stored(judged(edges, rules), "judged")
+    parts = [_of_edges(rows, rules, apply_exceptions), _of_apis(rows, rules), _over_budget(_dependents(rows), rules)]
     if rules.max_imports is not None:
-        parts.append(count_violations(edges, rules.max_imports))
+        parts.append(count_violations(rows, rules.max_imports))
     if orphans:
-        parts.append(orphan_violations(files, edges, rules, framework))
+        parts.append(stored(orphan_violations(files, rows, rules, framework), "orphans"))
+    if circular:
+        parts.append(circular_violations(rows))
+    if rules.max_depth is not None:
+        parts.append(depth_violations(rows, rules.max_depth))
     return reduce(DataFrame.unionByName, parts)

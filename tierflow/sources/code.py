@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tierflow.functions.paths import is_declaration, is_source, is_test, matches, name_of
 
-#: Folder names that are never scanned (fixed values).
-SKIPPED = ("node_modules", "dist", "build", "coverage", "out", ".git", ".next", ".nuxt", ".output", ".turbo", ".vercel", ".cache")
+#: Names of folders and files that are never scanned (fixed values).
+SKIPPED = ("node_modules", ".next", ".nuxt", ".output", "dist", "build", "out", "coverage", "__tests__", "__mocks__", ".git", ".svn")
 _FROM = r"""\b(import|export)\s+(type\s+)?([\w*\s{},$]*?\s*from\s*)?["']([^"'\n]+)["']"""
 _CALL = r"""\b(import|require)\s*\(\s*["']([^"'\n]+)["']\s*\)"""
 
@@ -22,7 +22,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 def scanned(files: DataFrame, ignore: tuple[str, ...] = (), tests: bool = False, declarations: bool = False) -> DataFrame:
     """Rows of ``files`` (path) with ``status``: file, skipped or skipped_dir."""
     path = F.col("path")
-    in_skipped = path.rlike("(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/")
+    in_skipped = path.rlike("(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")(/|$)")
     out = matches(path, list(ignore))
     if not tests:
         out = out | is_test(path)
@@ -34,11 +34,22 @@ def scanned(files: DataFrame, ignore: tuple[str, ...] = (), tests: bool = False,
 def imports(files: DataFrame) -> DataFrame:
     """``source, specifier, kind, is_type_only, line`` of texts (path, content). Comments do not count; only literal specifiers do."""
     # a comment keeps its line breaks, so that line numbers stay
+    block = r"(?s)/\*.*?\*/"
+    kept = f"""aggregate(arrays_zip(split(text, r'{block}', -1), regexp_extract_all(text, r'{block}', 0)), '',
+               (out, x) -> concat(out, x.`0`, if(x.`1` is null, '', concat(' ', regexp_replace(x.`1`, '[^\n]', '')))))"""
     text = files.select(F.col("path").alias("source"), F.regexp_replace(F.coalesce("content", F.lit("")), r"(?m)(^|[^:\"'])//[^\n]*", "$1").alias("text"))
-    text = text.withColumn("text", F.regexp_replace("text", r"(?s)/\*.*?\*/", " "))
-    from_ = text.select("source", "text", F.explode(F.expr(f"regexp_extract_all(text, r'{_FROM.replace(chr(39), chr(92) + 'x27')}', 0)")).alias("hit"))
-    call = text.select("source", "text", F.explode(F.expr(f"regexp_extract_all(text, r'{_CALL.replace(chr(39), chr(92) + 'x27')}', 0)")).alias("hit"))
-    line = F.expr("length(substr(text, 1, instr(text, hit))) - length(replace(substr(text, 1, instr(text, hit)), '\\n', '')) + 1").cast("int")
+    text = text.withColumn("text", F.expr(kept))
+    def hits(pattern: str) -> DataFrame:
+        """``source, hit, line`` of every match; lines are counted over what lies before it, so repeats have their own."""
+        regex = f"r'{pattern.replace(chr(39), chr(92) + 'x27')}'"
+        breaks = lambda x: f"(length({x}) - length(replace({x}, '\\n', '')))"
+        found = f"""aggregate(arrays_zip(split(text, {regex}, -1), regexp_extract_all(text, {regex}, 0)), named_struct('line', 1, 'hits', cast(array() as array<struct<hit:string,line:int>>)),
+                    (done, x) -> named_struct('line', done.line + {breaks("x.`0`")} + coalesce({breaks("x.`1`")}, 0),
+                                              'hits', if(x.`1` is null, done.hits, array_append(done.hits, named_struct('hit', x.`1`, 'line', done.line + {breaks("x.`0`")})))), done -> done.hits)"""
+        return text.select("source", F.inline(F.expr(found)))
+
+    from_, call = hits(_FROM), hits(_CALL)
+    line = F.col("line")
     one = from_.select("source", F.regexp_extract("hit", r"""["']([^"']+)["']""", 1).alias("specifier"), F.when(F.col("hit").startswith("export"), "reexport").otherwise("static").alias("kind"), F.col("hit").rlike(r"^(import|export)\s+type\s").alias("is_type_only"), line.alias("line"))
     two = call.select("source", F.regexp_extract("hit", r"""["']([^"']+)["']""", 1).alias("specifier"), F.when(F.col("hit").startswith("require"), "require").otherwise("dynamic").alias("kind"), F.lit(False).alias("is_type_only"), line.alias("line"))
     return one.union(two)
