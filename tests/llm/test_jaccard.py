@@ -59,7 +59,7 @@ def made(seed, groups=15):
     return rows
 
 
-@pytest.mark.parametrize("seed,cell", [(1, 256), (2, 20)])
+@pytest.mark.parametrize("seed,cell", [(1, 4096), (2, 20)])
 def test_matches_brute_force(spark, seed, cell):
     rows = made(seed)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string").repartition(5)

@@ -39,7 +39,7 @@ WORDS, PERCENT = 5, 80
 #: Counters of the sketch of shingle frequencies. Fixed: 4 MB are broadcast whatever the corpus.
 COUNTERS = 1 << 20
 #: Members and shingles of a region that one task joins at most; larger ones are divided by Spark.
-CELL, WEIGHT = 256, 1 << 21
+CELL, WEIGHT = 4096, 1 << 21
 #: Pivots of a division at first, and members of a cell that are compared with each other.
 PIVOTS, LEAF = 16, 16
 #: Bands to the width of the radius, when regions are cut at gaps.
