@@ -82,20 +82,22 @@ def successor_depth(graph: DataFrame) -> DataFrame:
 def strong_components(graph: DataFrame) -> DataFrame:
     """``node, component`` of all nodes on cycles of any graph (s, t).
 
-    Nodes without a way in or out are trimmed; then the smallest node that reaches
-    each node colours it, and what reaches the smallest node backwards within its
-    colour is its component. Repeated on the rest until no edge is left.
+    Nodes without a way in or out are trimmed; then the node of the smallest hash that
+    reaches each node colours it, and what reaches that node backwards within its
+    colour is its component. Repeated on the rest until no edge is left; hashes spread
+    the colours, so the rounds are few.
     """
     left, found = stored(graph.select("s", "t").distinct(), "graph"), None
     while True:
-        while True:
-            n = left.count()
+        n = left.count()
+        while n:
             left = stored(left.join(left.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(left.select(F.col("s").alias("t")).distinct(), "t", "left_semi"), "graph")
-            if left.count() == n:
+            before, n = n, left.count()
+            if n == before:
                 break
         if not n:
             break
-        colour = stored(left.select(F.col("s").alias("v")).distinct().select("v", F.col("v").alias("c")), "colour")
+        colour = stored(left.select(F.col("s").alias("v")).union(left.select("t")).distinct().select("v", F.struct(F.xxhash64("v").alias("p"), "v").alias("c")), "colour")
         while True:
             pushed = left.join(colour.select(F.col("v").alias("s"), "c"), "s").select(F.col("t").alias("v"), "c")
             new = stored(colour.union(pushed).groupBy("v").agg(F.min("c").alias("c")), "colour")
@@ -104,15 +106,16 @@ def strong_components(graph: DataFrame) -> DataFrame:
             colour = new
         inner = left.join(colour.select(F.col("v").alias("s"), "c"), "s").join(colour.select(F.col("v").alias("t"), F.col("c").alias("c2")), "t").where("c = c2").select("s", "t", "c")
         inner = stored(inner, "inner")
-        reach = stored(colour.where("v = c"), "reach")
+        reach = stored(colour.where("v = c.v"), "reach")
         while True:
             back = inner.join(reach.select(F.col("v").alias("t"), "c"), ["t", "c"]).select(F.col("s").alias("v"), "c")
             new = stored(reach.union(back).distinct(), "reach")
             if new.count() == reach.count():
                 break
             reach = new
-        cyclic = reach.groupBy("c").count().where("count > 1").select("c").union(left.where("s = t").select(F.col("s").alias("c"))).distinct()
-        own = reach.join(cyclic, "c", "left_semi").select(F.col("v").alias("node"), F.col("c").alias("component"))
+        cyclic = reach.groupBy("c").count().where("count > 1").select("c").union(left.where("s = t").select(F.struct(F.xxhash64("s").alias("p"), F.col("s").alias("v")).alias("c"))).distinct()
+        own = reach.join(cyclic, "c", "left_semi")
+        own = own.join(own.groupBy("c").agg(F.min("v").alias("component")), "c").select(F.col("v").alias("node"), "component")
         found = own if found is None else found.union(own)
         left = stored(left.join(reach.select(F.col("v").alias("s")), "s", "left_anti").join(reach.select(F.col("v").alias("t")), "t", "left_anti"), "graph")
     return found if found is not None else graph.select(F.col("s").alias("node"), F.col("s").alias("component")).limit(0)
@@ -151,15 +154,17 @@ def cycle_paths(graph: DataFrame, components: DataFrame) -> DataFrame:
         seen = seen.union(front.select("component", "at"))
 
 
-def chain_lengths(graph: DataFrame) -> DataFrame:
+def chain_lengths(graph: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """``node, depth``: edges of the longest chain from each node of any graph (s, t); on a cyclic component a chain goes round once.
 
+    ``components`` (node, component) are its cyclic ones if they are known already.
+
     Components become nodes of a graph without cycles, which is worked off from its
     ends; a round settles all nodes whose successors are settled. Longest simple
     paths inside a component are not searched; it counts as many edges as it has nodes.
     """
     every = graph.select("s", "t").distinct()
-    found = stored(strong_components(every), "components")
+    found = components if components is not None else stored(strong_components(every), "components")
     weight = found.groupBy("component").agg(F.count("*").alias("w"))
     nodes = every.select(F.col("s").alias("node")).union(every.select("t")).distinct().join(found, "node", "left")
     nodes = stored(nodes.select("node", F.coalesce("component", "node").alias("c")), "nodes")

@@ -148,18 +148,22 @@ def orphan_violations(files: DataFrame, edges: DataFrame, rules: RuleSet, framew
     return violations(rows, "orphan", source_file=F.col("path"), source_layer=placed(F.col("path"), rules).layer, message=F.concat(F.col("path"), F.lit(" is imported by nothing")))
 
 
-def circular_violations(edges: DataFrame, severity: str | None = None) -> DataFrame:
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("source").alias("s"), F.col("target").alias("t")).distinct()
+
+
+def circular_violations(edges: DataFrame, severity: str | None = None, components: DataFrame | None = None) -> DataFrame:
     """One violation for each cyclic component of the imports: a shortest cycle through its first file is the message, the number of its files ``actual``."""
-    ends = edges.select(F.col("source").alias("s"), F.col("target").alias("t")).distinct()
-    found = stored(strong_components(ends), "components")
+    ends = _ends(edges)
+    found = components if components is not None else stored(strong_components(ends), "components")
     size = found.groupBy("component").agg(F.count("*").alias("n"))
     rows = cycle_paths(ends, found).join(size, "component")
     return violations(rows, "circular", severity, source_file=F.col("component"), actual=F.col("n"), message=F.array_join("path", " -> "))
 
 
-def depth_violations(edges: DataFrame, most: int) -> DataFrame:
+def depth_violations(edges: DataFrame, most: int, components: DataFrame | None = None) -> DataFrame:
     """Files whose longest chain of imports has more than ``most`` edges."""
-    rows = chain_lengths(edges.select(F.col("source").alias("s"), F.col("target").alias("t"))).where(F.col("depth") > most)
+    rows = chain_lengths(_ends(edges), components).where(F.col("depth") > most)
     return violations(rows, "depth", source_file=F.col("node"), max_allowed=F.lit(most), actual=F.col("depth"), message=F.lit("chain of imports is too long"))
 
 
@@ -177,8 +181,10 @@ def check(files: DataFrame, edges: DataFrame, rules: RuleSet, orphans: bool = Tr
         parts.append(count_violations(rows, rules.max_imports))
     if orphans:
         parts.append(stored(orphan_violations(files, rows, rules, framework), "orphans"))
-    if circular:
-        parts.append(circular_violations(rows))
-    if rules.max_depth is not None:
-        parts.append(depth_violations(rows, rules.max_depth))
+    if circular or rules.max_depth is not None:
+        cyclic = stored(strong_components(_ends(rows)), "components")
+        if circular:
+            parts.append(circular_violations(rows, components=cyclic))
+        if rules.max_depth is not None:
+            parts.append(depth_violations(rows, rules.max_depth, cyclic))
     return reduce(DataFrame.unionByName, parts)

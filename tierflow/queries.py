@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.functions import paths
 from tierflow.operators import graph, incremental, mapping, report, resolve, rules
-from tierflow.plans.projection import RULES, edges, files, successor_graph, table
+from tierflow.plans.projection import RULES, edges, files, module_edges, module_files, successor_graph, table
 from tierflow.plans.ruleset import RuleSet
 from tierflow.sources import code
 
@@ -321,10 +324,12 @@ def import_depth(spark, sf_dir):
     return graph.successor_depth(successor_graph(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_SUCCESSOR}, r(node, hops) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION SELECT g.t, hops + 1 FROM r JOIN g ON r.node = g.s WHERE hops < 6) SELECT node, min(hops) AS hops FROM r GROUP BY node")
+@query(f"WITH RECURSIVE {_SUCCESSOR}, r(node) AS (SELECT s FROM g WHERE s NOT IN (SELECT t FROM g) UNION SELECT g.t FROM r JOIN g ON r.node = g.s) SELECT node FROM r")
 def reachability(spark, sf_dir):
-    start = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
-    return graph.reachable(successor_graph(spark, sf_dir), start, 6)
+    """All nodes that those without predecessors reach, themselves included."""
+    ends = successor_graph(spark, sf_dir)
+    start = ends.select(F.col("s").alias("node")).join(ends.select(F.col("t").alias("node")).distinct(), "node", "left_anti")
+    return graph.reachable(ends, start).select("node")
 
 
 @query(f"""{_BASE}, x AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'reexport'), o(barrel, pos, n) AS (SELECT source, target, 1 FROM x UNION SELECT o.barrel, x.target, n + 1 FROM o JOIN x ON o.pos = x.source WHERE n < 10)
@@ -385,6 +390,101 @@ def glob_exceptions(spark, sf_dir):
     return rules.edge_violations(edges(spark, sf_dir), RULES, apply_exceptions=True).groupBy("type").agg(F.count("*").alias("n"))
 
 
+# A graph of at most 48 modules: general graphs against recursive SQL.
+_M_PATH = "CASE WHEN {k} < 12 THEN 'src/handlers/auto/c' WHEN {k} < 24 THEN 'src/services/o' WHEN {k} < 36 AND {k} % 2 = 0 THEN 'src/repository/common/p' WHEN {k} < 36 THEN 'src/repository/features/b' || ({k} % 4) || '/p' WHEN {k} % 7 = 0 THEN 'src/misc/s' ELSE 'src/shared/s' END || {k} || '.ts'"
+_M_FILES = f"files AS (SELECT {_M_PATH.format(k='range')} AS path FROM range(48) UNION ALL VALUES ('src/index.ts'), ('src/app.tsx'), ('src/app/x.ts'))"
+_M_EDGES = f"""ends AS (SELECT p_partkey % 48 AS k, p_partkey % 48 + 4 + p_size % 6 AS t FROM part WHERE p_partkey % 48 + 4 + p_size % 6 < 48 UNION SELECT p_partkey % 48, p_partkey % 48 - p_partkey % 48 % 12 FROM part WHERE p_size % 10 = 7),
+edges AS (SELECT {_M_PATH.format(k='k')} AS source, {_M_PATH.format(k='t')} AS target, 'module' AS specifier, false AS is_type_only, 'static' AS kind, 1 AS line FROM ends)"""
+_M_REACH = "reach(a, b) AS (SELECT source, target FROM edges UNION SELECT r.a, e.target FROM reach r JOIN edges e ON r.b = e.source)"
+_M_CYCLES = "cyc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+_M_DEPTH = """every AS (SELECT source AS node FROM edges UNION SELECT target FROM edges),
+comp AS (SELECT node, coalesce(component, node) AS c FROM every LEFT JOIN cyc USING (node)),
+weight AS (SELECT c, CAST(count(*) FILTER (node IN (SELECT node FROM cyc)) AS BIGINT) AS w FROM comp GROUP BY c),
+dag AS (SELECT DISTINCT a.c AS a, b.c AS b FROM edges JOIN comp a ON source = a.node JOIN comp b ON target = b.node WHERE a.c <> b.c),
+d(c, d) AS (SELECT c, w FROM weight UNION SELECT dag.a, d.d + 1 + w FROM d JOIN dag ON d.c = dag.b JOIN weight ON dag.a = weight.c),
+depth AS (SELECT node, max(d) AS depth FROM comp JOIN d USING (c) GROUP BY node)"""
+_MODULES = f"WITH RECURSIVE {_M_FILES}, {_M_EDGES}, {_M_REACH}, {_M_CYCLES}"
+_M_LOOPS = "loops(component, pos, hops) AS (SELECT c.component, e.target, 1 FROM cyc c JOIN edges e ON c.node = c.component AND e.source = c.node UNION SELECT l.component, e.target, hops + 1 FROM loops l JOIN edges e ON l.pos = e.source JOIN cyc x ON x.node = e.target AND x.component = l.component WHERE hops < 40 AND l.pos <> l.component)"
+#: Rules of the module graph: those of the whole graph with lower limits and with depth.
+MODULE_RULES = dataclasses.replace(RULES, max_imports=4, max_depth=8)
+_M_ALL = _ALL.replace("count(*) > 20", "count(*) > 4").replace("WHERE path NOT IN (SELECT target FROM edges))", """WHERE path NOT IN (SELECT target FROM edges) AND NOT regexp_matches(path, '^(src/)?(index|main)[.][jt]sx?$|^src/app[.][jt]sx?$')
+  UNION ALL SELECT 'circular', 'error', component, NULL, NULL, NULL FROM cyc GROUP BY component
+  UNION ALL SELECT 'depth', 'warn', node, NULL, NULL, NULL FROM depth WHERE depth > 8)""")
+
+
+def _module_graph(spark, sf_dir):
+    return module_edges(spark, sf_dir).select(F.col("source").alias("s"), F.col("target").alias("t"))
+
+
+@query(f"{_MODULES} SELECT node, component FROM cyc")
+def strong_components(spark, sf_dir):
+    """Cyclic components of a general graph."""
+    return graph.strong_components(_module_graph(spark, sf_dir))
+
+
+@query(f"{_MODULES}, {_M_DEPTH} SELECT node, depth FROM depth")
+def chain_lengths(spark, sf_dir):
+    """Longest chains of a general graph."""
+    return graph.chain_lengths(_module_graph(spark, sf_dir))
+
+
+@query(f"{_MODULES}, {_M_LOOPS} SELECT component, min(hops) AS length, true AS is_cycle FROM loops WHERE pos = component GROUP BY component")
+def cycle_paths(spark, sf_dir):
+    """A shortest cycle of each component, every step of which is an edge."""
+    ends = _module_graph(spark, sf_dir)
+    found = graph.cycle_paths(ends, graph.strong_components(ends))
+    steps = found.select("component", F.size("path").alias("n"), F.inline(F.expr("transform(sequence(1, size(path) - 1), i -> named_struct('s', path[i - 1], 't', path[i]))")))
+    known = steps.join(ends.distinct().withColumn("edge", F.lit(True)), ["s", "t"], "left")
+    return known.groupBy("component").agg((F.max("n") - 1).alias("length"), F.bool_and(F.coalesce("edge", F.lit(False))).alias("is_cycle"))
+
+
+@query(f"{_MODULES} SELECT DISTINCT source AS node FROM edges WHERE source = target")
+def module_self_loops(spark, sf_dir):
+    """Files that import themselves."""
+    return graph.self_loops(_module_graph(spark, sf_dir))
+
+
+@query(f"{_MODULES} SELECT count(*) > 0 AS cyclic FROM cyc")
+def module_has_cycle(spark, sf_dir):
+    """Whether a general graph has any cycle."""
+    return graph.strong_components(_module_graph(spark, sf_dir)).agg((F.count("*") > 0).alias("cyclic"))
+
+
+@query(f"{_MODULES} SELECT target, kind, line FROM edges WHERE source = 'src/handlers/auto/c2.ts' AND target IN ('src/handlers/auto/c6.ts', 'src/handlers/auto/c7.ts', 'src/handlers/auto/c8.ts', 'src/handlers/auto/c9.ts')")
+def module_edges_between(spark, sf_dir):
+    """Edges from one file to each of four others."""
+    every = module_edges(spark, sf_dir)
+    found = [graph.edges_between(every, "src/handlers/auto/c2.ts", f"src/handlers/auto/c{k}.ts") for k in range(6, 10)]
+    return functools.reduce(DataFrame.union, found).select("target", "kind", "line")
+
+
+@query(f"WITH RECURSIVE {_M_FILES}, {_M_EDGES}, r(node, hops) AS (SELECT path, 0 FROM files WHERE path NOT IN (SELECT target FROM edges) UNION SELECT e.target, hops + 1 FROM r JOIN edges e ON r.node = e.source WHERE hops < 48) SELECT node, min(hops) AS hops FROM r GROUP BY node")
+def reachable_from_roots(spark, sf_dir):
+    """Every file that those without importers reach, with the fewest steps."""
+    ends = _module_graph(spark, sf_dir)
+    roots = module_files(spark).join(ends.select(F.col("t").alias("path")).distinct(), "path", "left_anti").select(F.col("path").alias("node"))
+    return graph.reachable(ends, roots)
+
+
+@query(f"{_MODULES}, {_M_DEPTH}, {_PLACE.strip()}, {_JUDGED.strip()}, {_M_ALL.strip()} SELECT type, severity, count(*) AS n FROM violations GROUP BY 1, 2")
+def ten_types_of_violations(spark, sf_dir):
+    """All rules at once, cycles and depth among them."""
+    found = rules.check(module_files(spark), module_edges(spark, sf_dir), MODULE_RULES, circular=True)
+    return found.groupBy("type", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"{_MODULES}, {_M_DEPTH}, {_PLACE.strip()}, {_JUDGED.strip()}, {_M_ALL.strip()} SELECT source_file FROM violations WHERE type = 'orphan'")
+def orphans_but_entry_points(spark, sf_dir):
+    """Files that nothing imports, some of which are entry points."""
+    return rules.orphan_violations(module_files(spark), module_edges(spark, sf_dir), MODULE_RULES).select("source_file")
+
+
+@query(f"{_MODULES}, {_M_DEPTH}, {_PLACE.strip()}, {_JUDGED.strip()}, {_M_ALL.strip()} SELECT source_file FROM violations WHERE type = 'orphan' AND NOT regexp_matches(source_file, '(^|/)(routes|controllers|middlewares?|handlers)(/|$)|^(src/)?(index|main|server|app)[.](ts|js|mjs|cjs)$')")
+def orphans_of_a_framework(spark, sf_dir):
+    """Orphans without what a framework uses by itself."""
+    return rules.orphan_violations(module_files(spark), module_edges(spark, sf_dir), MODULE_RULES, framework="node-backend").select("source_file")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports against the declared flow, by pair of layers."""
     return flow_violations(spark, sf_dir).groupBy("src_layer", "dst_layer").agg(F.count("*").alias("n"))
