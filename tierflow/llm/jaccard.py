@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,42 +37,69 @@ from tierflow.shared import dropped, stored
 
 #: Words of a shingle; documents link when 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 80
-#: Counters of the sketch of shingle frequencies. Fixed: 4 MB are broadcast whatever the corpus.
-COUNTERS = 1 << 20
+#: Counters of the sketch of shingle frequencies, a byte each. Fixed: 32 MB are broadcast whatever the corpus.
+COUNTERS = 1 << 25
 #: Members and shingles of a region that one task joins at most; larger ones are divided by Spark.
 CELL, WEIGHT = 4096, 1 << 21
 #: Pivots of a division at first, and members of a cell that are compared with each other.
 PIVOTS, LEAF = 16, 16
 #: Bands to the width of the radius, when regions are cut at gaps.
 BANDS = 4
-_CHUNKS = 64
+#: Parts in which the sketch is put together, and shingles that a task gathers before it sends them on.
+_CHUNKS, _GATHERED = 64, 1 << 21
+
+
+def _packed(places: np.ndarray) -> bytes:
+    """Sorted places as gaps, byte by byte, compressed: little more than a byte for each."""
+    gaps = np.diff(places, prepend=0).astype(np.uint32)
+    return zstandard.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(flat.T).view(np.uint32).reshape(-1).cumsum()
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """How many documents have each counter's shingles. Only decides which shingles count as rare, never which documents link."""
+    """How many documents have each counter's shingles, in eighths of a power of two. Only decides which shingles count as rare, never which documents link.
+
+    With few counters, shingles of a passage that some dozen documents share could
+    not be told from unique ones, would be in the prefixes and draw regions of
+    documents that have nothing else in common.
+    """
     size = COUNTERS // _CHUNKS
 
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        places = np.sort(np.concatenate(held))
+        cuts = np.searchsorted(places, np.arange(_CHUNKS + 1) * size)
+        chunks = [_packed(places[i:j] - k * size) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]
+        return pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "places"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        held, n = [], 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                np.add.at(counts, (shingles(words_of(text), WORDS) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        kind = np.uint8 if counts.max() < 256 else np.uint32
-        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([c.astype(kind).tobytes() for c in counts.reshape(_CHUNKS, size)], pa.binary())], names=["chunk", "counts"])
+                held.append((_set_of(text) & np.uint64(COUNTERS - 1)).astype(np.int64))
+                n += len(held[-1])
+            if n >= _GATHERED:
+                yield sent(held)
+                held, n = [], 0
+        if n:
+            yield sent(held)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for value in batch.column(1):
-                data = value.as_buffer()
-                total += np.frombuffer(data, np.uint8 if len(data) == size else np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "counts"])
+                total += np.bincount(_unpacked(value.as_py()), minlength=size)
+        levels = np.minimum(np.rint(8 * np.log2(total + 1)), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["chunk", "levels"])
 
-    # one row of fixed size for each task and chunk; a chunk's sum has a fixed size too
-    rows = docs.select(text_col).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros((_CHUNKS, size), np.uint32)
+    # a chunk's sum has a fixed size
+    rows = docs.select(text_col).mapInArrow(count, "chunk int, places binary").groupBy("chunk").applyInArrow(add, "chunk int, levels binary").collect()
+    out = np.zeros((_CHUNKS, size), np.uint8)
     for row in rows:
-        out[row.chunk] = np.frombuffer(row.counts, np.uint32)
+        out[row.chunk] = np.frombuffer(row.levels, np.uint8)
     return out.reshape(-1)
 
 
@@ -89,7 +117,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in slices(batches):
             sizes, sets, prefixes = [], [], []
             for text in batch.column(1).to_pylist():
-                found = shingles(words_of(text), WORDS)
+                found = _set_of(text)
                 sizes.append(len(found))
                 sets.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 if not len(found) or sets[-1] in seen:
@@ -106,46 +134,58 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, f"id {picked.schema[id_col].dataType.simpleString()}, n_shingles long, set_id binary, prefix array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, set`` of some documents (id, set_id), the set as sorted 64-bit values; a repeated row gives a repeated row. A filter of fixed size drops most others before the join."""
+def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text`` of some documents (id, set_id); a repeated row gives a repeated row. A filter of fixed size drops most others before the join.
+
+    Texts are shipped and not their sets, which are larger and hardly compress.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(words_of(text), WORDS).tobytes() for text in batch.column(1).to_pylist()]
-            keep = pa.array([bool(s) and xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(2).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"]).filter(keep)
+            sets = [_set_of(text) for text in batch.column(1).to_pylist()]
+            keep = pa.array([len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, batch.column(2).to_pylist())], pa.bool_())
+            yield batch.select([0, 1]).filter(keep)
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     wanted = possible(picked, "id", filter_of(ids, F.xxhash64("id"))).join(ids, "id").select("id", "text", "set_id")
-    return wanted.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, set binary")
+    return wanted.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, text string")
+
+
+def _set_of(text: str | None) -> np.ndarray:
+    """The sorted set of a text's shingles."""
+    return shingles(words_of(text), WORDS)
 
 
 def _measured(docs: DataFrame, pairs: DataFrame, own: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The written distances of pairs (a, b). Only the sets of their documents, which ``own`` (id, set_id) names, are made again, and deleted afterwards."""
+    """The written distances of pairs (a, b). Only the texts of their documents, which ``own`` (id, set_id) names, are written again, and deleted afterwards."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(_sets_of(docs, stored(ids.join(own, "id"), "ids"), id_col, text_col), "sets")
-    out = stored(_distances(pairs, sets), "distances")
-    dropped(sets)
+    texts = stored(_texts_of(docs, stored(ids.join(own, "id"), "ids"), id_col, text_col), "texts")
+    out = stored(_distances(pairs, texts), "distances")
+    dropped(texts)
     return out
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, common, total`` of each pair: sizes of intersection and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, None
         for batch in slices(batches):
             common, total = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                # rows of a pivot mostly follow each other
+                if other != last:
+                    last, y = other, _set_of(other)
+                x = _set_of(text)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 common.append(both)
                 total.append(len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}, common long, total long").distinct()
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, common long, total long").distinct()
 
 
 def _linked(percent: int) -> Column:
@@ -218,20 +258,20 @@ def _pairs(regions: DataFrame, percent: int) -> DataFrame:
 def _within(regions: DataFrame, docs: DataFrame, own: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Links (a, b) between the components of each of these regions, which are small enough for a task."""
     kind = regions.schema["id"].dataType.simpleString()
-    sets = stored(_sets_of(docs, stored(regions.select("id").distinct().join(own, "id"), "ids"), id_col, text_col), "sets")
+    texts = stored(_texts_of(docs, stored(regions.select("id").distinct().join(own, "id"), "ids"), id_col, text_col), "texts")
 
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names, held = [], [], []
         for batch in batches:
             ids += batch.column(1).to_pylist()
             names += batch.column(2).to_pylist()
-            held += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
+            held += [_set_of(x.as_py()) for x in batch.column(3)]
         links = list(Cells(held, names, percent).links())
         yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in links], batch.schema.field(1).type), pa.array([ids[y] for _, y in links], batch.schema.field(1).type)], names=["a", "b"])
 
-    rows = regions.select("h", "id", "c").join(sets, "id").select("h", "id", "c", "set")
+    rows = regions.select("h", "id", "c").join(texts, "id").select("h", "id", "c", "text")
     links = stored(rows.groupBy("h").applyInArrow(join, f"a {kind}, b {kind}").distinct(), "links")
-    dropped(sets)
+    dropped(texts)
     return links
 
 
