@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import bpe, decontaminate, jaccard, multiindex, ngrams, secrets, sharding, suffixes, toxicity, urls
+from tierflow.llm import bpe, decontaminate, jaccard, lines, multiindex, ngrams, secrets, sharding, suffixes, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -76,6 +76,12 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.cut_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the lines that 10 documents or more have in common."""
+    kept = lines.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), 10, 1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_nearest_codes": op2_nearest_codes,
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_repeated_bytes": op10_repeated_bytes,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 _RULE_ROWS = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for rule, verdict in URL_RULES)
@@ -107,4 +114,12 @@ ORACLE_SQL: dict[str, str] = {
         best AS (SELECT n, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM parts JOIN rules
                  ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY n)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (n)""",
+    "op11_line_dedup": r"""
+        WITH texts AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        each AS (SELECT n, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM texts),
+        keyed AS (SELECT n, line, pos, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each),
+        common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT n) >= 10),
+        marked AS (SELECT k.n, k.line, k.pos, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key),
+        cut AS (SELECT n, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM marked GROUP BY n)
+        SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM texts JOIN cut USING (n)""",
 }
