@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import bpe, decontaminate, jaccard, lines, multiindex, ngrams, secrets, sharding, suffixes, toxicity, urls
+from tierflow.llm import bpe, decontaminate, jaccard, lines, multiindex, ngrams, resampling, secrets, sharding, suffixes, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -82,6 +82,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of every document for the benchmark's distribution, and the ranks of the tenth that is drawn."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, 20, 10_000, 1, 2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_nearest_codes": op2_nearest_codes,
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_repeated_bytes": op10_repeated_bytes,
     "op11_line_dedup": op11_line_dedup,
+    "op13_resampling": op13_resampling,
 }
 
 _RULE_ROWS = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for rule, verdict in URL_RULES)
@@ -122,4 +129,19 @@ ORACLE_SQL: dict[str, str] = {
         marked AS (SELECT k.n, k.line, k.pos, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key),
         cut AS (SELECT n, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM marked GROUP BY n)
         SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM texts JOIN cut USING (n)""",
+    "op13_resampling": r"""
+        WITH crcs AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+        texts AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        target AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+        each AS (SELECT n, word, count(*) AS k FROM (SELECT n, unnest(words) AS word FROM texts) GROUP BY ALL),
+        wide AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM each UNION SELECT word FROM target)),
+        bytes AS (SELECT word, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM wide),
+        hashed AS (SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crcs),
+        s AS (SELECT bucket, sum(k) AS s FROM each JOIN hashed USING (word) GROUP BY 1),
+        t AS (SELECT bucket, count(*) AS t FROM target JOIN hashed USING (word) GROUP BY 1),
+        gains AS (SELECT bucket, floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)))) AS gain FROM s FULL JOIN t USING (bucket)),
+        weights AS (SELECT n, CAST(sum(k * gain) AS BIGINT) AS weight FROM each JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY 1),
+        scores AS (SELECT n, doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM texts LEFT JOIN weights USING (n)),
+        ranks AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS many FROM scores WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= many * 10 // 100 THEN r END AS rank FROM scores LEFT JOIN ranks USING (n)""",
 }
