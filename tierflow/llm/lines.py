@@ -149,6 +149,8 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
         n = np.diff(np.concatenate([first, [len(every)]]))
         return pa.RecordBatch.from_arrays([pa.array(every[first, 0].view(np.int64)), pa.array(every[first, 1].view(np.int64)), pa.array(n)], names=["high", "low", "n"])
 
+    most = PENDING
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size = [], 0
         for batch in slices(batches):
@@ -157,7 +159,7 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
                 keys += {k for k in map(key_of, lines_of(text)) if long_enough(k, min_chars)}
             pending.append(digests(keys))
             size += len(keys)
-            if size >= PENDING:
+            if size >= most:
                 yield added(pending)
                 pending, size = [], 0
         if pending:

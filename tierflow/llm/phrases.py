@@ -141,6 +141,7 @@ def count_runs(texts: DataFrame, n: int, bits: int, known: tuple[np.ndarray, np.
     """
     shift = np.uint64(64 - bits)
     shared = texts.sparkSession.sparkContext.broadcast(known)
+    most_words, most_pending = WORDS, PENDING
     bucket = lambda hashes, size: (run_hashes(hashes, size) >> shift).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +176,11 @@ def count_runs(texts: DataFrame, n: int, bits: int, known: tuple[np.ndarray, np.
             if longer:
                 both = candidate[:-1] & candidate[1:]
                 _added(counts, bucket(hashes, n + 1)[both])
-            if size >= PENDING or len(own.words) >= WORDS:
+            if size >= most_pending or len(own.words) >= most_words:
                 if pending:
                     yield from flush()
                 pending, size = [], 0
-                if len(own.words) >= WORDS:
+                if len(own.words) >= most_words:
                     own = Vocabulary()
         if pending:
             yield from flush()

@@ -8,14 +8,15 @@ common terms can add in each block. Its most promising blocks are completed with
 tiles and give a floor, and only blocks whose bound reaches the floor are completed
 too, so the neighbours are exact.
 
+Labelled documents with equal bags of terms are one example that has all their labels.
 Neighbours vote by their distance, votes are calibrated on the examples themselves,
-and the neighbours are returned as evidence. An example with the very terms of the
-query stands among them but has no vote: labels have errors, and a text's own label
-is not to be its score.
+each document without its own label, and the neighbours are returned as evidence.
 
-Weights are TF-IDF, raised for terms that go with the label: by ``1 + BOOST * phi ** 2``, with
+Weights are TF-IDF, raised for terms that go with the label: by ``1 + boost * phi ** 2``, with
 phi the association of term and label over the examples. Every term keeps at least
 its TF-IDF weight. Without the raise the few words that matter drown in the others.
+The raise is one of ``BOOSTS`` (0 is plain TF-IDF): the one that orders best, in both halves of the
+examples, the labels of one half by neighbours and associations of the other half.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,11 @@ from tierflow.llm.batches import bounded, slices
 from tierflow.shared import stored
 
 #: Labelled examples of each class at most; those with the smallest hash of their id.
-EXAMPLES = 4000
+EXAMPLES = 3000
 #: Neighbours that vote, and what is added to a neighbour's squared distance before its vote is divided by it.
 NEIGHBOURS, NEAR = 15, 0.1
-#: A larger cosine is that of the text itself.
-SAME = 1 - 1e-9
-#: Raise of the weight of a term that goes with the label entirely.
-BOOST = 200.0
+#: Raises of the weight of a term that goes with the label entirely, from which the examples choose.
+BOOSTS = (0.0, 20.0, 200.0)
 #: Examples of a block; a term is common in more than one example of ``COMMON``, and so are ``TILE`` terms at most.
 BLOCK, COMMON, TILE = 64, 32, 1024
 #: Queries of a batch.
@@ -71,17 +71,18 @@ def association(ones: np.ndarray, zeros: np.ndarray, n_ones: int, n_zeros: int)
         return np.zeros(len(ones))
     both, n = ones + zeros, n_ones + n_zeros
     apart = np.maximum(0.0, np.abs(ones * float(n_zeros) - zeros * float(n_ones)) - n / 2)
-    return apart * apart / (both * np.maximum(n - both, 1) * float(n_ones) * n_zeros)
+    return apart * apart / (np.maximum(both, 1) * np.maximum(n - both, 1) * float(n_ones) * n_zeros)
 
 
 class Index:
     """Block-max inverted index of the examples.
 
     ``terms`` are numbered by their place, ``number`` and ``count`` list the terms of
-    all examples, one example after the other with ``sizes`` terms each.
+    all examples, one example after the other with ``sizes`` terms each; ``ones`` and
+    ``zeros`` are how many labels of each kind an example has.
     """
 
-    def __init__(self, terms: list[bytes], weight: np.ndarray, number: np.ndarray, count: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: pa.Array, class_weights: tuple[float, float]):
+    def __init__(self, terms: list[bytes], weight: np.ndarray, number: np.ndarray, count: np.ndarray, sizes: np.ndarray, ones: np.ndarray, zeros: np.ndarray, ids: pa.Array, class_weights: tuple[float, float]):
         self.at, self.weight = {t: k for k, t in enumerate(terms)}, weight
         n = len(sizes)
         of = np.repeat(np.arange(n), sizes)
@@ -91,11 +92,11 @@ class Index:
         by_count = np.lexsort((number, -count, of))
         some = np.minimum(np.cumsum(sizes) - sizes, max(0, len(number) - 1))
         commonest = number[by_count[some]] if len(number) else np.zeros(n)
-        order = np.lexsort((np.arange(n), sizes, commonest, labels))
+        order = np.lexsort((np.arange(n), sizes, commonest, ones > zeros))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        self.ids, self.labels = ids.take(pa.array(order)), labels[order].astype(np.float64)
-        self.votes = np.where(self.labels > 0, class_weights[1], class_weights[0])
+        self.ids, self.labels = ids.take(pa.array(order)), (ones > zeros)[order].astype(np.int32)
+        self.ones, self.zeros, self.class_weights = ones[order], zeros[order], class_weights
         #: Rank of each place by id, for ties.
         self.rank = order
         # postings by term and place
@@ -171,25 +172,29 @@ class Index:
             out.append((at, row[at]))
         return out
 
-    def vote(self, at: np.ndarray, similarity: np.ndarray) -> float:
+    def vote(self, at: np.ndarray, similarity: np.ndarray, own: tuple[int, int] | None = None) -> float:
         """Share of the label 1 in the votes, each divided by the squared distance of the unit vectors and weighed by class; NaN without voters.
 
-        An example with the very terms of the query has no vote, so that a text's own
-        label does not come back as its score.
+        ``own`` (place, label) is a label that does not count: that of the document itself when votes are calibrated.
         """
-        others = similarity < SAME
-        at, similarity = at[others], similarity[others]
-        weights = self.votes[at] / (NEAR + 2 - 2 * similarity)
-        return float((weights * self.labels[at]).sum() / weights.sum()) if len(at) else float("nan")
+        ones, zeros = self.ones[at] * self.class_weights[1], self.zeros[at] * self.class_weights[0]
+        if own:
+            less = (ones, zeros)[own[1] == 0]
+            less[at == own[0]] -= self.class_weights[own[1]]
+        near = 1 / (NEAR + 2 - 2 * similarity)
+        total = (near * (ones + zeros)).sum()
+        return float((near * ones).sum() / total) if total > 0 else float("nan")
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Fit the curve from votes (NaN: no neighbour) to probabilities: rates of label 1 made monotone by pooling neighbours."""
         lone = np.isnan(votes)
         alone = [1.0 + float(weights[lone & (labels == k)].sum()) for k in (0, 1)]
         self.alone = alone[1] / sum(alone)
+        values, at = np.unique(votes[~lone], return_inverse=True)
+        weight, one = (np.bincount(at, w[~lone], len(values)) for w in (weights, weights * labels))
         pooled: list[list[float]] = []  # sum of vote * weight, weight, weight of label 1
-        for vote, weight, one in sorted(zip(votes[~lone].tolist(), weights[~lone].tolist(), (weights * labels)[~lone].tolist())):
-            pooled.append([vote * weight, weight, one])
+        for row in zip((values * weight).tolist(), weight.tolist(), one.tolist()):
+            pooled.append(list(row))
             while len(pooled) > 1 and pooled[-2][2] / pooled[-2][1] >= pooled[-1][2] / pooled[-1][1]:
                 last = pooled.pop()
                 pooled[-1] = [a + b for a, b in zip(pooled[-1], last)]
@@ -204,11 +209,11 @@ class Index:
                 yield self.alone if np.isnan(vote) else float(np.interp(vote, *self.curve)), at, similarity
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, boosts: tuple[float, ...] = BOOSTS) -> Index:
     """Index and calibration from ``labels`` (doc_id, toxic) of ``docs``.
 
-    At most ``examples`` documents of each class are examples; the classes' votes
-    are weighted by how many labels each has, and document frequencies are counted
+    At most ``examples`` documents of each class are taken; the classes' votes are
+    weighted by how many labels each has, and document frequencies are counted
     over all documents. Null labels are left out; of several labels of a document
     the largest counts, of several texts the first in order. Without labels every score is 0.5.
     """
@@ -217,40 +222,68 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("toxic = 1").orderBy(*order).limit(examples).union(known.where("toxic = 0").orderBy(*order).limit(examples))
-    # the texts of at most twice ``examples`` ids; equal texts are one example with the commoner label
+    # the texts of at most twice ``examples`` ids
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.round(F.avg("toxic")).cast("int").alias("toxic")).select("doc_id", "text", "toxic")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [terms_of(text) for text in batch.column(1).to_pylist()]
+            found = [sorted(terms_of(text).items()) for text in batch.column(1).to_pylist()]
+            bags = [xxhash.xxh3_128_digest(b"\n".join(b"%b %d" % item for item in own)) for own in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(c.keys()) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
-                names=["doc_id", "toxic", "terms", "counts"],
+                [batch.column(0), batch.column(2), pa.array(bags, pa.binary()), pa.array([[t for t, _ in own] for own in found], pa.list_(pa.binary())), pa.array([[n for _, n in own] for own in found], pa.list_(pa.int64()))],
+                names=["doc_id", "toxic", "bag", "terms", "counts"],
             )
 
-    every = stored(rows.mapInArrow(count, f"doc_id {kind}, toxic int, terms array<binary>, counts array<long>"), "examples")
+    one = F.min_by(F.struct("terms", "counts"), "doc_id")
+    bags = rows.mapInArrow(count, f"doc_id {kind}, toxic int, bag binary, terms array<binary>, counts array<long>").groupBy("bag")
+    bags = bags.agg(F.min("doc_id").alias("doc_id"), F.sum("toxic").alias("ones"), (F.count("*") - F.sum("toxic")).alias("zeros"), one.alias("one"))
+    every = stored(bags.select("doc_id", F.pmod(F.xxhash64("bag"), F.lit(2)).alias("half"), "ones", "zeros", "one.terms", "one.counts"), "examples")
     # the examples' terms come as Arrow columns; their number is bounded by ``examples``
     picked = every.toArrow().sort_by("doc_id").combine_chunks()
-    toxic, sizes = picked.column("toxic").to_numpy(), pc.list_value_length(picked.column("terms")).to_numpy().astype(np.int64)
+    ones, zeros, half = (picked.column(c).to_numpy() for c in ("ones", "zeros", "half"))
+    sizes = pc.list_value_length(picked.column("terms")).to_numpy().astype(np.int64)
     flat = pa.chunked_array([c.flatten() for c in picked.column("terms").chunks], pa.binary()).combine_chunks().dictionary_encode()
     terms, number = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
     count_of = pa.chunked_array([c.flatten() for c in picked.column("counts").chunks], pa.int64()).to_numpy()
-    of = np.repeat(toxic, sizes)
     df, total = _document_frequencies(docs, terms)
-    n = [int((toxic == k).sum()) for k in (0, 1)]
-    tell = association(np.bincount(number[of == 1], minlength=len(terms)), np.bincount(number[of == 0], minlength=len(terms)), n[1], n[0])
-    weight = (np.log((1 + total) / (1 + df)) + 1) * (1 + BOOST * tell)
+    idf = np.log((1 + total) / (1 + df)) + 1
     weights = tuple(max(1.0, totals.get(k, 0) / examples) for k in (0, 1))
     ids_of = picked.column("doc_id").combine_chunks()
-    index = Index(terms, weight, number, count_of, sizes, toxic, ids_of if isinstance(ids_of, pa.Array) else ids_of.chunk(0), weights)
-    if picked.num_rows:
-        votes = _votes(every, index, kind)
-        index.calibrate(votes, toxic, np.where(toxic > 0, weights[1], weights[0]))
+    ids_of = ids_of if isinstance(ids_of, pa.Array) else ids_of.chunk(0)
+    del picked, flat
+
+    def index_of(some: np.ndarray, boost: float) -> Index:
+        """The index of the examples that are marked in ``some``."""
+        own = np.repeat(some, sizes)
+        with_one, with_zero = (np.bincount(number[own], np.repeat(n[some], sizes[some]), len(terms)) for n in (ones, zeros))
+        tell = association(with_one, with_zero, int(ones[some].sum()), int(zeros[some].sum()))
+        return Index(terms, idf * (1 + boost * tell), number[own], count_of[own], sizes[some], ones[some], zeros[some], ids_of.filter(pa.array(some)), weights)
+
+    def order_of(boost: float) -> float:
+        """How well the halves tell each other's labels."""
+        found = []
+        for k in (0, 1):
+            index = index_of(half == k, boost)
+            votes, labels, n = _votes(every.where(F.col("half") == 1 - k), index, kind)
+            found.append(ordered_share(np.where(np.isnan(votes), 0.5, votes), labels, n))
+        return float(np.mean(found))
+
+    boost = boosts[0] if len(boosts) == 1 or not len(ones) else max(boosts, key=lambda b: (round(order_of(b), 4), -b))
+    index = index_of(np.ones(len(ones), bool), boost)
+    if len(ones):
+        index.calibrate(*_votes(every, index, kind))
     return index
 
 
+def ordered_share(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """Share of the pairs of a label 1 and a label 0 in which the one has the higher vote; equal votes count half."""
+    values, at = np.unique(votes, return_inverse=True)
+    ones, zeros = (np.bincount(at, np.where(labels == k, weights, 0), len(values)) for k in (1, 0))
+    both = ones.sum() * zeros.sum()
+    return float((ones * (np.cumsum(zeros) - zeros / 2)).sum() / both) if both else 0.5
+
+
 def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
     """In how many documents each term is, and how many documents there are; a row for each term and one come back."""
     wanted = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
@@ -273,24 +306,27 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarr
     return df, int(n[at < 0].sum())
 
 
-def _votes(every: DataFrame, index: Index, kind: str) -> np.ndarray:
-    """The vote on each example, by rank of its id; NaN where it has no neighbour."""
+def _votes(every: DataFrame, index: Index, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes on the examples in ``every`` (NaN: no voter), a label of each kind at a time without itself: vote, label and weight."""
     shared = every.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        rank = dict(zip(own.ids.to_pylist(), own.rank.tolist()))
+        place = {doc: k for k, doc in enumerate(own.ids.to_pylist())}
         for batch in slices(batches, rows=QUERIES):
-            docs, terms, counts = (c.to_pylist() for c in batch.columns)
-            near = own.nearest([own.weighed(Counter(dict(zip(*one)))) for one in zip(terms, counts)])
-            ranks, votes = [rank[doc] for doc in docs], [own.vote(*one) for one in near]
-            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(votes, pa.float64())], names=["rank", "vote"])
-
-    rows = every.select("doc_id", "terms", "counts").mapInArrow(run, "rank long, vote double").toArrow()
+            docs, ones, zeros, terms, counts = (c.to_pylist() for c in batch.columns)
+            near = own.nearest([own.weighed(Counter(dict(zip(*one)))) for one in zip(terms, counts)], NEIGHBOURS + 1)
+            out = []
+            for doc, n_one, n_zero, (at, similarity) in zip(docs, ones, zeros, near):
+                here = place.get(doc, -1)
+                alone = (at == here) & (n_one + n_zero == 1)
+                at, similarity = at[~alone][:NEIGHBOURS], similarity[~alone][:NEIGHBOURS]
+                out += [(own.vote(at, similarity, (here, k)), k, n * own.class_weights[k]) for k, n in ((0, n_zero), (1, n_one)) if n]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.float64(), pa.int32(), pa.float64()))], names=["vote", "label", "weight"])
+
+    rows = every.select("doc_id", "ones", "zeros", "terms", "counts").mapInArrow(run, "vote double, label int, weight double").toArrow()
     shared.destroy()
-    out = np.full(len(index.rank), np.nan)
-    out[rows.column("rank").to_numpy()] = rows.column("vote").to_numpy()
-    return out
+    return tuple(rows.column(c).to_numpy() for c in ("vote", "label", "weight"))
 
 
 def score_documents(docs: DataFrame, index: Index, evidence: bool = True) -> DataFrame:
