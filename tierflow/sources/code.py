@@ -1,22 +1,23 @@
-"""Imports of source texts: files by Spark's binary source, imports by regular expressions in the JVM."""
+"""Source texts and their imports: files by Spark's binary source, imports by a token automaton."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.functions.paths import is_declaration, is_source, is_test, matches, name_of
+from tierflow.sources.lexer import imports_of
 
 #: Names of folders and files that are never scanned (fixed values).
 SKIPPED = ("node_modules", ".next", ".nuxt", ".output", "dist", "build", "out", "coverage", "__tests__", "__mocks__", ".git", ".svn")
-_FROM = r"""\b(import|export)\s+(type\s+)?([\w*\s{},$]*?\s*from\s*)?["']([^"'\n]+)["']"""
-_CALL = r"""\b(import|require)\s*\(\s*["']([^"'\n]+)["']\s*\)"""
-
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, stamp, content`` of all files below ``root``; content is read only if it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.expr("regexp_replace(path, '^[a-z]+:/*', '/')").alias("path"), F.col("modificationTime").alias("stamp"), F.col("content").cast("string").alias("content"))
+    return files.select(F.expr("regexp_replace(path, '^[a-z]+:/*', '/')").alias("path"), F.col("modificationTime").alias("stamp"), F.expr("try_validate_utf8(cast(content as string))").alias("content"))
 
 
 def scanned(files: DataFrame, ignore: tuple[str, ...] = (), tests: bool = False, declarations: bool = False) -> DataFrame:
@@ -31,28 +32,29 @@ def scanned(files: DataFrame, ignore: tuple[str, ...] = (), tests: bool = False,
     return files.where(is_source(path)).withColumn("status", F.when(in_skipped, "skipped_dir").when(out, "skipped").otherwise("file"))
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """``source, specifier, kind, is_type_only, line`` of texts (path, content). Comments do not count; only literal specifiers do."""
-    # a comment keeps its line breaks, so that line numbers stay
-    block = r"(?s)/\*.*?\*/"
-    kept = f"""aggregate(arrays_zip(split(text, r'{block}', -1), regexp_extract_all(text, r'{block}', 0)), '',
-               (out, x) -> concat(out, x.`0`, if(x.`1` is null, '', concat(' ', regexp_replace(x.`1`, '[^\n]', '')))))"""
-    text = files.select(F.col("path").alias("source"), F.regexp_replace(F.coalesce("content", F.lit("")), r"(?m)(^|[^:\"'])//[^\n]*", "$1").alias("text"))
-    text = text.withColumn("text", F.expr(kept))
-    def hits(pattern: str) -> DataFrame:
-        """``source, hit, line`` of every match; lines are counted over what lies before it, so repeats have their own."""
-        regex = f"r'{pattern.replace(chr(39), chr(92) + 'x27')}'"
-        breaks = lambda x: f"(length({x}) - length(replace({x}, '\\n', '')))"
-        found = f"""aggregate(arrays_zip(split(text, {regex}, -1), regexp_extract_all(text, {regex}, 0)), named_struct('line', 1, 'hits', cast(array() as array<struct<hit:string,line:int>>)),
-                    (done, x) -> named_struct('line', done.line + {breaks("x.`0`")} + coalesce({breaks("x.`1`")}, 0),
-                                              'hits', if(x.`1` is null, done.hits, array_append(done.hits, named_struct('hit', x.`1`, 'line', done.line + {breaks("x.`0`")})))), done -> done.hits)"""
-        return text.select("source", F.inline(F.expr(found)))
-
-    from_, call = hits(_FROM), hits(_CALL)
-    line = F.col("line")
-    one = from_.select("source", F.regexp_extract("hit", r"""["']([^"']+)["']""", 1).alias("specifier"), F.when(F.col("hit").startswith("export"), "reexport").otherwise("static").alias("kind"), F.col("hit").rlike(r"^(import|export)\s+type\s").alias("is_type_only"), line.alias("line"))
-    two = call.select("source", F.regexp_extract("hit", r"""["']([^"']+)["']""", 1).alias("specifier"), F.when(F.col("hit").startswith("require"), "require").otherwise("dynamic").alias("kind"), F.lit(False).alias("is_type_only"), line.alias("line"))
-    return one.union(two)
+def imports(files: DataFrame, require: bool = True) -> DataFrame:
+    """``source, specifier, kind, is_type_only, line, column, names`` of texts (path, content), by the token automaton of :mod:`tierflow.sources.lexer`.
+
+    What stands in comments, strings, templates and regular expressions does not count, and
+    only literal specifiers do. Lines count from 1, columns from 0; ``names`` are pairs of
+    the name in the other file and the name here. Null texts have no imports.
+    """
+    rows = files.select(F.col("path").alias("source"), "content")
+    kinds = ("static", "reexport", "dynamic", *(["require"] if require else []))
+    names = pa.list_(pa.struct([("name", pa.string()), ("as", pa.string())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(path, one) for path, text in zip(*(c.to_pylist() for c in batch.columns)) for one in imports_of(text) if one.kind in kinds]
+            columns = [pa.array([p for p, _ in found], pa.string()), *(pa.array([getattr(one, n) for _, one in found], t) for n, t in (("specifier", pa.string()), ("kind", pa.string()), ("is_type_only", pa.bool_()), ("line", pa.int32()), ("column", pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([[{"name": a, "as": b} for a, b in one.names] for _, one in found], names)], names=["source", "specifier", "kind", "is_type_only", "line", "column", "names"])
+
+    return rows.mapInArrow(read, "source string, specifier string, kind string, is_type_only boolean, line int, column int, names array<struct<name:string,as:string>>")
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """``path, error`` of texts that could not be read as UTF-8."""
+    return files.where(F.col("content").isNull()).select("path", F.lit("the file is not readable as UTF-8 text").alias("error"))
 
 
 def is_barrel_name(path):
