@@ -2,7 +2,7 @@
 
 Iterative plans cut their lineage here. The folder is the one that the cluster
 names in ``spark.checkpoint.dir``; only a session without it (tests) gets a
-temporary folder of its own.
+temporary folder of its own; on a cluster that is an error, since executors could not read it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="tierflow-shared-")
@@ -43,6 +45,6 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`stored` that no plan needs any more."""
     spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
