@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierflow.plans.ruleset import Layer, RuleSet, Sublayer
@@ -82,25 +82,29 @@ def successor_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.crossJoin(F.broadcast(ends)).select(F.col("p_partkey").alias("s"), ((F.col("p_partkey") * 3 + F.col("p_size")) % F.col("n") + F.col("low")).alias("t"))  # one row
 
 
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, k``: a module for each part; 48 neighbours are a package, ``k`` is the place in it."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.expr("cast(p_partkey % 48 as int)").alias("k"), "p_size")
+
+
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``source, target, specifier, is_type_only, kind, line`` of a graph of at most 48 modules with chains, cycles and loops."""
-    k = F.expr("cast(p_partkey % 48 as int)")
-    forward = F.expr("cast(p_partkey % 48 + 4 + p_size % 6 as int)")
-    back = F.expr("cast(p_partkey % 48 - p_partkey % 48 % 12 as int)")
-    part = table(spark, sf_dir, "part")
-    ends = part.select(k.alias("k"), forward.alias("to")).where("to < 48").union(part.where("p_size % 10 = 7").select(k, back))
+    """``source, target, specifier, is_type_only, kind, line`` of a graph of as many modules as there are parts, with chains, cycles and loops inside packages."""
+    part = _modules(spark, sf_dir)
+    forward = part.where("k + 4 + p_size % 6 < 48").select("key", F.expr("key + 4 + p_size % 6").alias("to"))
+    ends = forward.union(part.where("p_size % 10 = 7").select("key", F.expr("key - k % 12")))
+    ends = ends.distinct().join(part.select(F.col("key").alias("to")), "to", "left_semi")
     name = lambda c: _module_path(F.col(c))
-    return ends.distinct().select(name("k").alias("source"), name("to").alias("target"), F.lit("module").alias("specifier"), F.lit(False).alias("is_type_only"), F.lit("static").alias("kind"), F.lit(1).alias("line"))
+    return ends.select(name("key").alias("source"), name("to").alias("target"), F.lit("module").alias("specifier"), F.lit(False).alias("is_type_only"), F.lit("static").alias("kind"), F.lit(1).alias("line"))
 
 
-def module_files(spark: SparkSession) -> DataFrame:
-    """``path`` of the 48 modules and of three files that look like entry points."""
-    modules = spark.range(48).select(_module_path(F.col("id").cast("int")).alias("path"))
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path`` of the modules and of three files that look like entry points."""
+    modules = _modules(spark, sf_dir).select(_module_path(F.col("key")).alias("path"))
     return modules.union(spark.createDataFrame([("src/index.ts",), ("src/app.tsx",), ("src/app/x.ts",)], "path string"))
 
 
-def _module_path(k: Column) -> Column:
-    key = k.cast("string")
+def _module_path(number: Column) -> Column:
+    key, k = number.cast("string"), number % 48
     return F.concat(
         F.when(k < 12, F.lit("src/handlers/auto/c")).when(k < 24, F.lit("src/services/o")).when((k < 36) & (k % 2 == 0), F.lit("src/repository/common/p"))
         .when(k < 36, F.concat(F.lit("src/repository/features/b"), (k % 4).cast("string"), F.lit("/p"))).when(k % 7 == 0, F.lit("src/misc/s")).otherwise(F.lit("src/shared/s")),

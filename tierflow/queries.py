@@ -390,11 +390,11 @@ def glob_exceptions(spark, sf_dir):
     return rules.edge_violations(edges(spark, sf_dir), RULES, apply_exceptions=True).groupBy("type").agg(F.count("*").alias("n"))
 
 
-# A graph of at most 48 modules: general graphs against recursive SQL.
-_M_PATH = "CASE WHEN {k} < 12 THEN 'src/handlers/auto/c' WHEN {k} < 24 THEN 'src/services/o' WHEN {k} < 36 AND {k} % 2 = 0 THEN 'src/repository/common/p' WHEN {k} < 36 THEN 'src/repository/features/b' || ({k} % 4) || '/p' WHEN {k} % 7 = 0 THEN 'src/misc/s' ELSE 'src/shared/s' END || {k} || '.ts'"
-_M_FILES = f"files AS (SELECT {_M_PATH.format(k='range')} AS path FROM range(48) UNION ALL VALUES ('src/index.ts'), ('src/app.tsx'), ('src/app/x.ts'))"
-_M_EDGES = f"""ends AS (SELECT p_partkey % 48 AS k, p_partkey % 48 + 4 + p_size % 6 AS t FROM part WHERE p_partkey % 48 + 4 + p_size % 6 < 48 UNION SELECT p_partkey % 48, p_partkey % 48 - p_partkey % 48 % 12 FROM part WHERE p_size % 10 = 7),
-edges AS (SELECT {_M_PATH.format(k='k')} AS source, {_M_PATH.format(k='t')} AS target, 'module' AS specifier, false AS is_type_only, 'static' AS kind, 1 AS line FROM ends)"""
+# A graph of as many modules as there are parts, in packages of 48: general graphs against recursive SQL.
+_M_PATH = "CASE WHEN {k} % 48 < 12 THEN 'src/handlers/auto/c' WHEN {k} % 48 < 24 THEN 'src/services/o' WHEN {k} % 48 < 36 AND {k} % 2 = 0 THEN 'src/repository/common/p' WHEN {k} % 48 < 36 THEN 'src/repository/features/b' || ({k} % 48 % 4) || '/p' WHEN {k} % 48 % 7 = 0 THEN 'src/misc/s' ELSE 'src/shared/s' END || {k} || '.ts'"
+_M_FILES = f"files AS (SELECT {_M_PATH.format(k='p_partkey')} AS path FROM part UNION ALL VALUES ('src/index.ts'), ('src/app.tsx'), ('src/app/x.ts'))"
+_M_EDGES = f"""ends AS (SELECT p_partkey AS k, p_partkey + 4 + p_size % 6 AS t FROM part WHERE p_partkey % 48 + 4 + p_size % 6 < 48 UNION SELECT p_partkey, p_partkey - p_partkey % 48 % 12 FROM part WHERE p_size % 10 = 7),
+edges AS (SELECT {_M_PATH.format(k='k')} AS source, {_M_PATH.format(k='t')} AS target, 'module' AS specifier, false AS is_type_only, 'static' AS kind, 1 AS line FROM ends WHERE t IN (SELECT p_partkey FROM part))"""
 _M_REACH = "reach(a, b) AS (SELECT source, target FROM edges UNION SELECT r.a, e.target FROM reach r JOIN edges e ON r.b = e.source)"
 _M_CYCLES = "cyc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 _M_DEPTH = """every AS (SELECT source AS node FROM edges UNION SELECT target FROM edges),
@@ -406,8 +406,8 @@ depth AS (SELECT node, max(d) AS depth FROM comp JOIN d USING (c) GROUP BY node)
 _MODULES = f"WITH RECURSIVE {_M_FILES}, {_M_EDGES}, {_M_REACH}, {_M_CYCLES}"
 _M_LOOPS = "loops(component, pos, hops) AS (SELECT c.component, e.target, 1 FROM cyc c JOIN edges e ON c.node = c.component AND e.source = c.node UNION SELECT l.component, e.target, hops + 1 FROM loops l JOIN edges e ON l.pos = e.source JOIN cyc x ON x.node = e.target AND x.component = l.component WHERE hops < 40 AND l.pos <> l.component)"
 #: Rules of the module graph: those of the whole graph with lower limits and with depth.
-MODULE_RULES = dataclasses.replace(RULES, max_imports=4, max_depth=8)
-_M_ALL = _ALL.replace("count(*) > 20", "count(*) > 4").replace("WHERE path NOT IN (SELECT target FROM edges))", """WHERE path NOT IN (SELECT target FROM edges) AND NOT regexp_matches(path, '^(src/)?(index|main)[.][jt]sx?$|^src/app[.][jt]sx?$')
+MODULE_RULES = dataclasses.replace(RULES, layers=tuple(dataclasses.replace(x, max_dependents=0) if x.name == "services" else x for x in RULES.layers), max_imports=1, max_depth=8)
+_M_ALL = _ALL.replace("count(*) > 20", "count(*) > 1").replace("HAVING count(DISTINCT s_layer) > 1", "HAVING count(DISTINCT s_layer) > 0").replace("WHERE path NOT IN (SELECT target FROM edges))", """WHERE path NOT IN (SELECT target FROM edges) AND NOT regexp_matches(path, '^(src/)?(index|main)[.][jt]sx?$|^src/app[.][jt]sx?$')
   UNION ALL SELECT 'circular', 'error', component, NULL, NULL, NULL FROM cyc GROUP BY component
   UNION ALL SELECT 'depth', 'warn', node, NULL, NULL, NULL FROM depth WHERE depth > 8)""")
 
@@ -450,11 +450,11 @@ def module_has_cycle(spark, sf_dir):
     return graph.strong_components(_module_graph(spark, sf_dir)).agg((F.count("*") > 0).alias("cyclic"))
 
 
-@query(f"{_MODULES} SELECT target, kind, line FROM edges WHERE source = 'src/handlers/auto/c2.ts' AND target IN ('src/handlers/auto/c6.ts', 'src/handlers/auto/c7.ts', 'src/handlers/auto/c8.ts', 'src/handlers/auto/c9.ts')")
+@query(f"{_MODULES} SELECT target, kind, line FROM edges WHERE source = 'src/handlers/auto/c2.ts' AND target IN ('src/handlers/auto/c6.ts', 'src/handlers/auto/c7.ts', 'src/handlers/auto/c8.ts', 'src/handlers/auto/c9.ts', 'src/handlers/auto/c10.ts', 'src/handlers/auto/c11.ts')")
 def module_edges_between(spark, sf_dir):
-    """Edges from one file to each of four others."""
+    """Edges from one file to each of six others."""
     every = module_edges(spark, sf_dir)
-    found = [graph.edges_between(every, "src/handlers/auto/c2.ts", f"src/handlers/auto/c{k}.ts") for k in range(6, 10)]
+    found = [graph.edges_between(every, "src/handlers/auto/c2.ts", f"src/handlers/auto/c{k}.ts") for k in range(6, 12)]
     return functools.reduce(DataFrame.union, found).select("target", "kind", "line")
 
 
@@ -462,27 +462,51 @@ def module_edges_between(spark, sf_dir):
 def reachable_from_roots(spark, sf_dir):
     """Every file that those without importers reach, with the fewest steps."""
     ends = _module_graph(spark, sf_dir)
-    roots = module_files(spark).join(ends.select(F.col("t").alias("path")).distinct(), "path", "left_anti").select(F.col("path").alias("node"))
+    roots = module_files(spark, sf_dir).join(ends.select(F.col("t").alias("path")).distinct(), "path", "left_anti").select(F.col("path").alias("node"))
     return graph.reachable(ends, roots)
 
 
+_M_CHECKED = f"{_MODULES}, {_M_DEPTH}, {_PLACE.strip()}, {_JUDGED.strip()}, {_M_ALL.strip()}"
+
+
+def _module_violations(spark, sf_dir):
+    return rules.check(module_files(spark, sf_dir), module_edges(spark, sf_dir), MODULE_RULES, circular=True)
+
+
+@query(f"{_M_CHECKED} SELECT type, severity, count(*) AS n FROM violations GROUP BY GROUPING SETS ((type), (severity), ())")
+def module_summary(spark, sf_dir):
+    """Counts by type, by severity and in all, cycles and depth among them."""
+    return report.summary(_module_violations(spark, sf_dir))
+
+
+@query(f"{_M_CHECKED} SELECT source_layer AS layer, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM violations), 6) AS pct FROM violations WHERE source_layer IS NOT NULL GROUP BY 1")
+def module_by_layer_pct(spark, sf_dir):
+    """Shares of the layers in all violations, cycles and depth among them."""
+    return report.by_layer(_module_violations(spark, sf_dir)).withColumn("pct", F.col("pct").cast("double"))
+
+
+@query(f"{_M_CHECKED} SELECT source_file, count(*) AS n FROM violations GROUP BY 1 ORDER BY n DESC, source_file LIMIT 10")
+def module_hot_files(spark, sf_dir):
+    """Files with most violations, cycles and depth among them."""
+    return report.hot_files(_module_violations(spark, sf_dir))
+
+
 @query(f"{_MODULES}, {_M_DEPTH}, {_PLACE.strip()}, {_JUDGED.strip()}, {_M_ALL.strip()} SELECT type, severity, count(*) AS n FROM violations GROUP BY 1, 2")
 def ten_types_of_violations(spark, sf_dir):
     """All rules at once, cycles and depth among them."""
-    found = rules.check(module_files(spark), module_edges(spark, sf_dir), MODULE_RULES, circular=True)
-    return found.groupBy("type", "severity").agg(F.count("*").alias("n"))
+    return _module_violations(spark, sf_dir).groupBy("type", "severity").agg(F.count("*").alias("n"))
 
 
 @query(f"{_MODULES}, {_M_DEPTH}, {_PLACE.strip()}, {_JUDGED.strip()}, {_M_ALL.strip()} SELECT source_file FROM violations WHERE type = 'orphan'")
 def orphans_but_entry_points(spark, sf_dir):
     """Files that nothing imports, some of which are entry points."""
-    return rules.orphan_violations(module_files(spark), module_edges(spark, sf_dir), MODULE_RULES).select("source_file")
+    return rules.orphan_violations(module_files(spark, sf_dir), module_edges(spark, sf_dir), MODULE_RULES).select("source_file")
 
 
 @query(f"{_MODULES}, {_M_DEPTH}, {_PLACE.strip()}, {_JUDGED.strip()}, {_M_ALL.strip()} SELECT source_file FROM violations WHERE type = 'orphan' AND NOT regexp_matches(source_file, '(^|/)(routes|controllers|middlewares?|handlers)(/|$)|^(src/)?(index|main|server|app)[.](ts|js|mjs|cjs)$')")
 def orphans_of_a_framework(spark, sf_dir):
     """Orphans without what a framework uses by itself."""
-    return rules.orphan_violations(module_files(spark), module_edges(spark, sf_dir), MODULE_RULES, framework="node-backend").select("source_file")
+    return rules.orphan_violations(module_files(spark, sf_dir), module_edges(spark, sf_dir), MODULE_RULES, framework="node-backend").select("source_file")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

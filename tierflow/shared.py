@@ -8,11 +8,15 @@ temporary folder of its own; on a cluster that is an error, since executors coul
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+#: Seconds between two requests to collect garbage, and when the last one was.
+PAUSE = 2.0
+_asked = [0.0]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,7 +42,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tierflow/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()
+    if time.monotonic() - _asked[0] > PAUSE:
+        df.sparkSession._jvm.System.gc()
+        _asked[0] = time.monotonic()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
