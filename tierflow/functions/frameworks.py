@@ -20,7 +20,7 @@ _RULES: dict[str, str] = {
     "vite-react-router": rf"{_VITE}|^src/(routes|pages)/.*{_CODE}|^src/root\.(tsx|jsx)$|^src/(router|routes)\.(tsx|ts)$",
     "vite-tanstack-router": rf"{_VITE}|^src/routes/.*{_CODE}|routeTree\.gen\.(ts|tsx|js|jsx)$|route-manifest\.json$|^src/router\.(tsx|ts)$",
     "node-backend": r"^(src/)?(index|main|server|app)\.(ts|js|mjs|cjs)$|^(package|tsconfig)\.json$|\.config\.(ts|js|mjs)$|(^|/)(routes|controllers|middlewares?|handlers)(/|$)|/(migrations|seeds)/",
-    "vue-nuxt": r"^src/main\.(ts|js)$|^src/App\.vue$|^(app|App)\.vue$|^nuxt\.config\.(ts|js)$|^vite\.config\.(ts|js|mjs)$|^(src/)?(components|composables|utils|server|middleware|plugins|layouts|pages)/|^app\.config\.(ts|js)$|^(public/)?index\.html$|\.vue$",
+    "vue-nuxt": r"^src/main\.(ts|js)$|^src/App\.vue$|^(app|App)\.vue$|^nuxt\.config\.(ts|js)$|^vite\.config\.(ts|js)$|^vue\.config\.(js|ts)$|^(src/)?(components|composables|utils|server|middleware|plugins|layouts|pages)/|^app\.config\.(ts|js)$|^(public/)?index\.html$|\.vue$",
     "angular": r"^src/(main|polyfills)\.(ts|js)$|^\.?angular\.json$|^angular-cli\.json$|^src/index\.html$|^src/app/app\.(module|component|config|routes)\.ts$|/environments/|\.(component|module|service|guard|pipe|directive|interceptor|resolver)\.(ts|js)$|-routing\.module\.(ts|js)$|^src/assets/|^src/styles\.(css|scss|sass|less)$",
 }
 #: Globs that each framework leaves out of a scan (fixed values).

@@ -41,6 +41,30 @@ def annotation(level: Column | None = None) -> Column:
     return F.concat(F.lit("::"), level, F.lit(" file="), F.coalesce("source_file", F.lit("")), F.lit(",line="), F.coalesce(F.col("line"), F.lit(1)).cast("string"), F.lit(",title="), F.col("type"), F.lit("::"), F.col("message"))
 
 
+#: Types of the chart with their labels; orphans are not shown (fixed values).
+LABELS = {"flow": "Flow", "isolation": "Isolation", "circular": "Circular", "unlayered": "Unlayered", "depth": "Depth", "publicApi": "Public API", "dependentBudget": "Dependents", "importCount": "Import Count", "unmapped": "Unmapped"}
+
+
+def type_chart(violations: DataFrame) -> DataFrame:
+    """``label, n, pct``: types that there are with their share of all violations."""
+    counts = violations.groupBy("type").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    labels = violations.sparkSession.createDataFrame(list(LABELS.items()), "type string, label string")
+    return counts.join(F.broadcast(labels), "type").crossJoin(total).select("label", "n", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("pct"))  # ten labels, one row
+
+
+def json_of(violations: DataFrame) -> DataFrame:
+    """``json``: an object for each violation, in camel case, without empty values; features only for isolation and the path only for cycles."""
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    only = lambda kind, value: F.when(F.col("type") == kind, value)
+    fields = [
+        F.col("type"), F.col("severity"), F.col("source_file").alias("sourceFile"), F.col("message"), given("target_file").alias("targetFile"), given("source_layer").alias("sourceLayer"), given("target_layer").alias("targetLayer"),
+        given("source_sublayer").alias("sourceSublayer"), given("target_sublayer").alias("targetSublayer"), given("import_specifier").alias("importSpecifier"), F.col("line"),
+        only("isolation", given("source_feature")).alias("sourceFeature"), only("isolation", given("target_feature")).alias("targetFeature"), only("circular", F.split("message", " -> ")).alias("cyclePath"),
+    ]
+    return violations.select(F.to_json(F.struct(*fields)).alias("json"))
+
+
 def as_json(violations: DataFrame) -> DataFrame:
     """A JSON object for each violation; absent values are left out."""
     return violations.select(F.to_json(F.struct(*violations.columns)).alias("json"))

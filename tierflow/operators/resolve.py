@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.functions.paths import is_external
+from tierflow.operators.workspace import package_candidates
 
 #: Endings of the compiler's own resolution and those of the fallback after it, each in the order in which they are tried (fixed values).
 FIRST = (".ts", ".tsx", ".d.ts", ".js", ".jsx")
@@ -79,17 +80,19 @@ def tried(imports: DataFrame, mappings: DataFrame | None = None, packages: DataF
     found = rows.where(~is_external(F.col("specifier"))).select("source", "specifier", F.lit(0).alias("nth"), F.expr(_joined("source", "specifier")).alias("base"))
     if mappings is not None:
         found = found.union(mapped(rows.where(~F.col("specifier").startswith(".")), mappings))
-    if packages is not None:
-        found = found.union(packages.select("source", "specifier", F.lit(1_000).alias("nth"), "base"))
     files = found.select("source", "specifier", "nth", F.posexplode(F.expr(_candidates("base"))).alias("k", "path"))
-    return files.select("source", "specifier", (F.col("nth") * 100 + F.col("k")).alias("n"), "path")
+    files = files.select("source", "specifier", (F.col("nth") * 100 + F.col("k")).alias("n"), "path")
+    if packages is not None:  # after all mappings
+        more = package_candidates(rows.where(is_external(F.col("specifier"))), packages)
+        files = files.union(more.select("source", "specifier", (F.col("n") + 1_000_000).alias("n"), "path"))
+    return files
 
 
 def resolved(imports: DataFrame, files: DataFrame, mappings: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
     """``source, specifier, status, target`` of imports (source, specifier): external, resolved or unresolved.
 
     Relative specifiers are tried as paths. Others are tried by ``mappings`` (see
-    :func:`mapped`) and by ``packages`` (source, specifier, base) and are external if no mapping, package or file fits.
+    :func:`mapped`) and by ``packages`` (name, folder, main, nth) and are external if no file fits.
     """
     rows = imports.select("source", "specifier").distinct()
     candidates = tried(rows, mappings, packages)

@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.functions.paths import is_declaration, is_source, is_test, matches, name_of
-from tierflow.sources.lexer import imports_of
+from tierflow.sources.lexer import exports_of, imports_of
 
 #: Names of folders and files that are never scanned (fixed values).
 SKIPPED = ("node_modules", ".next", ".nuxt", ".output", "dist", "build", "out", "coverage", "__tests__", "__mocks__", ".git", ".svn")
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, stamp, content`` of all files below ``root``; content is read only if it is used."""
+    """``path, stamp, content`` of all files below ``root``; content is read only if it is used and null if it is not UTF-8.
+
+    Spark's scan leaves out files without content. They are taken from its listing, which the driver has for any scan,
+    have no stamp and an empty text.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.expr("regexp_replace(path, '^[a-z]+:/*', '/')").alias("path"), F.col("modificationTime").alias("stamp"), F.expr("try_validate_utf8(cast(content as string))").alias("content"))
+    path = F.expr("regexp_replace(path, '^[a-z]+:/*', '/')").alias("path")
+    read = files.select(path, F.col("modificationTime").alias("stamp"), F.expr("try_validate_utf8(cast(content as string))").alias("content"))
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string").select(path)
+    empty = listed.join(files.select(path), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("stamp"), F.lit("").alias("content"))
+    return read.union(empty)
 
 
 def scanned(files: DataFrame, ignore: tuple[str, ...] = (), tests: bool = False, declarations: bool = False) -> DataFrame:
@@ -52,6 +61,17 @@ def imports(files: DataFrame, require: bool = True) -> DataFrame:
     return rows.mapInArrow(read, "source string, specifier string, kind string, is_type_only boolean, line int, column int, names array<struct<name:string,as:string>>")
 
 
+def exports(files: DataFrame) -> DataFrame:
+    """``file, name`` of what texts (path, content) export themselves."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(path, name) for path, text in zip(*(c.to_pylist() for c in batch.columns)) for name in exports_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["file", "name"])
+
+    return files.select("path", "content").mapInArrow(read, "file string, name string")
+
+
 def errors(files: DataFrame) -> DataFrame:
     """``path, error`` of texts that could not be read as UTF-8."""
     return files.where(F.col("content").isNull()).select("path", F.lit("the file is not readable as UTF-8 text").alias("error"))
