@@ -380,14 +380,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     read; an empty table gives no rows.
     """
     bounded(docs.sparkSession)
-    described = stored(_described(docs, id_col, text_col), "described")
+    prefixed = stored(_described(docs, id_col, text_col), "prefixed")
+    # all but the prefixes, which are most of it and are needed only until the regions are drawn
+    described = stored(prefixed.drop("prefix"), "described")
     known = described.where("id is not null and n_shingles > 0")
     # equal sets: one link to the smallest id
     firsts = known.groupBy("set_id").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("set_id", "b")
     links = known.join(firsts, "set_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
     # regions: documents that have the shingle among their rarest; of regions with the same members one is enough
-    entries = known.select(F.explode("prefix").alias("h"), "id")
+    entries = prefixed.where("id is not null").select(F.explode("prefix").alias("h"), "id")
     shared = stored(entries.groupBy("h").agg(F.min("id").alias("_low"), F.max("id").alias("_top")).where("_low < _top").select("h"), "shared")
     # only shingles that may be in the filter are shuffled again
     several = _one_of_each(possible(entries, "h", filter_of(shared, F.xxhash64("h"))))
@@ -399,6 +401,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # equal sets are one member; where sizes leave a gap that no link spans, a region falls apart
     members = stored(chosen.join(sets, "id").groupBy("h", "s").agg(F.min("id").alias("id")).select("h", "id", "s.n"), "members")
     dropped(several)
+    dropped(prefixed)
     sized = _apart(members, F.floor(F.log("n") / math.log(100 / percent) * BANDS).cast("int"))
     # the smallest id of a region is its first pivot, and regions with the same pivot become one
     pivots = sized.groupBy("h").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("h", "pivot")
