@@ -22,7 +22,7 @@ examples, the labels of one half by neighbours and associations of the other hal
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,25 @@ def terms_of(text: str | None) -> Counter:
     return Counter(text.lower().encode("utf-8").translate(_SPACES).split()) if text else Counter()
 
 
+def hashes_of(terms: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes of terms. Arrays of them take a fraction of the terms' own memory."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64)
+
+
+def _sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and the place that each had."""
+    order = np.argsort(hashes)
+    return hashes[order], order
+
+
+def _places(known: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes among the known ones, -1 for others."""
+    if not len(known[0]):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
+    return np.where(known[0][at] == hashes, known[1][at], -1)
+
+
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one after the other."""
     size = end - begin
@@ -77,13 +96,13 @@ def association(ones: np.ndarray, zeros: np.ndarray, n_ones: int, n_zeros: int)
 class Index:
     """Block-max inverted index of the examples.
 
-    ``terms`` are numbered by their place, ``number`` and ``count`` list the terms of
+    ``terms``, the distinct terms' 64-bit hashes, are numbered by their place, ``number`` and ``count`` list the terms of
     all examples, one example after the other with ``sizes`` terms each; ``ones`` and
     ``zeros`` are how many labels of each kind an example has.
     """
 
-    def __init__(self, terms: list[bytes], weight: np.ndarray, number: np.ndarray, count: np.ndarray, sizes: np.ndarray, ones: np.ndarray, zeros: np.ndarray, ids: pa.Array, class_weights: tuple[float, float]):
-        self.at, self.weight = {t: k for k, t in enumerate(terms)}, weight
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, number: np.ndarray, count: np.ndarray, sizes: np.ndarray, ones: np.ndarray, zeros: np.ndarray, ids: pa.Array, class_weights: tuple[float, float]):
+        self.known, self.weight = _sorted(terms), weight
         n = len(sizes)
         of = np.repeat(np.arange(n), sizes)
         value = (1 + np.log(np.maximum(count, 1))) * weight[number]
@@ -131,7 +150,7 @@ class Index:
 
     def weighed(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms in order, and their weights with length 1."""
-        at = np.array([self.at.get(t, -1) for t in terms], np.int64)
+        at = _places(self.known, hashes_of(terms))
         order = np.argsort(at)[int((at < 0).sum()) :]
         at = at[order]
         values = (1 + np.log(np.array(list(terms.values()), np.float64)[order])) * self.weight[at]
@@ -244,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, boosts: tu
     ones, zeros, half = (picked.column(c).to_numpy() for c in ("ones", "zeros", "half"))
     sizes = pc.list_value_length(picked.column("terms")).to_numpy().astype(np.int64)
     flat = pa.chunked_array([c.flatten() for c in picked.column("terms").chunks], pa.binary()).combine_chunks().dictionary_encode()
-    terms, number = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+    terms, number = hashes_of(flat.dictionary.to_pylist()), flat.indices.to_numpy().astype(np.int64)
     count_of = pa.chunked_array([c.flatten() for c in picked.column("counts").chunks], pa.int64()).to_numpy()
     df, total = _document_frequencies(docs, terms)
     idf = np.log((1 + total) / (1 + df)) + 1
@@ -284,19 +303,20 @@ def ordered_share(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
     return float((ones * (np.cumsum(zeros) - zeros / 2)).sum() / both) if both else 0.5
 
 
-def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
+def _document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many documents each term is, and how many documents there are; a row for each term and one come back."""
-    wanted = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+    wanted = docs.sparkSession.sparkContext.broadcast(_sorted(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = wanted.value
-        found: Counter = Counter()
+        known, n = wanted.value, 0
+        found = np.zeros(len(known[0]), np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                found[None] += 1
-                if text:
-                    found.update(known.keys() & text.lower().encode("utf-8").translate(_SPACES).split())
-        yield pa.RecordBatch.from_arrays([pa.array([-1 if t is None else known[t] for t in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+            texts = batch.column(0).to_pylist()
+            n += len(texts)
+            at = _places(known, hashes_of(t for text in texts if text for t in set(text.lower().encode("utf-8").translate(_SPACES).split())))
+            found += np.bincount(at[at >= 0], minlength=len(found))
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some]).astype(np.int32)), pa.array(np.concatenate([[n], found[some]]).astype(np.int64))], names=["term", "n"])
 
     rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     wanted.destroy()
