@@ -99,7 +99,6 @@ def trend(history: DataFrame) -> DataFrame:
     return history.withColumn("change", F.col("total") - F.lag("total").over(Window.orderBy("ts")))
 
 
-def layer_order(names: list[str], pairs: DataFrame) -> DataFrame:
-    """``layer, n``: how many rules start at each layer."""
-    layers = pairs.sparkSession.createDataFrame([(n,) for n in names], "layer string")
+def layer_order(layers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``layer, n``: how many allowed pairs (from_layer) start at each layer (layer)."""
     return layers.join(pairs.groupBy(F.col("from_layer").alias("layer")).agg(F.count("*").alias("n")), "layer", "left").select("layer", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierflow.plans.ruleset import Layer, RuleSet, Sublayer
+from tierflow.plans.ruleset import Layer, RuleSet, Sublayer, flow_pairs
 
 RULES = RuleSet(
     layers=(
@@ -110,3 +110,46 @@ def _module_path(number: Column) -> Column:
         .when(k < 36, F.concat(F.lit("src/repository/features/b"), (k % 4).cast("string"), F.lit("/p"))).when(k % 7 == 0, F.lit("src/misc/s")).otherwise(F.lit("src/shared/s")),
         key, F.lit(".ts"),
     )
+
+
+def module_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: a source text for each part. What looks like an import in its comments, strings and templates is none.
+
+    Odd parts are barrels (index files) that re-export the next one under another name. Aliases of ``@/`` are mapped by ``tsconfig.json``.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    ends = part.agg(F.max("p_partkey").alias("top"))
+    rows = part.crossJoin(F.broadcast(ends))  # one row
+    to = "((p_partkey * 7 + p_size) % top + 1)"
+    place = lambda k: f"if({k} % 2 = 1, concat('lib/b', {k}, '/index.ts'), concat('lib/m', {k}, '.ts'))"
+    name = lambda k: f"if({k} % 2 = 1, concat('b', {k}), concat('m', {k}))"
+    plain = f"""concat('// import no from "./no1"\\n/* import no from "./no2" */ const s = "import no from \\'./no3\\'"\\n',
+        'import {{ a', p_partkey % 3, ' as x }} from "', if(p_size % 2 = 0, '@/', './'), {name(to)}, '"\\n',
+        if(p_size % 5 = 0, 'const t = `$' || '{{ import("react") }} import no from "./no4"`\\n', ''), if(p_size % 7 = 0, 'import type {{ T }} from "./gone', ''), if(p_size % 7 = 0, concat(p_partkey, '"\\n'), ''), 'export const a', p_partkey % 3, ' = /"import/')"""
+    barrel = f"""concat('export {{ a', p_partkey % 3, ' as a0, a1 }} from "../', {name('(p_partkey % top + 1)')}, '"\\nexport * from "../', {name(to)}, '"\\n')"""
+    texts = rows.select(F.expr(place("p_partkey")).alias("path"), F.expr(f"if(p_partkey % 2 = 1, {barrel}, {plain})").alias("content"))
+    config = spark.createDataFrame([("tsconfig.json", '{ // aliases\n "compilerOptions": { "paths": { "@/*": ["lib/*"], }, } }')], "path string, content string")
+    return texts.union(config)
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, version, deleted, content``: several versions of the file of each part; some are deleted at last."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    ends = part.agg(F.max("p_partkey").alias("top"))
+    rows = part.crossJoin(F.broadcast(ends))  # one row
+    versions = "filter(array(if(p_partkey % 4 = 0, 0, null), 1, if(p_partkey % 3 = 0, 2, null), if(p_partkey % 11 = 0, 3, null)), v -> v is not null)"
+    each = rows.select("*", F.explode(F.expr(versions)).alias("v"))
+    to = "case v when 0 then 'old' when 1 then concat('f', (p_partkey * 3 + p_size) % top + 1) when 2 then concat('f', (p_partkey * 7) % top + 1) else 'none' end"
+    return each.select(F.expr("concat('src/f', p_partkey, '.ts')").alias("path"), F.col("v").cast("long").alias("version"), (F.col("v") == 3).alias("deleted"), F.expr(f"""concat('import x from "./', {to}, '" // import no from "./no"')""").alias("content"))
+
+
+def rule_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges, layers, allowed flow and limits of a package for every 48 parts; the rules differ from package to package."""
+    edges = module_edges(spark, sf_dir).withColumn("package", F.expr("cast(cast(regexp_extract(source, '([0-9]+)[.]ts$', 1) as long) div 48 as string)")).select("package", "source", "target", "line")
+    packages = edges.select("package").distinct().withColumn("k", F.col("package").cast("long"))
+    folders = "array(named_struct('layer', 'handlers', 'path', 'src/handlers'), named_struct('layer', 'services', 'path', 'src/services'), named_struct('layer', 'repository', 'path', 'src/repository'), named_struct('layer', if(k % 2 = 0, 'shared', 'tools'), 'path', 'src/shared'))"
+    layers = packages.select("package", F.inline(F.expr(folders)))
+    rules = F.expr("if(k % 3 = 0, array('handlers -> services -> repository', concat('repository -> ', if(k % 2 = 0, 'shared', 'tools'))), array('handlers -> services', 'services <-> repository'))")
+    flow = flow_pairs(packages.select("package", F.explode(rules).alias("rule"))).select("package", "from_layer", "to_layer")
+    limits = packages.where("k % 5 <> 4").select("package", F.expr("case k % 4 when 0 then 'error' when 1 then 'warn' else 'ignore' end").alias("unlayered"), F.expr("if(k % 2 = 0, 1, null)").alias("max_imports"), F.expr("if(k % 3 = 1, 0, null)").alias("max_dependents"))
+    return edges, layers, flow, limits

@@ -1,4 +1,4 @@
-"""Rule sets: layers with sublayers, allowed flow between them, limits. Plain values on the driver."""
+"""Rule sets: layers with sublayers, allowed flow between them, limits. Plain values on the driver, or rules as rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Violation types in report order (fixed values).
 TYPES = ("flow", "isolation", "circular", "unmapped", "unlayered", "orphan", "depth", "publicApi", "dependentBudget", "importCount")
 #: Default severity of each type (fixed values).
@@ -72,6 +75,18 @@ def parse_flow(rule: str) -> list[tuple[str, str]]:
     return list(zip(names, names[1:]))
 
 
+def flow_pairs(rules: DataFrame, rule: str = "rule") -> DataFrame:
+    """``rules`` with ``from_layer`` and ``to_layer``, a row for each allowed pair of the rule in a column; what :func:`parse_flow` refuses has none."""
+    text = F.trim(F.col(rule))
+    names = F.transform(F.split(F.replace(text, F.lit("<->"), F.lit("->")), "->"), lambda n: F.trim(n))
+    both = F.contains(text, F.lit("<->"))
+    rest = F.replace(text, F.lit("<->"), F.lit("|"))
+    good = ~F.contains(rest, F.lit("-->")) & ~F.contains(rest, F.lit("<-")) & ~(both & F.contains(rest, F.lit("->"))) & (F.size(names) > 1) & F.forall(names, lambda n: n != "") & (~both | (F.size(names) == 2))
+    steps = F.transform(F.sequence(F.lit(0), F.size(names) - 2), lambda i: F.struct(F.get(names, i).alias("from_layer"), F.get(names, i + 1).alias("to_layer")))
+    back = F.array(F.struct(F.get(names, F.lit(1)).alias("from_layer"), F.get(names, F.lit(0)).alias("to_layer")))
+    return rules.where(good).select("*", F.inline(F.when(both, F.concat(steps, back)).otherwise(steps)))
+
+
 def isolated_names(names: list[str], pairs: list[tuple[str, str]]) -> list[str]:
     """Names that no pair mentions."""
     used = {name for pair in pairs for name in pair}

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.functions import paths
-from tierflow.operators import graph, incremental, mapping, report, resolve, rules
-from tierflow.plans.projection import RULES, edges, files, module_edges, module_files, successor_graph, table
+from tierflow.operators import barrels, folders, graph, incremental, mapping, report, resolve, rules, workspace
+from tierflow.plans.projection import RULES, changes, edges, files, module_edges, module_files, module_texts, rule_tables, successor_graph, table
+from tierflow.plans import project, ruleset
 from tierflow.plans.ruleset import RuleSet
+from tierflow.shared import shared_folder, stored
 from tierflow.sources import code
+from tierflow.sources.store import fingerprint
+from tierflow.streaming import build
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -281,14 +286,31 @@ def _history(spark, sf_dir):
     return table(spark, sf_dir, "events").where("ts is not null").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("total"))
 
 
-@query("SELECT from_layer, to_layer FROM (VALUES ('handlers', 'services'), ('services', 'repository'), ('repository', 'shared')) t(from_layer, to_layer)")
+_ROUTES = "routes AS (SELECT l_orderkey AS k, list('n' || s_nationkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS stops FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)"
+
+
+def _routes(spark, sf_dir):
+    """``k, rule``: a flow rule for each order, the nations of its suppliers in a chain; two stops go both ways."""
+    stops = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    chain = F.expr("transform(array_sort(collect_list(struct(l_linenumber, l_suppkey, l_partkey, s_nationkey))), x -> concat('n', x.s_nationkey))")
+    rules = stops.groupBy(F.col("l_orderkey").alias("k")).agg(chain.alias("stops"))
+    return rules.select("k", F.expr("array_join(stops, if(size(stops) = 2, '<->', ' -> '))").alias("rule"))
+
+
+@query(f"""WITH {_ROUTES}, pairs AS (SELECT k, unnest(list_transform(range(1, len(stops)), lambda i: [stops[i], stops[i + 1]])) AS p FROM routes
+           UNION ALL SELECT k, [stops[2], stops[1]] FROM routes WHERE len(stops) = 2) SELECT p[1] AS from_layer, p[2] AS to_layer, count(*) AS n FROM pairs GROUP BY ALL""")
 def flow_chain_pairs(spark, sf_dir):
-    return spark.createDataFrame(RULES.allowed(), "from_layer string, to_layer string")
+    """Allowed pairs of flow rules, which are texts in rows; how many rules allow each."""
+    return ruleset.flow_pairs(_routes(spark, sf_dir)).groupBy("from_layer", "to_layer").agg(F.count("*").alias("n"))
 
 
-@query("SELECT layer, n FROM (VALUES ('handlers', 1::BIGINT), ('services', 1), ('repository', 1), ('shared', 0)) t(layer, n)")
+@query(f"""WITH {_ROUTES}, pairs AS (SELECT DISTINCT k, unnest(stops[:-2]) AS f FROM routes UNION SELECT k, stops[2] FROM routes WHERE len(stops) = 2),
+           names AS (SELECT DISTINCT 'n' || s_nationkey AS layer FROM supplier) SELECT layer, count(f) AS n FROM names LEFT JOIN pairs ON layer = f GROUP BY 1""")
 def layer_order(spark, sf_dir):
-    return report.layer_order([x.name for x in RULES.layers], spark.createDataFrame(RULES.allowed(), "from_layer string, to_layer string"))
+    """How many rules start a pair at each layer."""
+    names = table(spark, sf_dir, "supplier").select(F.expr("concat('n', s_nationkey)").alias("layer")).distinct()
+    pairs = ruleset.flow_pairs(_routes(spark, sf_dir)).select("k", "from_layer").distinct()
+    return report.layer_order(names, pairs)
 
 
 _SUCCESSOR = "g AS (SELECT p_partkey AS s, (p_partkey * 3 + p_size) % (SELECT count(*) FROM part) + (SELECT min(p_partkey) FROM part) AS t FROM part)"
@@ -509,6 +531,108 @@ def orphans_of_a_framework(spark, sf_dir):
     return rules.orphan_violations(module_files(spark, sf_dir), module_edges(spark, sf_dir), MODULE_RULES, framework="node-backend").select("source_file")
 
 
+# A source text for each part: lexer, mappings, names through barrels.
+_T_NAME = "(CASE WHEN {k} % 2 = 1 THEN 'b' ELSE 'm' END || {k})"
+_T_PATH = "('lib/' || CASE WHEN {k} % 2 = 1 THEN 'b' || {k} || '/index.ts' ELSE 'm' || {k} || '.ts' END)"
+_TO, _NEXT = "((p_partkey * 7 + p_size) % top + 1)", "(p_partkey % top + 1)"
+_TEXTS = f"""p AS (SELECT p_partkey, p_size, (SELECT max(p_partkey) FROM part) AS top FROM part),
+found AS (
+  SELECT {_T_PATH.format(k="p_partkey")} AS source, CASE WHEN p_size % 2 = 0 THEN '@/' ELSE './' END || {_T_NAME.format(k=_TO)} AS specifier, {_T_PATH.format(k=_TO)} AS target, 'static' AS kind, false AS is_type_only, 3 AS line FROM p WHERE p_partkey % 2 = 0
+  UNION ALL SELECT {_T_PATH.format(k="p_partkey")}, 'react', NULL, 'dynamic', false, 4 FROM p WHERE p_partkey % 2 = 0 AND p_size % 5 = 0
+  UNION ALL SELECT {_T_PATH.format(k="p_partkey")}, './gone' || p_partkey, NULL, 'static', true, CASE WHEN p_size % 5 = 0 THEN 5 ELSE 4 END FROM p WHERE p_partkey % 2 = 0 AND p_size % 7 = 0
+  UNION ALL SELECT {_T_PATH.format(k="p_partkey")}, '../' || {_T_NAME.format(k=_NEXT)}, {_T_PATH.format(k=_NEXT)}, 'reexport', false, 1 FROM p WHERE p_partkey % 2 = 1
+  UNION ALL SELECT {_T_PATH.format(k="p_partkey")}, '../' || {_T_NAME.format(k=_TO)}, {_T_PATH.format(k=_TO)}, 'reexport', false, 2 FROM p WHERE p_partkey % 2 = 1)"""
+
+
+def _built(spark, sf_dir):
+    return project.build(module_texts(spark, sf_dir), packages=False)
+
+
+@query(f"WITH {_TEXTS} SELECT source, specifier, kind, is_type_only, line FROM found")
+def imports_of_texts(spark, sf_dir):
+    """Imports among comments, strings, templates and regular expressions."""
+    return code.imports(module_texts(spark, sf_dir)).select("source", "specifier", "kind", "is_type_only", "line")
+
+
+@query(f"WITH {_TEXTS} SELECT DISTINCT source, specifier, CASE WHEN target IS NOT NULL THEN 'resolved' WHEN specifier = 'react' THEN 'external' ELSE 'unresolved' END AS status, target FROM found")
+def whole_build(spark, sf_dir):
+    """From texts to what each import resolves to, aliases included."""
+    return _built(spark, sf_dir).statuses
+
+
+@query(f"""WITH RECURSIVE {_TEXTS}, links AS (
+  SELECT {_T_PATH.format(k="p_partkey")} AS file, {_T_PATH.format(k=_NEXT)} AS target, unnest(['a' || (p_partkey % 3), 'a1']) AS there, unnest(['a0', 'a1']) AS here FROM p WHERE p_partkey % 2 = 1
+  UNION SELECT {_T_PATH.format(k="p_partkey")}, {_T_PATH.format(k=_TO)}, '*', '*' FROM p WHERE p_partkey % 2 = 1),
+wanted AS (SELECT DISTINCT {_T_PATH.format(k=_TO)} AS start, 'a' || (p_partkey % 3) AS asked FROM p WHERE p_partkey % 2 = 0 AND {_TO} % 2 = 1),
+walk(start, asked, file, name) AS (SELECT start, asked, start, asked FROM wanted UNION
+  SELECT w.start, w.asked, l.target, CASE WHEN l.here = '*' THEN w.name ELSE l.there END FROM walk w JOIN links l ON w.file = l.file AND l.target <> l.file
+  WHERE l.here = w.name OR l.here = '*' AND NOT list_contains(['a0', 'a1'], w.name)),
+own AS (SELECT {_T_PATH.format(k="p_partkey")} AS file, 'a' || (p_partkey % 3) AS name FROM p WHERE p_partkey % 2 = 0)
+SELECT DISTINCT start AS file, asked AS name, w.file AS origin, w.name AS origin_name FROM walk w JOIN own ON w.file = own.file AND w.name = own.name""")
+def origins_of_names(spark, sf_dir):
+    """Where the names that are imported from barrels come from, through renames and stars."""
+    built = _built(spark, sf_dir)
+    wanted = built.edges.where((F.col("kind") == "static") & code.is_barrel_name(F.col("target"))).select(F.col("target").alias("file"), F.explode("names.name").alias("name"))
+    return barrels.origins_of_names(wanted, built.reexports(), built.exports)
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size, (SELECT max(p_partkey) FROM part) AS top FROM part)
+       SELECT 'src/f' || k || '.ts' AS source, './f' || t AS specifier, CASE WHEN t % 11 = 0 OR t NOT IN (SELECT k FROM p) THEN 'unresolved' ELSE 'resolved' END AS status, CASE WHEN t % 11 <> 0 AND t IN (SELECT k FROM p) THEN 'src/f' || t || '.ts' END AS target
+       FROM (SELECT k, CASE WHEN k % 3 = 0 THEN (k * 7) % top + 1 ELSE (k * 3 + p_size) % top + 1 END AS t FROM p WHERE k % 11 <> 0)""")
+def incremental_build(spark, sf_dir):
+    """The state after a stream of file changes that come in any order, some of them twice."""
+    folder = f"{shared_folder(spark)}/tierflow/build-{uuid.uuid4().hex}"
+    log = changes(spark, sf_dir)
+    late = F.expr("pmod(xxhash64(path, version), 3)")
+    for k in range(3):  # a file of the log is a batch; the second has all of the first again
+        log.where(late == k if k != 1 else late <= 1).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    store = build.build_store(spark, f"{folder}/state", fingerprint(RULES), 16)
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    build.watch_files(source, store, None, f"{folder}/checkpoint", once=True).awaitTermination()
+    return build.statuses_of(store)
+
+
+_R_PACKAGE = "CAST(CAST(regexp_extract(source, '([0-9]+)[.]ts$', 1) AS BIGINT) // 48 AS VARCHAR)"
+_R_LAYER = "CASE WHEN {c} LIKE 'src/handlers/%' THEN 'handlers' WHEN {c} LIKE 'src/services/%' THEN 'services' WHEN {c} LIKE 'src/repository/%' THEN 'repository' WHEN {c} LIKE 'src/shared/%' THEN CASE WHEN k % 2 = 0 THEN 'shared' ELSE 'tools' END END"
+_RULES = f"""WITH {_M_FILES}, {_M_EDGES}, e AS (SELECT *, {_R_PACKAGE} AS package, CAST({_R_PACKAGE} AS BIGINT) AS k FROM edges),
+own AS (SELECT *, {_R_LAYER.format(c="source")} AS s, {_R_LAYER.format(c="target")} AS t, CASE k % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' ELSE 'ignore' END AS level FROM e WHERE k % 5 <> 4),
+ok AS (SELECT *, CASE WHEN k % 3 = 0 THEN (s, t) IN (('handlers', 'services'), ('services', 'repository'), ('repository', 'shared'), ('repository', 'tools')) ELSE (s, t) IN (('handlers', 'services'), ('services', 'repository'), ('repository', 'services')) END AS fine FROM own),
+v AS (SELECT package, 'unlayered' AS type, level AS severity FROM ok WHERE s IS NOT NULL AND t IS NULL AND level <> 'ignore'
+  UNION ALL SELECT package, 'flow', 'error' FROM ok WHERE s <> t AND NOT fine
+  UNION ALL SELECT DISTINCT ON (package, source) package, 'unmapped', 'warn' FROM ok WHERE s IS NULL
+  UNION ALL SELECT package, 'importCount', 'warn' FROM ok WHERE k % 2 = 0 GROUP BY package, source HAVING count(*) > 1
+  UNION ALL SELECT package, 'dependentBudget', 'warn' FROM ok WHERE k % 3 = 1 AND s <> t GROUP BY package, t)"""
+
+
+@query(f"{_RULES} SELECT package, type, severity, count(*) AS n FROM v GROUP BY ALL")
+def rules_of_packages(spark, sf_dir):
+    """A rule set for every package, all judged in one plan."""
+    return workspace.check_packages(*rule_tables(spark, sf_dir)).groupBy("package", "type", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_RULES}, every AS (SELECT DISTINCT package FROM own), each AS (SELECT e.package, severity FROM every e LEFT JOIN v ON e.package = v.package)
+       SELECT package, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warnings, count(*) FILTER (severity = 'error') = 0 AS passed FROM each GROUP BY GROUPING SETS ((package), ())""")
+def package_totals(spark, sf_dir):
+    """Errors and warnings of every package and of all together."""
+    tables = rule_tables(spark, sf_dir)
+    return workspace.package_totals(stored(workspace.check_packages(*tables), "packages"), tables[3])
+
+
+_FOLDERS = _FILE_NAMES + ", f AS (SELECT string_split(path, '/') AS p FROM listing WHERE regexp_matches(path, '[.](ts|tsx|js|jsx)$'))"
+
+
+@query(f"WITH {_FOLDERS} SELECT folder, count(*) AS n FROM (SELECT unnest(list_transform(range(len(p)), lambda k: array_to_string(p[1:k], '/'))) AS folder FROM f) GROUP BY 1")
+def folder_counts(spark, sf_dir):
+    """Source files below each folder."""
+    return folders.folder_counts(_listing(spark, sf_dir))
+
+
+@query(f"{_M_CHECKED}, n AS (SELECT type, count(*) AS n FROM violations WHERE type <> 'orphan' GROUP BY 1) SELECT label, n, round(n * 100.0 / (SELECT count(*) FROM violations), 6) AS pct FROM n JOIN (VALUES ('flow', 'Flow'), ('isolation', 'Isolation'), ('circular', 'Circular'), ('unlayered', 'Unlayered'), ('depth', 'Depth'), ('publicApi', 'Public API'), ('dependentBudget', 'Dependents'), ('importCount', 'Import Count'), ('unmapped', 'Unmapped')) l(type, label) USING (type)")
+def type_chart(spark, sf_dir):
+    """Shares of the types of violations, cycles and depth among them."""
+    return report.type_chart(stored(_module_violations(spark, sf_dir), "violations")).withColumn("pct", F.col("pct").cast("double"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports against the declared flow, by pair of layers."""
     return flow_violations(spark, sf_dir).groupBy("src_layer", "dst_layer").agg(F.count("*").alias("n"))
