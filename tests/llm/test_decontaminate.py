@@ -21,11 +21,14 @@ def brute(docs, items):
             sides = []
             for value in (item, text):
                 tokens = value.split()
-                template, slot = D._template(tokens)
-                sides.append([(tuple(template[k : k + size].tolist()), D._slots(tokens, slot, k, size)) for k in range(len(tokens) - size + 1) if (~slot[k : k + size]).sum() >= min(D.WORDS, size)])
+                template, slot, maybe = D._template(tokens)
+                both = []
+                for hashes, flags in ((template, slot), (np.where(maybe, D._SLOTS[1], template), slot | maybe)):
+                    both += [(k, tuple(hashes[k : k + size].tolist()), D._slots(tokens, flags, k, size)) for k in range(len(tokens) - size + 1) if (~flags[k : k + size]).sum() >= min(D.WORDS, size)]
+                sides.append(both)
             at, same, pairs = set(), set(), set()
-            for k, (t, s) in enumerate(sides[0]):
-                for u, v in sides[1]:
+            for k, t, s in sides[0]:
+                for _, u, v in sides[1]:
                     if t == u:
                         at.add(k)
                         pairs |= set(zip(s, v))
@@ -33,8 +36,16 @@ def brute(docs, items):
                             same.add(k)
             good = len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
             found = len(at) if good else len(same)
-            if at and found >= min(D.ENOUGH, np.ceil(len(sides[0]) * D.SHARE)):
-                out.add((d, i, found, len(sides[0]), good and len(at) > len(same)))
+            places = len({k for k, _, _ in sides[0]})
+            if at and found >= min(D.ENOUGH, np.ceil(places * D.SHARE)):
+                out.add((d, i, found, places, good and len(at) > len(same)))
+                continue
+            # otherwise as it stands
+            plain = [[t.strip(D._EDGE).lower() for t in value.split()] for value in (item, text)]
+            own, other = ([tuple(p[k : k + size]) for k in range(len(p) - size + 1)] for p in plain)
+            found = sum(w in set(other) for w in own)
+            if found and found >= min(D.ENOUGH, np.ceil(len(own) * D.SHARE)):
+                out.add((d, i, found, len(own), False))
     return out
 
 
@@ -84,3 +95,11 @@ def test_literal_copies(spark):
     docs = [(k, f"{around} {text} and more of it") for k, text in items] + [(7, around), (8, "12 13 14 15 16 17 18 19 20 21"), (9, "two other words")]
     got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k, _ in items}
+
+
+def test_names_at_the_beginning_and_numbers_in_words(spark):
+    items = [(1, "Tom has 5 red apples and 3 pears"), (2, "five sheep and seven goats graze on the hill all day"), (3, "the")]
+    docs = [(1, "Anna has 7 red apples and 4 pears"), (2, "Question 5 Anna has 7 red apples and 4 pears in a bag"), (3, "We saw it. Otto has 9 red apples and 2 pears"), (4, "six sheep and nine goats graze on the hill all day")]
+    docs += [(5, "Tom has 5 red apples and no pears"), *((k, f"the other text {k} is about the weather") for k in range(10, 30))]
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.renamed) for r in got.collect()} == {(1, 1, True), (2, 1, True), (3, 1, True), (4, 2, True)}

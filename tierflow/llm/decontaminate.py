@@ -25,6 +25,10 @@ from tierflow.shared import stored
 WINDOW, WORDS = 8, 4
 #: An item leaks if this share of its windows is found, or this many windows (together 13 tokens).
 SHARE, ENOUGH = 0.5, 6
+#: An item of fewer tokens than ``WORDS`` is reported only if at most this many documents hold it, or one in so many of all.
+FEW, RARE = 3, 100
+#: Numbers in words (fixed values).
+NUMBERS = frozenset("zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
 #: Bits of the filter that drops windows which no item has. Fixed, so what is broadcast has 1 MB whatever the tables.
 FILTER_BITS = 1 << 23
 #: Units, in lower case (fixed values).
@@ -47,7 +51,7 @@ def _code(token: str) -> int:
     """Hash of the token's word, with its kind and whether it ends a sentence in the last three bits."""
     word = token.strip(_EDGE)
     low = word.lower()
-    if _NUMBER.fullmatch(low):
+    if low in NUMBERS or _NUMBER.fullmatch(low):
         kind = _NUM
     elif low in UNITS:
         kind = _UNIT
@@ -60,10 +64,11 @@ def _code(token: str) -> int:
     return code
 
 
-def _template(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each template token, and whether it is a placeholder.
+def _template(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each template token, whether it is a placeholder, and whether it may be a name although it begins a sentence.
 
-    A capital makes a name only inside a sentence; a unit has to follow a number.
+    A capital makes a name inside a sentence; at the beginning of one it may be a word or a
+    name, so both readings have windows. A unit has to follow a number.
     """
     codes = np.fromiter(((_codes.get(t) or _code(t)) for t in tokens), np.uint64, len(tokens))
     kinds = (codes & np.uint64(3)).astype(np.int8)
@@ -74,21 +79,31 @@ def _template(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for kind, where in ((_CAPITAL, (kinds == _CAPITAL) & ~before_end), (_NUM, kinds == _NUM), (_UNIT, (kinds == _UNIT) & before_num)):
         out[where] = _SLOTS[kind]
         slot |= where
-    return out, slot
+    return out, slot, (kinds == _CAPITAL) & before_end
 
 
 def _windows(text: str | None, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """For each size: window hashes, their positions, the placeholder flags of all tokens, and the tokens."""
+    """For each size and reading: window hashes, their positions, the placeholder flags of all tokens, and the tokens.
+
+    The second reading has only the windows that it makes different.
+    """
     tokens = text.split() if text else []
     if not tokens:
         return
-    template, slot = _template(tokens)
-    words = np.concatenate([[0], np.cumsum(~slot)])
-    for size in sizes:
-        if len(tokens) >= size:
-            found = mixed(run_hashes(template, size) + np.uint64(size))
-            at = np.flatnonzero(words[size:] - words[:-size] >= min(WORDS, size))
-            yield size, found[at], at, slot, tokens
+    template, slot, maybe = _template(tokens)
+    readings = [(template, slot, None)]
+    if maybe.any():
+        readings.append((np.where(maybe, _SLOTS[_CAPITAL], template), slot | maybe, np.concatenate([[0], np.cumsum(maybe)])))
+    for hashes, flags, other in readings:
+        words = np.concatenate([[0], np.cumsum(~flags)])
+        for size in sizes:
+            if len(tokens) >= size:
+                fit = words[size:] - words[:-size] >= min(WORDS, size)
+                if other is not None:
+                    fit &= other[size:] > other[:-size]
+                at = np.flatnonzero(fit)
+                if len(at):
+                    yield size, mixed(run_hashes(hashes, size) + np.uint64(size))[at], at, flags, tokens
 
 
 def _literal_windows(tokens: list[str], sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -112,8 +127,10 @@ def _item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").split()
                 size = min(WINDOW, len(words))
-                for _, found, at, slot, tokens in _windows(text, [size] if size >= WORDS else []):
-                    rows += [(h, item, k, len(found), _slots(tokens, slot, k, size), size, False) for h, k in zip(found.view(np.int64).tolist(), at.tolist())]
+                readings = list(_windows(text, [size] if size >= WORDS else []))
+                places = len({k for _, _, at, _, _ in readings for k in at.tolist()})
+                for _, found, at, slot, tokens in readings:
+                    rows += [(h, item, k, places, _slots(tokens, slot, k, size), size, False) for h, k in zip(found.view(np.int64).tolist(), at.tolist())]
                 for _, found in _literal_windows(words, [size] if size else []):
                     rows += [(h, item, k, len(found), [], size, True) for k, h in enumerate(found.view(np.int64).tolist())]
             columns = list(zip(*rows)) or [()] * 7
@@ -142,8 +159,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     one-to-one over all of them or over those of one occurrence of the item in the
     document (then ``renamed`` is true). Literal windows of the lower-cased tokens, with
     no least number of words, find copies that the templates leave out: tables,
-    arithmetic, titles in capitals and items of few tokens. Rows with the same id
-    count as one document. Null and empty texts hold nothing, null items are in
+    arithmetic, titles in capitals and items of few tokens; items of fewer than ``WORDS``
+    tokens only if they are rare (``FEW``, ``RARE``). Rows with the same id count as one document. Null and empty texts hold nothing, null items are in
     nothing; empty tables give no pairs; other columns are not read.
 
     Windows go through a filter of fixed size before they are shuffled, so only
@@ -202,6 +219,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     )
     found = F.when(one_to_one, F.col("n_all")).otherwise(F.greatest("n_same", "n_best"))
     passed = both.withColumn("n_found", found).where(F.col("n_found") >= F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * SHARE)))
+    # short items that stand everywhere tell nothing
+    short = items.where("literal").groupBy("item_id").agg((F.max("size") < WORDS).alias("short")).where("short")
+    common = passed.where("literal").join(short, "item_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("held")).where(F.col("held") > max(FEW, docs.count() // RARE))
+    passed = passed.join(common.select("item_id", F.lit(True).alias("literal")), ["item_id", "literal"], "left_anti")
     # templates go first; what only literal windows find is reported by those
     kept = F.struct("literal", "n_found", F.col("n_windows").cast("long").alias("n_windows"), (F.col("n_found") > F.col("n_same")).alias("renamed"))
     return passed.groupBy("doc_id", "item_id").agg(F.min(kept).alias("kept")).select("doc_id", "item_id", "kept.n_found", "kept.n_windows", "kept.renamed")
