@@ -35,13 +35,13 @@ from tierflow.llm.batches import bounded, slices
 from tierflow.shared import stored
 
 #: Labelled examples of each class at most; those with the smallest hash of their id.
-EXAMPLES = 3000
+EXAMPLES = 2000
 #: Neighbours that vote, and what is added to a neighbour's squared distance before its vote is divided by it.
 NEIGHBOURS, NEAR = 15, 0.1
 #: Raises of the weight of a term that goes with the label entirely, from which the examples choose.
 BOOSTS = (0.0, 20.0, 200.0)
 #: Examples of a block; a term is common in more than one example of ``COMMON``, and so are ``TILE`` terms at most.
-BLOCK, COMMON, TILE = 64, 32, 1024
+BLOCK, COMMON, TILE = 64, 32, 512
 #: Queries of a batch.
 QUERIES = 128
 #: Documents with this score or more count as toxic.
