@@ -130,3 +130,18 @@ def test_imports_of_texts(spark):
     text = "import a from './a';\n// import no from './no';\nimport type { T } from \"./t\";\n/* require('./no') */\nexport * from './e';\nconst r = require('./r'); import('./d');\nimport './s';\n"
     got = {(r.specifier, r.kind, r.is_type_only, r.line) for r in code.imports(spark.createDataFrame([("x.ts", text), ("y.ts", None)], "path string, content string")).collect()}
     assert got == {("./a", "static", False, 1), ("./t", "static", True, 3), ("./e", "reexport", False, 5), ("./r", "require", False, 6), ("./d", "dynamic", False, 6), ("./s", "static", False, 7)}
+
+
+def test_flow_rules_as_rows(spark):
+    texts = ["a -> b", "a->b -> c", " a <-> b ", "", " ", "a", "a -> ", "-> b", "a <- b", "a --> b", "a <-> b <-> c", "a <-> b -> c", None]
+    found = {}
+    for r in ruleset.flow_pairs(spark.createDataFrame([(t,) for t in texts], "rule string")).collect():
+        found.setdefault(r.rule, []).append((r.from_layer, r.to_layer))
+
+    def parsed(text):
+        try:
+            return ruleset.parse_flow(text or "")
+        except ruleset.FlowError:
+            return []
+
+    assert found == {t: parsed(t) for t in texts if parsed(t)}

@@ -633,6 +633,75 @@ def type_chart(spark, sf_dir):
     return report.type_chart(stored(_module_violations(spark, sf_dir), "violations")).withColumn("pct", F.col("pct").cast("double"))
 
 
+_TRIED = "part p, (VALUES (0, ['.js', '.mts'], '.js'), (1, ['.mts', '/index.ts'], '/index.ts'), (2, ['.jsx', '.d.ts'], '.d.ts'), (3, ['.cjs', '.mjs'], '.mjs'), (4, ['/index.cjs', ''], '/index.cjs'), (5, ['/index.mts', '.cts', '/index.jsx'], '/index.jsx')) t(k, ends, first)"
+
+
+@query(f"SELECT './x' || p_partkey AS specifier, 'a/x' || p_partkey || first AS target FROM {_TRIED} WHERE p_partkey % 6 = k")
+def resolve_order(spark, sf_dir):
+    """Of several files that an import may stand for, the one that is tried first."""
+    ends = F.expr("case p_partkey % 6 when 0 then array('.js', '.mts') when 1 then array('.mts', '/index.ts') when 2 then array('.jsx', '.d.ts') when 3 then array('.cjs', '.mjs') when 4 then array('/index.cjs', '') else array('/index.mts', '.cts', '/index.jsx') end")
+    part = table(spark, sf_dir, "part").select("p_partkey", ends.alias("ends"))
+    names = part.select(F.expr("inline(transform(ends, e -> named_struct('path', concat('a/x', p_partkey, e))))"))
+    imports = part.select(F.lit("a/m.ts").alias("source"), F.expr("concat('./x', p_partkey)").alias("specifier"))
+    return resolve.resolved(imports, names).select("specifier", "target")
+
+
+_WORKSPACE = """w AS (SELECT s_suppkey AS k, '@n' || s_nationkey || '/s' || s_suppkey AS name, CASE s_suppkey % 4 WHEN 0 THEN 'packages/s' WHEN 1 THEN 'deep/n' || s_nationkey || '/s' WHEN 2 THEN 'other/s' ELSE 'deep/node_modules/s' END || s_suppkey AS folder,
+  CASE s_suppkey % 3 WHEN 0 THEN './src/a.ts' WHEN 1 THEN './i.ts' ELSE 'm.ts' END AS main FROM supplier)"""
+
+
+def _workspace(spark, sf_dir):
+    """Texts of a workspace with a package for each supplier."""
+    folder = "concat(case s_suppkey % 4 when 0 then 'packages/s' when 1 then concat('deep/n', s_nationkey, '/s') when 2 then 'other/s' else 'deep/node_modules/s' end, s_suppkey)"
+    main = """case s_suppkey % 3 when 0 then '"exports": {".": "./src/a.ts"}, "main": "no.js"' when 1 then '"exports": {".": {"require": "./r.ts", "import": "./i.ts"}}' else '"exports": {"./x": "./x.ts"}, "main": "m.ts"' end"""
+    each = table(spark, sf_dir, "supplier").select(F.expr(f"concat({folder}, '/package.json')").alias("path"), F.expr(f"""concat('{{"name": "@n', s_nationkey, '/s', s_suppkey, '", ', {main}, '}}')""").alias("content"))
+    return each.union(spark.createDataFrame([("package.json", '{"name": "root", "workspaces": {"packages": ["packages/*", "deep/**"]}}')], "path string, content string"))
+
+
+@query(f"WITH {_WORKSPACE} SELECT name, folder, main, CAST(k % 4 AS INTEGER) AS nth FROM w WHERE k % 4 < 2")
+def workspace_packages(spark, sf_dir):
+    """Packages whose folders fit a workspace's patterns, with their main files."""
+    texts = _workspace(spark, sf_dir)
+    return workspace.packages_of(texts, workspace.patterns_of(texts))
+
+
+@query(f"""WITH {_WORKSPACE}, i AS (SELECT 'm' || p_partkey || '.ts' AS source, w.*, p_partkey % 2 = 0 AS inner_ FROM part JOIN w ON p_partkey % (SELECT count(*) FROM w) + 1 = k)
+           SELECT source, name || CASE WHEN inner_ THEN '/tools' ELSE '' END AS specifier, CASE WHEN k % 4 < 2 THEN 'resolved' ELSE 'external' END AS status, CASE WHEN k % 4 < 2 THEN folder || '/' || CASE WHEN inner_ THEN 'tools/index.tsx' ELSE ltrim(main, './') END END AS target FROM i""")
+def package_imports(spark, sf_dir):
+    """Imports of a workspace's packages, by name and of what is in them."""
+    texts = _workspace(spark, sf_dir)
+    packages = workspace.packages_of(texts, workspace.patterns_of(texts))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("concat('@n', s_nationkey, '/s', s_suppkey)").alias("name"))
+    n = supplier.agg(F.count("*").alias("n"))
+    part = table(spark, sf_dir, "part").crossJoin(F.broadcast(n)).select("p_partkey", (F.col("p_partkey") % F.col("n") + 1).alias("s_suppkey"))  # one row
+    imports = part.join(supplier, "s_suppkey").select(F.expr("concat('m', p_partkey, '.ts')").alias("source"), F.expr("concat(name, if(p_partkey % 2 = 0, '/tools', ''))").alias("specifier"))
+    names = packages.select(F.expr("inline(array(named_struct('path', concat(folder, '/tools/index.tsx')), named_struct('path', concat(folder, '/tools.ts')), named_struct('path', concat(folder, '/', regexp_replace(main, '^[.]/', '')))))"))
+    return resolve.resolved(imports, names, packages=packages)
+
+
+_NAMES = ["app", "pages", "components", "hooks", "utils", "lib", "services", "api", "types", "stores", "legacy", "tools"]
+_AREAS = f"""f AS (SELECT {_NAMES}[p_partkey % 12 + 1] AS name, p_partkey % 3 = 0 AS top FROM part),
+c AS (SELECT 'src' AS path, 'src' AS name, count(*) AS n FROM f WHERE NOT top HAVING count(*) > 0 UNION ALL SELECT CASE WHEN top THEN '' ELSE 'src/' END || name, name, count(*) FROM f GROUP BY top, name),
+r AS (SELECT path, name, name NOT IN ('legacy', 'tools') AS is_common, n, CAST(row_number() OVER (ORDER BY name IN ('legacy', 'tools'), n DESC, path) AS INTEGER) AS rank FROM c)"""
+
+
+def _areas(spark, sf_dir):
+    names = F.expr(f"concat(if(p_partkey % 3 = 0, '', 'src/'), element_at(array({', '.join(map(repr, _NAMES))}), cast(p_partkey % 12 + 1 as int)), if(p_partkey % 5 = 0, '/in/', '/'), 'p', p_partkey, '.ts')")
+    return table(spark, sf_dir, "part").select(names.alias("path"))
+
+
+@query(f"WITH {_AREAS} SELECT path, name, is_common, n, rank FROM r")
+def layer_candidates(spark, sf_dir):
+    """Folders that look like layers, in order."""
+    return folders.layer_candidates(_areas(spark, sf_dir)).select("path", "name", "is_common", "n", "rank")
+
+
+@query(f"""WITH {_AREAS} SELECT a || CASE WHEN twoway THEN ' <-> ' ELSE ' -> ' END || b AS rule FROM (VALUES {", ".join(f"('{a}', '{b}', {both})" for both, pairs in (("false", dict.fromkeys(folders.FLOW)), ("true", folders.BOTH)) for a, b in pairs)}) t(a, b, twoway) WHERE a IN (SELECT name FROM r) AND b IN (SELECT name FROM r)""")
+def suggested_flow(spark, sf_dir):
+    """Usual flow between the folders that there are."""
+    return folders.suggested_flow(folders.layer_candidates(_areas(spark, sf_dir)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports against the declared flow, by pair of layers."""
     return flow_violations(spark, sf_dir).groupBy("src_layer", "dst_layer").agg(F.count("*").alias("n"))

@@ -15,7 +15,8 @@ def watch(log: DataFrame, rules: RuleSet, report: Callable[[DataFrame, int], Non
     """Start a query over a stream of edges (the imports of files as they change); ``report`` gets each batch's violations.
 
     Changes that arrive within the interval are one batch, so bursts of events are
-    evaluated once. A restarted query goes on from its checkpoint.
+    evaluated once. A restarted query goes on from its checkpoint. Versions count inside
+    a batch only; :func:`tierflow.streaming.build.watch_files` remembers them across batches.
     """
     def batch(edges: DataFrame, n: int) -> None:
         # the last state of a file within the batch counts
