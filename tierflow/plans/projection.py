@@ -59,15 +59,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     with_part = lines.join(own["part"], lines.l_partkey == own["part"].p_partkey)
     after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_shipdate")
-    chains = with_part.select("p_path", F.lead("p_path").over(after).alias("next")).where("next is not null")
+    # an edge to the part and one from it to the next part of the order, from the same row
+    plain_next = F.struct(F.col("p_path").alias("source"), F.col("next").alias("target"), F.lit("next").alias("specifier"), *plain)
+    own_part = F.struct(order("l_orderkey").alias("source"), F.col("p_path").alias("target"), F.lit("part").alias("specifier"), (F.col("l_linestatus") == "O").alias("is_type_only"), kinds.alias("kind"), F.col("l_linenumber").cast("int").alias("line"))
+    lined = with_part.withColumn("next", F.lead("p_path").over(after)).select(F.inline(F.when(F.col("next").isNull(), F.array(own_part)).otherwise(F.array(own_part, plain_next))))
     supplied = with_part.select("p_path", F.col("l_suppkey").alias("s_suppkey")).distinct().join(own["supplier"], "s_suppkey")
     back = lines.where("l_discount >= 0.1 and l_returnflag = 'R'").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(own["supplier"], "s_suppkey")
     parts = [
         orders.select(F.col("c_path").alias("source"), order("o_orderkey").alias("target"), F.lit("order").alias("specifier"), *plain),
-        with_part.select(order("l_orderkey").alias("source"), F.col("p_path").alias("target"), F.lit("part").alias("specifier"), (F.col("l_linestatus") == "O").alias("is_type_only"), kinds.alias("kind"), F.col("l_linenumber").cast("int").alias("line")),
+        lined,
         supplied.select(F.col("p_path").alias("source"), F.col("s_path").alias("target"), F.lit("supplier").alias("specifier"), *plain),
         back.select(F.col("s_path").alias("source"), order("l_orderkey").alias("target"), F.lit("back").alias("specifier"), *plain),
-        chains.select(F.col("p_path").alias("source"), F.col("next").alias("target"), F.lit("next").alias("specifier"), *plain),
     ]
     out = parts[0]
     for more in parts[1:]:
