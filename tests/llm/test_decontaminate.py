@@ -21,7 +21,7 @@ def brute(docs, items):
             sides = []
             for value in (item, text):
                 tokens = value.split()
-                template, slot, maybe = D._template(tokens)
+                template, slot, maybe = D._template(D._coded(tokens))
                 both = []
                 for hashes, flags in ((template, slot), (np.where(maybe, D._SLOTS[1], template), slot | maybe)):
                     both += [(k, tuple(hashes[k : k + size].tolist()), D._slots(tokens, flags, k, size)) for k in range(len(tokens) - size + 1) if (~flags[k : k + size]).sum() >= min(D.WORDS, size)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.llm.batches import bounded, slices
-from tierflow.llm.words import mixed, run_hashes
+from tierflow.llm.words import mixed
 from tierflow.shared import stored
 
 #: Tokens of a window, and how many of them have to be words.
@@ -44,7 +44,37 @@ _CAPITAL, _NUM, _UNIT, _END = 1, 2, 3, 4
 _FLAGS = np.uint64(7)
 _LITERAL = np.uint64(0x6C69746572616C)
 _SLOTS = {_CAPITAL: np.uint64(8 * 0x51ED27), _NUM: np.uint64(8 * 0x2545F49), _UNIT: np.uint64(8 * 0x9E3779B)}
-_codes: dict[str, int] = {}
+#: An odd factor and its inverse modulo 2 ** 64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class _Codes(dict):
+    """Codes of tokens, remembered up to a bound."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        self[token] = code = _code(token)
+        return code
+
+
+_codes = _Codes()
+
+
+def _coded(tokens: list[str]) -> np.ndarray:
+    return np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` codes: sums of codes times powers of their place, modulo 2 ** 64, moved to the beginning."""
+    while len(_powers[0]) <= len(codes):
+        for k, factor in enumerate((_FACTOR, _INVERSE)):
+            step = np.uint64(pow(factor, len(_powers[k]), 1 << 64))
+            _powers[k] = np.concatenate([_powers[k], _powers[k] * step])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers[0][: len(codes)], dtype=np.uint64)])
+    return mixed((sums[size:] - sums[:-size]) * _powers[1][: len(codes) - size + 1] + np.uint64(size))
 
 
 def _code(token: str) -> int:
@@ -57,61 +87,54 @@ def _code(token: str) -> int:
         kind = _UNIT
     else:
         kind = _CAPITAL if word[:1].isupper() else 0
-    code = (xxhash.xxh64_intdigest(low.encode("utf-8")) & ~7) | kind | (_END if token[-1] in ".!?:" else 0)
-    if len(_codes) >= _CACHE:
-        _codes.clear()
-    _codes[token] = code
-    return code
+    return (xxhash.xxh64_intdigest(low.encode("utf-8")) & ~7) | kind | (_END if token[-1] in ".!?:" else 0)
 
 
-def _template(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _template(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each template token, whether it is a placeholder, and whether it may be a name although it begins a sentence.
 
     A capital makes a name inside a sentence; at the beginning of one it may be a word or a
     name, so both readings have windows. A unit has to follow a number.
     """
-    codes = np.fromiter(((_codes.get(t) or _code(t)) for t in tokens), np.uint64, len(tokens))
     kinds = (codes & np.uint64(3)).astype(np.int8)
     ends = (codes & np.uint64(_END)) != 0
     before_end, before_num = np.concatenate([[True], ends[:-1]]), np.concatenate([[False], kinds[:-1] == _NUM])
     out = codes & ~_FLAGS
-    slot = np.zeros(len(tokens), bool)
+    slot = np.zeros(len(codes), bool)
     for kind, where in ((_CAPITAL, (kinds == _CAPITAL) & ~before_end), (_NUM, kinds == _NUM), (_UNIT, (kinds == _UNIT) & before_num)):
         out[where] = _SLOTS[kind]
         slot |= where
     return out, slot, (kinds == _CAPITAL) & before_end
 
 
-def _windows(text: str | None, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """For each size and reading: window hashes, their positions, the placeholder flags of all tokens, and the tokens.
+def _windows(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size and reading: window hashes, their positions and the placeholder flags of all tokens.
 
     The second reading has only the windows that it makes different.
     """
-    tokens = text.split() if text else []
-    if not tokens:
+    if not len(codes):
         return
-    template, slot, maybe = _template(tokens)
+    template, slot, maybe = _template(codes)
     readings = [(template, slot, None)]
     if maybe.any():
         readings.append((np.where(maybe, _SLOTS[_CAPITAL], template), slot | maybe, np.concatenate([[0], np.cumsum(maybe)])))
     for hashes, flags, other in readings:
         words = np.concatenate([[0], np.cumsum(~flags)])
         for size in sizes:
-            if len(tokens) >= size:
+            if len(codes) >= size:
                 fit = words[size:] - words[:-size] >= min(WORDS, size)
                 if other is not None:
                     fit &= other[size:] > other[:-size]
                 at = np.flatnonzero(fit)
                 if len(at):
-                    yield size, mixed(run_hashes(hashes, size) + np.uint64(size))[at], at, flags, tokens
+                    yield size, _rolled(hashes, size)[at], at, flags
 
 
-def _literal_windows(tokens: list[str], sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+def _literal_windows(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each size: hashes of all windows of lower-cased tokens as they stand, whatever their kinds."""
-    codes = np.fromiter(((_codes.get(t) or _code(t)) for t in tokens), np.uint64, len(tokens)) & ~_FLAGS
     for size in sizes:
-        if len(tokens) >= size:
-            yield size, mixed(mixed(run_hashes(codes, size) + _LITERAL) + np.uint64(size))
+        if len(codes) >= size:
+            yield size, _rolled((codes & ~_FLAGS) + _LITERAL, size)
 
 
 def _slots(tokens: list[str], slot: np.ndarray, at: int, size: int) -> list[str]:
@@ -127,11 +150,12 @@ def _item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").split()
                 size = min(WINDOW, len(words))
-                readings = list(_windows(text, [size] if size >= WORDS else []))
-                places = len({k for _, _, at, _, _ in readings for k in at.tolist()})
-                for _, found, at, slot, tokens in readings:
-                    rows += [(h, item, k, places, _slots(tokens, slot, k, size), size, False) for h, k in zip(found.view(np.int64).tolist(), at.tolist())]
-                for _, found in _literal_windows(words, [size] if size else []):
+                codes = _coded(words)
+                readings = list(_windows(codes, [size] if size >= WORDS else []))
+                places = len({k for _, _, at, _ in readings for k in at.tolist()})
+                for _, found, at, slot in readings:
+                    rows += [(h, item, k, places, _slots(words, slot, k, size), size, False) for h, k in zip(found.view(np.int64).tolist(), at.tolist())]
+                for _, found in _literal_windows(codes, [size] if size else []):
                     rows += [(h, item, k, len(found), [], size, True) for k, h in enumerate(found.view(np.int64).tolist())]
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_()]
@@ -185,12 +209,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").split()
+                codes = _coded(words)
                 # positions of different texts of one id lie far apart
                 begin = xxhash.xxh64_intdigest((text or "").encode("utf-8")) >> 2
-                for size, found, at, slot, tokens in _windows(text, sizes):
+                for size, found, at, slot in _windows(codes, sizes):
                     hit = known_of(found)
-                    rows += [(h, doc, begin + k, _slots(tokens, slot, k, size)) for h, k in zip(found[hit].view(np.int64).tolist(), at[hit].tolist())]
-                for size, found in _literal_windows(words, literal_sizes):
+                    rows += [(h, doc, begin + k, _slots(words, slot, k, size)) for h, k in zip(found[hit].view(np.int64).tolist(), at[hit].tolist())]
+                for size, found in _literal_windows(codes, literal_sizes):
                     hit = known_of(found)
                     rows += [(h, doc, begin + k, []) for h, k in zip(found[hit].view(np.int64).tolist(), hit.tolist())]
             columns = list(zip(*rows)) or [()] * 4
