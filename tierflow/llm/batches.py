@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,3 +36,12 @@ def fresh(name: str, columns: list[str]) -> str:
         k += 1
         own = f"{name}{k}"
     return own
+
+
+def released() -> None:
+    """Give memory that a finished task held back to the system, since the worker stays and other stages run in it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most systems has it
+    if trim:
+        trim(0)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tierflow.llm.batches import bounded, slices
+from tierflow.llm.batches import bounded, released, slices
 
 #: Entries that a worker's cache of encoded chunks may hold before it is emptied.
 CACHE_ENTRIES = 120_000
@@ -329,6 +329,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                     columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"))))
                 at += len(group)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        # a vocabulary takes seconds to make, but as much memory as a task of another stage may need
+        encoder = None
+        _worker_encoder.cache_clear()
+        released()
 
     bounded(docs.sparkSession)
     picked = docs.select(id_col, text_col)

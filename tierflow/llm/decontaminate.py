@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.llm.batches import bounded, slices
+from tierflow.llm.batches import bounded, released, slices
 from tierflow.llm.words import mixed
 from tierflow.shared import stored
 
@@ -221,6 +221,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             columns = list(zip(*rows)) or [()] * 4
             kinds = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["window", "doc_id", "doc_at", "doc_slots"])
+        _codes.clear()
+        released()
 
     picked = docs.select(id_col, text_col)
     hits = picked.mapInArrow(run, f"window long, doc_id {picked.schema[id_col].dataType.simpleString()}, doc_at long, doc_slots array<string>")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.llm.batches import bounded, slices
+from tierflow.llm.batches import bounded, released, slices
 from tierflow.shared import stored
 
 #: Labelled examples of each class at most; those with the smallest hash of their id.
@@ -343,6 +343,7 @@ def _votes(every: DataFrame, index: Index, kind: str) -> tuple[np.ndarray, np.nd
                 at, similarity = at[~alone][:NEIGHBOURS], similarity[~alone][:NEIGHBOURS]
                 out += [(own.vote(at, similarity, (here, k)), k, n * own.class_weights[k]) for k, n in ((0, n_zero), (1, n_one)) if n]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.float64(), pa.int32(), pa.float64()))], names=["vote", "label", "weight"])
+        released()
 
     rows = every.select("doc_id", "ones", "zeros", "terms", "counts").mapInArrow(run, "vote double, label int, weight double").toArrow()
     shared.destroy()
@@ -393,5 +394,6 @@ def without_toxic(docs: DataFrame, index: Index) -> DataFrame:
         for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([score < TOXIC for score, _, _ in shared.value.score(texts)], pa.bool_()))
+        released()
 
     return docs.mapInArrow(run, docs.schema)
