@@ -41,6 +41,24 @@ def annotation(level: Column | None = None) -> Column:
     return F.concat(F.lit("::"), level, F.lit(" file="), F.coalesce("source_file", F.lit("")), F.lit(",line="), F.coalesce(F.col("line"), F.lit(1)).cast("string"), F.lit(",title="), F.col("type"), F.lit("::"), F.col("message"))
 
 
+def title() -> Column:
+    """A short title for each violation in a CI log."""
+    kind = F.col("type")
+    return (
+        F.when(kind == "flow", F.concat(F.lit("Layer violation: "), F.coalesce("source_layer", F.lit("")), F.lit(" → "), F.coalesce("target_layer", F.lit("")))).when(kind == "isolation", "Feature isolation violation")
+        .when(kind == "circular", "Circular dependency").when(kind == "unmapped", "Unmapped file").otherwise("Architecture violation")
+    )
+
+
+def ci_lines(violations: DataFrame) -> DataFrame:
+    """``line``: an annotation for each violation and, with ``kind`` notice, one of how many there are."""
+    level = F.when(F.col("severity") == "error", "error").otherwise("warning")
+    each = F.concat(F.lit("::"), level, F.lit(" file="), F.coalesce("source_file", F.lit("")), F.lit(",line="), F.coalesce(F.col("line"), F.lit(1)).cast("string"), F.lit(",title="), title(), F.lit("::"), F.coalesce("message", F.lit("")))
+    counts = violations.agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warn").alias("w"))
+    summary = F.when(F.col("n") > 0, F.format_string("::notice::Found %d violation(s): %d error(s), %d warning(s)", "n", "e", "w")).otherwise("::notice::No architectural violations found")
+    return violations.select(F.lit("annotation").alias("kind"), each.alias("line")).union(counts.select(F.lit("notice"), summary))
+
+
 #: Types of the chart with their labels; orphans are not shown (fixed values).
 LABELS = {"flow": "Flow", "isolation": "Isolation", "circular": "Circular", "unlayered": "Unlayered", "depth": "Depth", "publicApi": "Public API", "dependentBudget": "Dependents", "importCount": "Import Count", "unmapped": "Unmapped"}
 

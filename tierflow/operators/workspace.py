@@ -125,3 +125,33 @@ def package_totals(violations: DataFrame, limits: DataFrame) -> DataFrame:
     each = limits.select("package").join(violations.select("package", "severity"), "package", "left")
     errors, warnings = F.count_if(F.col("severity") == "error"), F.count_if(F.col("severity") == "warn")
     return each.groupingSets([["package"], []], "package").agg(errors.alias("errors"), warnings.alias("warnings"), (errors == 0).alias("passed"))
+
+
+def frameworks_of(files: DataFrame) -> DataFrame:
+    """``project, framework, typescript`` of projects from their files (project, path, content); the content matters for ``package.json`` only.
+
+    The first that fits counts: configuration files of Next, Vite, Angular and Nuxt, then what the package depends on. All
+    projects are judged in one aggregation.
+    """
+    path = F.col("path")
+    has = lambda condition: F.coalesce(F.bool_or(condition), F.lit(False))
+    depends = F.when(path == "package.json", F.map_keys(F.map_concat(*(F.coalesce(F.from_json(F.get_json_object("content", f"$.{k}"), "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")) for k in ("dependencies", "devDependencies")))))
+    rows = files.withColumn("needs", F.coalesce(depends, F.array().cast("array<string>")))
+    needs = lambda *names: has(F.arrays_overlap("needs", F.array(*map(F.lit, names))))
+    flags = rows.groupBy("project").agg(
+        has(path == "tsconfig.json").alias("typescript"), has(path.rlike("^next[.]config[.](ts|js|mjs)$")).alias("next"), has(path.rlike("^(src/)?app/")).alias("app"), has(path.rlike("^(src/)?pages/")).alias("pages"),
+        has(path.rlike("^vite[.]config[.](ts|js|mjs)$")).alias("vite"), has(path == "angular.json").alias("angular"), has(path.rlike("^nuxt[.]config[.](ts|js)$")).alias("nuxt"),
+        needs("next").alias("on_next"), needs("vue", "nuxt").alias("on_vue"), needs("@angular/core").alias("on_angular"), needs("express", "fastify", "koa").alias("on_node"),
+    )
+    kind = (
+        F.when(F.col("next"), F.when(F.col("app") | ~F.col("pages"), "nextjs-app").otherwise("nextjs-pages")).when(F.col("vite"), "vite-react").when(F.col("angular"), "angular").when(F.col("nuxt"), "vue")
+        .when(F.col("on_next"), F.when(F.col("app"), "nextjs-app").otherwise("nextjs-pages")).when(F.col("on_vue"), "vue").when(F.col("on_angular"), "angular").when(F.col("on_node"), "node").otherwise("unknown")
+    )
+    return flags.select("project", kind.alias("framework"), "typescript")
+
+
+def package_called(packages: DataFrame, name_or_path: str) -> DataFrame:
+    """The package (name, folder) with this name, otherwise the first one whose folder is this path or ends with it."""
+    path = name_or_path.replace("\\", "/")
+    rank = F.when(F.col("name") == name_or_path, 0).when((F.col("folder") == path) | F.col("folder").endswith(f"/{path}"), 1)
+    return packages.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "nth").limit(1).drop("_rank")

@@ -6,7 +6,7 @@ import dataclasses
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierflow.functions import paths
@@ -15,7 +15,7 @@ from tierflow.plans.projection import RULES, changes, edges, files, module_edges
 from tierflow.plans import project, ruleset
 from tierflow.plans.ruleset import RuleSet
 from tierflow.shared import shared_folder, stored
-from tierflow.sources import code
+from tierflow.sources import code, history
 from tierflow.sources.store import fingerprint
 from tierflow.streaming import build
 
@@ -702,6 +702,37 @@ def suggested_flow(spark, sf_dir):
     return folders.suggested_flow(folders.layer_candidates(_areas(spark, sf_dir)))
 
 
+@query(f"""{_M_CHECKED.replace("SELECT outcome AS type, 'error' AS severity, source AS source_file, target AS target_file, s_layer AS source_layer, line FROM", "SELECT outcome AS type, 'error' AS severity, source AS source_file, CASE WHEN outcome = 'flow' THEN t_layer END AS target_file, s_layer AS source_layer, line FROM")}
+       SELECT '::' || CASE severity WHEN 'error' THEN 'error' ELSE 'warning' END || ' file=' || source_file || ',line=' || coalesce(line, 1) || ',title=' || CASE type WHEN 'flow' THEN 'Layer violation: ' || source_layer || ' → ' || target_file WHEN 'isolation' THEN 'Feature isolation violation' WHEN 'circular' THEN 'Circular dependency' WHEN 'unmapped' THEN 'Unmapped file' ELSE 'Architecture violation' END AS note, count(*) AS n FROM violations GROUP BY 1
+       UNION ALL SELECT '::notice::Found ' || count(*) || ' violation(s): ' || count(*) FILTER (severity = 'error') || ' error(s), ' || count(*) FILTER (severity = 'warn') || ' warning(s)', 1 FROM violations""")
+def ci_report(spark, sf_dir):
+    """The lines of a CI log up to their messages, with the closing notice."""
+    lines = report.ci_lines(stored(_module_violations(spark, sf_dir), "violations"))
+    note = F.when(F.col("kind") == "notice", F.col("line")).otherwise(F.regexp_extract("line", "^(::[^:]*(: [^:]*)?)::", 1))
+    return lines.select(note.alias("note")).groupBy("note").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS project, CASE c_custkey % 9 WHEN 0 THEN 'nextjs-app' WHEN 1 THEN 'nextjs-pages' WHEN 2 THEN 'vite-react' WHEN 3 THEN 'angular' WHEN 4 THEN 'vue' WHEN 5 THEN 'nextjs-pages' WHEN 6 THEN 'vue' WHEN 7 THEN 'node' ELSE 'unknown' END AS framework, c_custkey % 2 = 0 AS typescript FROM customer""")
+def frameworks_of_projects(spark, sf_dir):
+    """What framework each project uses, by its files and dependencies."""
+    paths = "case c_custkey % 9 when 0 then array('next.config.mjs', 'pages/a.tsx', 'src/app/x.tsx') when 1 then array('next.config.js', 'src/pages/b.tsx') when 2 then array('vite.config.ts', 'angular.json') when 3 then array('angular.json', 'nuxt.config.js') when 4 then array('nuxt.config.ts') else array('src/a.ts') end"
+    needs = "case c_custkey % 9 when 5 then '\"dependencies\": {\"next\": \"1\", \"vue\": \"1\"}' when 6 then '\"devDependencies\": {\"nuxt\": \"1\"}' when 7 then '\"dependencies\": {\"koa\": \"1\"}, \"devDependencies\": {\"x\": \"1\"}' else '\"name\": \"express\"' end"
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("project"), F.expr(f"concat({paths}, if(c_custkey % 2 = 0, array('tsconfig.json'), array()), array('package.json'))").alias("paths"), F.expr(f"concat('{{', {needs}, '}}')").alias("text"))
+    files = customer.select("project", F.explode("paths").alias("path"), "text").select("project", "path", F.when(F.col("path") == "package.json", F.col("text")).alias("content"))
+    return workspace.frameworks_of(files)
+
+
+@query(f"WITH {_HISTORY}, d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, total, row_number() OVER (ORDER BY ts) AS k FROM history) SELECT day || 'T00:00:00Z' AS timestamp, day AS date, total, CASE WHEN k % 3 = 0 THEN 0 ELSE k END AS files FROM d")
+def history_points(spark, sf_dir):
+    """Points of a history from JSON texts of three shapes."""
+    days = _history(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "total", F.row_number().over(Window.orderBy("ts")).alias("k"))  # one row a day
+    counts = "concat('{\"total\": ', total, '}')"
+    point = f"concat('{{\"timestamp\": \"', day, 'T00:00:00Z\", ', if(k % 3 = 0, concat('\"report\": {{\"counts\": ', {counts}, '}}'), concat('\"counts\": ', {counts}, ', \"fileCount\": ', k)), '}}')"
+    texts = days.select(F.expr(f"case k % 3 when 0 then concat('[', {point}, ']') when 1 then concat('{{\"history\": [', {point}, ']}}') else {point} end").alias("content"))
+    found = history.history_of(texts.union(spark.createDataFrame([("no json",), ("{",), ("[1",), ("",)], "content string")))
+    return found.select("timestamp", "date", F.element_at("counts", "total").alias("total"), "files")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports against the declared flow, by pair of layers."""
     return flow_violations(spark, sf_dir).groupBy("src_layer", "dst_layer").agg(F.count("*").alias("n"))
