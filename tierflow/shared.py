@@ -41,7 +41,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     which is asked for here so that they do not pile up over many steps.
     """
     path = f"{shared_folder(df.sparkSession)}/tierflow/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if time.monotonic() - _asked[0] > PAUSE:
         df.sparkSession._jvm.System.gc()
         _asked[0] = time.monotonic()
