@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierflow.llm.batches import bounded, slices
+from tierflow.llm.batches import bounded, released, slices
 from tierflow.llm.membership import filter_of, possible
 from tierflow.llm.words import mixed, shingles, words_of
 from tierflow.shared import dropped, stored
@@ -86,6 +86,8 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
                 held, n = [], 0
         if n:
             yield sent(held)
+        held = []
+        released()
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -129,6 +131,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 order = np.lexsort((mixed(found), often[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
                 prefixes.append(found[order[: prefix_size(len(found))]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_id", "prefix"])
+        released()
 
     picked = docs.select(id_col, text_col)
     return picked.mapInArrow(run, f"id {picked.schema[id_col].dataType.simpleString()}, n_shingles long, set_id binary, prefix array<long>")
@@ -145,6 +148,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
             sets = [_set_of(text) for text in batch.column(1).to_pylist()]
             keep = pa.array([len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, batch.column(2).to_pylist())], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
+        released()
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     wanted = possible(picked, "id", filter_of(ids, F.xxhash64("id"))).join(ids, "id").select("id", "text", "set_id")
@@ -182,6 +186,7 @@ def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 common.append(both)
                 total.append(len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
+        released()
 
     kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
