@@ -58,6 +58,21 @@ def test_components_and_depth(spark, kind):
     assert {r.node: r.depth for r in graph.chain_lengths(rows, components).collect()} == depths_of(edges)
 
 
+@pytest.mark.parametrize(
+    "edges",
+    [
+        {(1, 2), (2, 3), (3, 1), (2, 2), (1, 4), (4, 1)},  # a loop inside a chain of a component
+        {(1, 2), (2, 1), (2, 3), (3, 1), (3, 4), (4, 5), (5, 3), (5, 5), (6, 7), (7, 6), (4, 4)},  # chains that become loops of others
+        {(1, 2), (2, 1), (1, 3), (3, 4), (4, 2)},  # one chain of all nodes with one way in and out
+    ],
+)
+def test_loops_and_single_chains_inside_components(spark, edges):
+    rows = spark.createDataFrame(sorted(edges), "s int, t int")
+    found = [(r.node, r.component) for r in graph.strong_components(rows).collect()]
+    assert sorted(found) == sorted(components_of(edges).items())
+    assert {r.node: r.depth for r in graph.chain_lengths(rows).collect()} == depths_of(edges)
+
+
 def test_long_chain_and_ring_in_few_tables(spark, monkeypatch):
     written = []
     monkeypatch.setattr(graph, "stored", lambda df, tag: written.append(tag) or shared.stored(df, tag))
