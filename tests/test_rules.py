@@ -1,9 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tierflow.functions import frameworks, paths
 from tierflow.operators import graph, incremental, mapping, report, resolve, rules
-from tierflow.plans import ruleset
+from tierflow.plans import projection, ruleset
 from tierflow.sources import code
 
 CONFIG = {
@@ -145,3 +147,20 @@ def test_flow_rules_as_rows(spark):
             return []
 
     assert found == {t: parsed(t) for t in texts if parsed(t)}
+
+
+def test_places_are_compiled_and_edges_read_once(spark):
+    """Places come from generated code that the JVM compiles, and what breaks a rule comes from one pass."""
+    given = spark.createDataFrame([("\\src\\handlers\\c1.ts/", "//src/Services/o1.ts", "x", False, "static", 1), ("misc/a.ts", "src/shared/s1.ts", "x", False, "static", 1), (None, "src/shared/s1.ts", "x", False, "static", 1)], SCHEMA)
+    rows = rules.judged(given, projection.RULES)
+    assert [(r.src.layer, r.dst.layer, r.outcome) for r in rows.collect()] == [("handlers", "services", "ok"), (None, "shared", "unmapped"), (None, "shared", "unmapped")]
+    text = lambda df, mode: df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+    steps = [line for line in text(rows, "simple").splitlines() if "Generate" in line]
+    assert steps and not any("CASE" in line or "regexp" in line for line in steps), steps
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text(rules.judged(given, projection.RULES).where("outcome = 'flow'"), "codegen"))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000, sizes
+    assert {r.source_file for r in rules.unmapped_violations(given, projection.RULES).collect()} == {"misc/a.ts", None}
