@@ -105,6 +105,17 @@ def test_cycle_paths_are_shortest(spark):
         assert len(path) - 1 == hops
 
 
+def test_rounds_send_no_tables_to_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "stored", lambda df, tag: plans.append(df._jdf.queryExecution().toString()) or shared.stored(df, tag))
+    ends = shared.stored(spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 3)], "s int, t int"), "test")
+    found = [graph.successor_depth(ends), graph.reachable(ends, spark.createDataFrame([(4,)], "node int"))]
+    assert {tuple(r) for r in found[0].collect()} == {(1, 2), (2, 2), (3, 3), (4, 4)}
+    assert {tuple(r) for r in found[1].collect()} == {(4, 0), (3, 1), (2, 2), (1, 3)}
+    plans += [df._jdf.queryExecution().toString() for df in found]
+    assert not [plan for plan in plans if "BroadcastExchange" in plan]
+
+
 def test_empty_graphs(spark):
     rows = spark.createDataFrame([], "s string, t string")
     assert graph.strong_components(rows).collect() == graph.chain_lengths(rows).collect() == []
