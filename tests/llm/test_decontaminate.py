@@ -103,3 +103,10 @@ def test_names_at_the_beginning_and_numbers_in_words(spark):
     docs += [(5, "Tom has 5 red apples and no pears"), *((k, f"the other text {k} is about the weather") for k in range(10, 30))]
     got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id, r.renamed) for r in got.collect()} == {(1, 1, True), (2, 1, True), (3, 1, True), (4, 2, True)}
+
+
+def test_texts_are_read_for_windows_once(spark):
+    docs = spark.createDataFrame([(1, "before " + ITEM), (2, "x y"), (3, RENAMED)], "doc_id long, text string")
+    found = D.find_leaks(docs, spark.createDataFrame([(7, ITEM), (8, "x y")], "item_id long, text string"))
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert {(r.doc_id, r.item_id, r.renamed) for r in found.collect()} == {(1, 7, False), (2, 8, False), (3, 7, True)}

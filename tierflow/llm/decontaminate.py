@@ -225,7 +225,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         released()
 
     picked = docs.select(id_col, text_col)
-    hits = picked.mapInArrow(run, f"window long, doc_id {picked.schema[id_col].dataType.simpleString()}, doc_at long, doc_slots array<string>")
+    # the pairs found below are read twice; the texts are not
+    hits = stored(picked.mapInArrow(run, f"window long, doc_id {picked.schema[id_col].dataType.simpleString()}, doc_at long, doc_slots array<string>"), "hits")
     met = hits.join(items, "window").select("doc_id", "item_id", "literal", "at", "n", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip("slots", "doc_slots").alias("pairs"))
     same = F.expr("forall(pairs, p -> p.slots = p.doc_slots)")
     # a shift is one occurrence of the item in the document; both have as many rows as the item has windows, times its copies
