@@ -164,3 +164,14 @@ def test_places_are_compiled_and_edges_read_once(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sizes and max(sizes) < 8000, sizes
     assert {r.source_file for r in rules.unmapped_violations(given, projection.RULES).collect()} == {"misc/a.ts", None}
+
+
+def test_ancestors_meet_layers_without_copies_of_paths(spark):
+    paths_ = ["src/a/x.ts", "src/a/b/c/y.ts", "SRC\\a\\b\\z.ts", "src/ab/x.ts", "src", "src/a/x.ts", None, ""]
+    layers = spark.createDataFrame([("top", "src"), ("a", "/src/a/"), ("c", "src/a/b/C")], "layer string, path string")
+    files = spark.createDataFrame([(p,) for p in paths_], "path string")
+    found = mapping.layers_by_prefix(files, layers)
+    assert sorted(tuple(r) for r in found.collect()) == [("SRC\\a\\b\\z.ts", "a"), ("src", "top"), ("src/a/b/c/y.ts", "c"), ("src/a/x.ts", "a"), ("src/ab/x.ts", "top")]
+    assert mapping.layers_by_prefix(files, layers.limit(0)).collect() == []
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
