@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierflow.operators import barrels, resolve
-from tierflow.plans import compiler
+from tierflow.plans import compiler, projection
 from tierflow.sources import code
 from tierflow.sources.lexer import exports_of, imports_of
 
@@ -74,6 +74,17 @@ def test_imports_as_rows(spark):
     assert [r.path for r in code.errors(files).collect()] == ["y.ts"]
 
 
+def test_texts_are_read_by_many_tasks(spark, tmp_path):
+    parts = spark.range(1, 20_001).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    texts = projection.module_texts(spark, str(tmp_path))
+    kept = code.scanned(texts).where("status = 'file'")
+    read = code.imports(kept).groupBy(F.spark_partition_id()).agg(F.count_distinct("source").alias("n")).collect()
+    assert sum(r.n for r in read) == 20_000 and max(r.n for r in read) < 12_000
+    below = kept._jdf.queryExecution().optimizedPlan().toString().partition("RepartitionByExpression")[2].partition("Relation")[0]
+    assert below and "regexp_extract" not in below  # the scan's tasks judge no paths
+
+
 def test_order_of_candidates(spark):
     names = ["a/x.js", "a/x.mts", "a/y.mts", "a/y/index.ts", "a/z.tsx", "a/z.jsx", "a/w.ts", "a/w.js", "a/v.mts", "a/v.mjs", "a/k.cjs", "a/data.json", "a/u/index.cjs", "root.ts"]
     wanted = {"./x": "a/x.js", "./y": "a/y/index.ts", "./z.jsx": "a/z.tsx", "./w.js": "a/w.ts", "./v.mjs": "a/v.mts", "./k": "a/k.cjs", "./data.json": "a/data.json", "./u": "a/u/index.cjs", "../root": "root.ts", "./w.ts": "a/w.ts", "/root": "root.ts", "./none": None, "../../../root": "root.ts"}
