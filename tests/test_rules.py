@@ -81,6 +81,20 @@ def test_check(spark):
     assert found.select(report.annotation()).count() == report.as_json(found).count() == 5
 
 
+def test_judged_edges_are_written_with_numbers_of_places(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(rules, "stored", lambda df, tag: kept.setdefault(tag, df))
+    cases = [("src/ui/features/a/x.ts", "src/ui/features/b/y.ts"), ("src/ui/kit/y.ts", "src/ui/features/a/x.ts"), ("src/ui/a.ts", "gone/z.ts"), ("src/ui/a.ts", "src/api/inner.ts")]
+    found = rules.check(spark.createDataFrame([("src/ui/a.ts",)], "path string"), edges(spark, *cases), RULES, orphans=False)
+    assert {f.dataType.typeName() for f in kept["judged"].schema} == {"string", "integer"}  # no struct of either end
+    got = {(r.type, r.source_layer, r.source_sublayer, r.source_feature, r.target_layer, r.target_sublayer, r.target_feature, r.line) for r in found.where("line is not null").collect()}
+    assert got == {
+        ("isolation", "ui", "features", "a", "ui", "features", "b", 1), ("flow", "ui", "kit", None, "ui", "features", "a", 2),
+        ("unlayered", "ui", None, None, None, None, None, 3), ("publicApi", "ui", None, None, "api", None, None, 4),
+    }
+
+
+
 def test_paths(spark):
     rows = spark.createDataFrame([("src/a.test.ts",), ("src/fr/x/y.ts",), ("b.d.ts",), ("src/index.ts",)], "path string")
     path = F.col("path")
