@@ -146,3 +146,13 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 7, 8, "x"), (2, "a b c d e f", 9, 8, "y"), (3, "q", 1, 1, None)], "doc_id long, text string, bit int, h int, id string")
     got = sorted(map(tuple, J.without_near_copies(docs).collect()))
     assert got == [(1, "a b c d e f", 7, 8, "x"), (3, "q", 1, 1, None)]
+
+
+def test_rows_repeated_in_another_task_do_not_cancel(spark):
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(60)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base, f"more{g}"]))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows + rows, 2), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
